@@ -5,7 +5,8 @@ common: each lists its subsets of every size that a partner may share.  Large se
 inverted lists over their rarest elements: any two linked sets share one of the first
 ``size - needed + 1`` elements in a common order, in which elements seen once in the corpus
 come first and get no list.  The boundary is the size up to which listing subsets costs less
-than scanning lists as long as the corpus has them on average.
+than scanning: an entry of a list is compared with hubs only, so a scan costs the corpus's mean
+list length, but ``SCAN`` at most.
 
 Members of a list are not paired with each other.  First each is compared with the list's hub,
 the member found on most lists, and linked members become one component.  Only members of
@@ -33,7 +34,7 @@ from .textblocks import U, Words, grams, mix, per_document, signed, slices
 
 BITS = 1024
 SUBSET = U(0xA0761D6478BD642F)
-MOST_LIGHT = 40
+MOST_LIGHT, SCAN = 40, 8
 
 
 def needed(p, a, b):
@@ -75,7 +76,7 @@ def light_boundary(p: int, list_length: float) -> int:
     best = 0
     for s in range(1, MOST_LIGHT + 1):
         spare = s - -(-p * s // 100)
-        if sum(comb(s, d) for d in range(spare + 1)) <= (spare + 1) * max(2.0, list_length):
+        if sum(comb(s, d) for d in range(spare + 1)) <= (spare + 1) * min(SCAN, max(2.0, list_length)):
             best = s
         else:
             break
