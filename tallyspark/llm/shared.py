@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a temporary folder in local mode and an error on a cluster."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
+    sc = spark.sparkContext
+    if at := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         return at
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    at = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
