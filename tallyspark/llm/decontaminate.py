@@ -122,18 +122,19 @@ def regions(index: Index, points: np.ndarray, off: np.ndarray, q: int = Q) -> li
     step = index.edits[item] + 1
     out: dict[tuple, tuple] = {}
     band = (diagonal + (1 << 40)) // step
-    for shift in (0, 1):
-        b = band - shift  # the band that starts at b * step and ends before (b + 2) * step
-        order = np.lexsort((place, b, item, doc))
-        d, i, bb, pl = doc[order], item[order], b[order], place[order]
-        new = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (bb[1:] != bb[:-1])]
-        fresh = new | np.r_[True, pl[1:] != pl[:-1]]
-        start = np.flatnonzero(new)
-        count = np.add.reduceat(fresh.astype(np.int64), start)
-        for x in start[count >= index.needed[i[start]]]:
-            dd, ii, low = int(d[x]), int(i[x]), int(bb[x] * step[order[x]] - (1 << 40))
-            text = points[off[dd] : off[dd + 1]]
-            _verify(index.items[ii], text, low, low + 2 * int(index.edits[ii]) + 1, int(index.edits[ii]), dd, ii, out)
+    # the band b starts at b * step and ends before (b + 2) * step, so a diagonal is in two
+    band = np.r_[band, band - 1]
+    doc, item, place = (np.r_[x, x] for x in (doc, item, place))
+    order = np.lexsort((place, band, item, doc))
+    doc, item, band, place = (x[order] for x in (doc, item, band, place))
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])]
+    fresh = new | np.r_[True, place[1:] != place[:-1]]
+    start = np.flatnonzero(new)
+    count = np.add.reduceat(fresh.astype(np.int64), start)
+    for x in start[count >= index.needed[item[start]]]:
+        d, i, edits = int(doc[x]), int(item[x]), int(index.edits[item[x]])
+        low = int(band[x]) * (edits + 1) - (1 << 40)
+        _verify(index.items[i], points[off[d] : off[d + 1]], low, low + 2 * edits + 1, edits, d, i, out)
     return [(dd, ii, *v) for (dd, ii, _), v in sorted(out.items())]
 
 
