@@ -90,14 +90,14 @@ def _runs(doc, key, first, block, nth, hit, width):
 SPANS = "doc long, key long, start int, end int"
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, prefix: int = PREFIX, reach: int = REACH, group: int = GROUP, heavy_from: int = 5000) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, prefix: int = PREFIX, reach: int = REACH, group: int = GROUP, heavy_from: int | None = None) -> DataFrame:
     """doc, key (hash of the text), start, end: runs of words covered by windows that also start in a document with a smaller id.  Runs may overlap."""
     if width < prefix + 1:
         raise ValueError("width must be above prefix")
     reach = max(1, min(reach, width - prefix + 1))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
-    found = count_repeats(rows.select("text"), _lists(width, prefix, reach), heavy_from=heavy_from)
+    found = count_repeats(rows.select("text"), _lists(width, prefix, reach), heavy_from=heavy_from or group)
     shared = spark.sparkContext.broadcast(found)
 
     def blocks(batches):
