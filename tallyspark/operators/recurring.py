@@ -25,11 +25,11 @@ def in_band(amount, median):
     return amount.between(median * F.lit(1 - float(BAND)).cast("decimal(3,2)"), median * F.lit(1 + float(BAND)).cast("decimal(3,2)"))
 
 
-def recurring_group_stats(scan: DataFrame) -> DataFrame:
+def recurring_group_stats(scan: DataFrame, group=GROUP) -> DataFrame:
     """Groups of card, merchant and currency that recur: count, median of all, bounds and last day of those in band, days between."""
-    banded = with_group_median(scan).where(in_band(F.col("amount"), F.col("median")))
-    gaps = with_gap_days(banded)
-    stats = gaps.groupBy(*GROUP).agg(
+    banded = with_group_median(scan, group).where(in_band(F.col("amount"), F.col("median")))
+    gaps = with_gap_days(banded, group)
+    stats = gaps.groupBy(*group).agg(
         F.count("*").alias("n"), F.max("median").alias("median"), F.min("amount").alias("amount_min"), F.max("amount").alias("amount_max"), F.max("date").alias("last_seen_date"),
         F.bround(F.median("gap_days"), 0).cast("int").alias("period_days"),
     )
@@ -55,7 +55,10 @@ def upsert_rules(rules: DataFrame, detected: DataFrame) -> DataFrame:
     w = Window.partitionBy(*KEY)
     last = w.orderBy(F.desc("last_seen_date"), F.desc("card_id"))
     met = detected.withColumn("_n", F.row_number().over(last)).withColumn("new", F.sum("n").over(w)).where("_n = 1")
-    met = met.select(*KEY, F.col("period_label").alias("_label"), F.col("last_seen_date").alias("_seen"), "new", "median")
+    return _merged(rules, met.select(*KEY, F.col("period_label").alias("_label"), F.col("last_seen_date").alias("_seen"), "new", "median"))
+
+
+def _merged(rules: DataFrame, met: DataFrame) -> DataFrame:
     both = rules.join(met, list(KEY), "full_outer")
     n = F.coalesce("occurrences", F.lit(0)) + F.coalesce("new", F.lit(0))
     again = confidence(n, F.col("amount_min"), F.col("amount_max"), F.col("median"))
@@ -65,6 +68,49 @@ def upsert_rules(rules: DataFrame, detected: DataFrame) -> DataFrame:
     )
 
 
+def arrival_scans(tx: DataFrame, statements: DataFrame, arrived: DataFrame, lookback: int = LOOKBACK_DAYS) -> DataFrame:
+    """The postings that the detection of each arrived statement reads, named by at and at_end.
+
+    Those are its card's postings on statements up to it, in order of (period_end, id), since lookback days before
+    its end.  A posting meets statements by card and month of their end, so it is copied for those months only.
+    """
+    own = statements.where(F.col("period_end").isNotNull()).select(F.col("id").alias("statement_id"), "period_end")
+    rows = tx.drop("period_end").where(F.col("installment_number").isNull() & F.col("merchant_id").isNotNull()).join(own, "statement_id")
+    last = F.date_add("date", lookback)
+    months = F.sequence(F.trunc("period_end", "MM").cast("date"), F.trunc(last, "MM").cast("date"), F.expr("interval 1 month"))
+    rows = rows.where(last >= F.col("period_end")).withColumn("_month", F.explode(months))
+    to = arrived.select(F.col("credit_card_id").alias("card_id"), F.col("id").alias("at"), F.col("period_end").alias("at_end"), F.trunc("period_end", "MM").alias("_month"))
+    met = rows.join(to, ["card_id", "_month"]).where((F.col("at_end") <= last) & (F.struct("at_end", "at") >= F.struct("period_end", "statement_id")))
+    return met.drop("_month", "period_end")
+
+
+def replay(tx: DataFrame, statements: DataFrame, rules: DataFrame, arrived: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rules and linked postings after detection at each arrived statement in turn, by (period_end, id); all statements by default.
+
+    A rule met for the first time counts the postings in band; later ones add the postings of the statement that are
+    not yet linked to it, so a second run over linked postings adds nothing.  The last statement gives day and
+    confidence.  A statement's postings within a detection's bounds are linked to its rule, instalments too.
+    """
+    scan = arrival_scans(tx, statements, statements if arrived is None else arrived)
+    found = recurring_group_stats(scan, ("at", "at_end", "merchant_id", "currency"))
+    found = found.join(rules.select(F.col("id").alias("_old"), *KEY), list(KEY), "left").withColumn("_rule", F.coalesce("_old", surrogate_key(*KEY)))
+    linked = tx if "recurring_rule_id" in tx.columns else tx.withColumn("recurring_rule_id", F.lit(None).cast("string"))
+    bounds = found.select(F.col("at").alias("statement_id"), "merchant_id", "currency", F.col("amount_min").alias("_low"), F.col("amount_max").alias("_high"), "at_end", "_rule")
+    # a statement has one detection for each merchant and currency
+    both = linked.join(bounds, ["statement_id", "merchant_id", "currency"], "left")
+    hit = F.coalesce(F.col("amount").between(F.col("_low"), F.col("_high")), F.lit(False))
+    open_ = hit & F.col("installment_number").isNull() & (F.col("date") >= F.date_sub("at_end", LOOKBACK_DAYS)) & ~F.col("recurring_rule_id").eqNullSafe(F.col("_rule"))
+    fresh = both.where(open_).groupBy(F.col("statement_id").alias("at"), "merchant_id", "currency").agg(F.count("*").alias("_fresh"))
+    counted = found.join(fresh, ["at", "merchant_id", "currency"], "left").withColumn("_fresh", F.coalesce("_fresh", F.lit(0)))
+    met = counted.groupBy(*KEY).agg(
+        F.sum("_fresh").alias("_sum"), F.min(F.struct("at_end", "at", (F.col("n") - F.col("_fresh")).alias("more"))).alias("_first"), F.max(F.struct("at_end", "at", "last_seen_date", "median")).alias("_last"), F.max("_old").alias("_old"),
+    )
+    new = F.col("_sum") + F.when(F.col("_old").isNull(), F.col("_first.more")).otherwise(0)
+    met = met.select(*KEY, classify_period(F.col("period_days")).alias("_label"), F.col("_last.last_seen_date").alias("_seen"), new.alias("new"), F.col("_last.median").alias("median"))
+    after = both.withColumn("recurring_rule_id", F.when(hit, F.col("_rule")).otherwise(F.col("recurring_rule_id"))).select(*linked.columns)
+    return _merged(rules, met), after
+
+
 def backfill_rule_id(tx: DataFrame, rules: DataFrame) -> DataFrame:
     """recurring_rule_id of postings that lie within a rule's bounds; of several the rule seen last."""
     r = rules.select(F.col("id").alias("_rule"), "merchant_id", "currency", "amount_min", "amount_max", "last_seen_date")

@@ -316,6 +316,34 @@ def recurring_surviving(spark, d):
     return W.surviving_rules(rules.unionByName(rules.withColumn("confidence", F.lit(-1.0)))).select("merchant_id", "amount_min", "amount_max", "currency", "period_days", "occurrences")
 
 
+REPLAY = f"""{EVENT}, t as (select * replace (card_id * 1000 + date_diff('day', date '2024-01-01', date) // 7 as statement_id) from ev), s as (select statement_id, card_id, max(date) as period_end from t group by 1, 2),
+f as (select s.statement_id as stop, s.period_end as at_end, t.* from t join s o on o.statement_id = t.statement_id join s on s.card_id = t.card_id where (s.period_end > o.period_end or (s.period_end = o.period_end and s.statement_id >= o.statement_id)) and t.date >= s.period_end - 90),
+md as (select *, cast(median(cast(amount as double)) over (partition by stop, merchant_id, currency) as decimal(18,3)) as median from f), b as (select * from md where amount between median * cast(0.85 as decimal(3,2)) and median * cast(1.15 as decimal(3,2))),
+g as (select *, date_diff('day', lag(date) over (partition by stop, merchant_id, currency order by date, id), date) as gap from b),
+st as (select stop, at_end, merchant_id, currency, count(*) as n, count(*) filter (where statement_id = stop) as fresh, max(median) as median, min(amount) as amount_min, max(amount) as amount_max, max(date) as last_seen_date, cast(round_even(median(gap), 0) as integer) as period_days from g group by 1, 2, 3, 4),
+r as (select * from st where n >= 3 and period_days > 0),
+u as (select merchant_id, amount_min, amount_max, currency, period_days, cast(sum(fresh) + arg_min(n - fresh, (at_end, stop)) as integer) as occurrences, arg_max(last_seen_date, (at_end, stop)) as last_seen_date, arg_max(median, (at_end, stop)) as median from r group by 1, 2, 3, 4, 5)"""
+
+
+def _weekly(spark, d):
+    tx = events(spark, d)
+    return tx.withColumn("statement_id", F.col("card_id") * 1000 + F.floor(F.datediff("date", F.lit(date(2024, 1, 1))) / 7))
+
+
+@query(f"with {REPLAY} select merchant_id, amount_min, amount_max, currency, period_days, {LABEL} as period_label, true as is_active, {CONFIDENCE.replace('n / 5.0', 'occurrences / 5.0')} as confidence, last_seen_date, occurrences from u")
+def recurring_replay_rules(spark, d):
+    tx = _weekly(spark, d)
+    return R.replay(tx, event_statements(tx), _no_rules(spark))[0].drop("id")
+
+
+@query(f"with {REPLAY} select t.id, r.stop is not null as linked, r.amount_min, r.amount_max, r.period_days from t left join r on r.stop = t.statement_id and r.merchant_id = t.merchant_id and r.currency = t.currency and t.amount between r.amount_min and r.amount_max")
+def recurring_replay_links(spark, d):
+    tx = _weekly(spark, d)
+    rules, linked = R.replay(tx, event_statements(tx), _no_rules(spark))
+    named = linked.select(F.col("id"), F.col("recurring_rule_id").alias("rule")).join(rules.select(F.col("id").alias("rule"), "amount_min", "amount_max", "period_days"), "rule", "left")
+    return named.select("id", F.col("rule").isNotNull().alias("linked"), "amount_min", "amount_max", "period_days")
+
+
 @query(f"with {STATS} select card_id as statement_id, count(*) as n_rules, card_id % 3 = 0 as partial from r group by 1")
 def recurring_report(spark, d):
     tx = events(spark, d)

@@ -134,6 +134,67 @@ def test_rules_are_refreshed(spark):
     assert {r.recurring_rule_id for r in linked.collect()} == {once.first().id}
 
 
+def replay_plain(tx, ends):
+    """Rules and links of a ledger whose statements are detected one after the other."""
+    from datetime import timedelta
+    from statistics import median
+
+    rules, link, there = {}, {}, []
+    for s in sorted(ends, key=lambda s: (ends[s], s)):
+        there += [r for r in tx if r[2] == s]
+        card = next(r[1] for r in tx if r[2] == s)
+        groups = {}
+        for r in there:
+            if r[1] == card and r[3] >= ends[s] - timedelta(days=90) and r[7] is None and r[6] is not None:
+                groups.setdefault((r[6], r[5]), []).append(r)
+        for (merchant, currency), rows in groups.items():
+            m = median(r[4] for r in rows)
+            band = sorted((r for r in rows if m * D("0.85") <= r[4] <= m * D("1.15")), key=lambda r: r[3])
+            if len(band) < 3:
+                continue
+            days = round(median((b[3] - a[3]).days for a, b in zip(band, band[1:], strict=False)))
+            if days == 0:
+                continue
+            low, high = min(r[4] for r in band), max(r[4] for r in band)
+            key = (merchant, low, high, currency, days)
+            n = rules[key][0] + sum(r[2] == s and link.get(r[0]) != key for r in band) if key in rules else len(band)
+            rules[key] = (n, band[-1][3], round(min(1.0, n / 5) * max(0.0, 1 - float((high - low) / m)), 4))
+            link |= {r[0]: key for r in tx if r[2] == s and (r[6], r[5]) == (merchant, currency) and low <= r[4] <= high}
+    return rules, link
+
+
+def test_replay(spark):
+    import random
+    from datetime import timedelta
+
+    r, rows = random.Random(4), []
+    for i in range(400):
+        day = date(2026, 1, 1) + timedelta(days=r.randrange(240))
+        card = r.choice("ab")
+        rows.append((str(i), card, f"{card}{day:%m}", day, D(r.choice(["10.00", "10.00", "10.50", "40.00", "-3.00"])), r.choice(["CLP", "USD"]), r.choice(["m", "n", None]), r.choice([None, None, None, 1])))
+    tx = spark.createDataFrame(rows, "id string, card_id string, statement_id string, date date, amount decimal(15,2), currency string, merchant_id string, installment_number int")
+    ends = {}
+    for x in rows:
+        ends[x[2]] = max(ends.get(x[2], x[3]), x[3])
+    want, links = replay_plain(rows, ends)
+    rules, linked = R.replay(tx, statements(tx), spark.createDataFrame([], model.RULES))
+    rules, linked = spark.createDataFrame(rules.collect(), rules.schema), spark.createDataFrame(linked.collect(), linked.schema)
+    key = {x.id: (x.merchant_id, x.amount_min, x.amount_max, x.currency, x.period_days) for x in rules.collect()}
+    assert {key[x.id]: (x.occurrences, x.last_seen_date, x.confidence) for x in rules.collect()} == want and len(want) > 10
+    assert {x.id: key[x.recurring_rule_id] for x in linked.where("recurring_rule_id is not null").collect()} == links and linked.count() == len(rows)
+    again, still = R.replay(linked, statements(tx), rules)
+    assert {x.id: x.occurrences for x in again.collect()} == {x.id: x.occurrences for x in rules.collect()}
+    assert {(x.id, x.recurring_rule_id) for x in still.collect()} == {(x.id, x.recurring_rule_id) for x in linked.collect()}
+    # the last statements arrive later
+    late = F.col("period_end") >= F.lit(date(2026, 6, 1))
+    early = tx.join(statements(tx).where(~late).select(F.col("id").alias("statement_id")), "statement_id")
+    some, part = R.replay(early, statements(tx).where(~late), spark.createDataFrame([], model.RULES))
+    both = part.unionByName(tx.join(early.select("id"), "id", "left_anti").withColumn("recurring_rule_id", F.lit(None).cast("string")))
+    then = R.replay(both, statements(tx), some, statements(tx).where(late))
+    assert {key[x.id]: x.occurrences for x in then[0].collect()} == {k: v[0] for k, v in want.items()}
+    assert {x.id: key[x.recurring_rule_id] for x in then[1].where("recurring_rule_id is not null").collect()} == links
+
+
 def test_merchants_resolve_once(spark):
     cats = model.seed_categories(spark)
     tx = spark.createDataFrame([("1", "LIDER COM 3"), ("2", "lider"), ("3", "NETFLIX SPA"), ("4", " ")], "id string, description string")
