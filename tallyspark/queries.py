@@ -97,9 +97,9 @@ def source_split_failed(spark, d):
     return both.join(s.select("statement_id", "s_nationkey"), "statement_id").groupBy(F.col("s_nationkey").alias("bank_id")).agg(F.count("*").alias("n_files"), F.sum("bad").cast("long").alias("n_failed"))
 
 
-@query(f"with {EVENT} select md5(cast(id as varchar)) as key, row_number() over (partition by strftime(date, '%Y-%m'), currency order by date, id) - 1 as slot, make_date(year(date), month(date), least((row_number() over (partition by strftime(date, '%Y-%m'), currency order by date, id) - 1) * 3 + 2, day(last_day(date)))) as slot_date from ev where id <= 4000")
+@query(f"with {EVENT} select md5(cast(id as varchar)) as key, row_number() over (partition by strftime(date, '%Y-%m'), currency order by date, id) - 1 as slot, make_date(year(date), month(date), least((row_number() over (partition by strftime(date, '%Y-%m'), currency order by date, id) - 1) * 3 + 2, day(last_day(date)))) as slot_date from ev")
 def source_fixture_slots(spark, d):
-    tx = events(spark, d).where("id <= 4000").withColumn("at", F.struct("date", "id"))
+    tx = events(spark, d).withColumn("at", F.struct("date", "id"))
     return W.with_slot(tx, "at").select(F.md5(F.col("id").cast("string")).alias("key"), F.col("slot").cast("long").alias("slot"), "slot_date")
 
 
