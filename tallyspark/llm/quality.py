@@ -1,36 +1,38 @@
 """Quality rules with a character n-gram perplexity band for each language.
 
-Characters are folded to 32 classes (letters, white space, digits, punctuation, symbols, and
-the bytes of other letters), so a language has at most 32**4 four-grams: a proven bound on the
-model's size.  Spark counts the four-grams of all texts.  From these counts come the
-continuation counts and discounts of a modified Kneser-Ney model, kept as arrays sorted by the
-hash of the n-gram.  A document's perplexity is held against its language's band: between the
+The n-grams are of code points, none folded together, so the model grows with the corpus.
+Spark counts the four-grams of all texts, and from these counts come the continuation counts,
+discounts and probabilities of a modified Kneser-Ney model, as tables dealt by language and
+n-gram.  A text must not vouch for itself: texts are dealt into two folds by their hash (copies
+into the same), and each is scored by the model of the other fold.
+
+To score, documents are dealt into blocks of one language of about ``BLOCK`` characters; the
+distinct four-grams of a block are joined with the model, and the block's documents look theirs
+up in what comes back.  So no task holds more of the model than its block asks for.
+
+A document's perplexity (for a character) is held against its language's band: between the
 quartiles of all documents that pass the base rules, widened by ``fence`` times their distance and, as short texts vary more, by ``slack``
-bits over the square root of the text's bytes.
+bits over the square root of the text's characters.
 
-The language is the given column; null is a language of its own, and languages beyond the
-``languages`` most frequent share one model.  A null text is an empty one: it fails the base
-rules.  Other columns pass through where their names differ from the results'.
+The language is the given column, each with a model of its own; null is a language of its own.
+A null text is an empty one: it fails the base rules.  Other columns pass through where their
+names differ from the results'.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
-from .textblocks import LOWER, U, WHITE, Words, grams, mix, per_doc_sum, per_document, slices, span_hashes
+from .shared import partitions, written
+from .textblocks import STEP, U, WHITE, Words, codepoints, grams, mix, per_doc_sum, per_document, slices, span_hashes
 
 ORDER, CLASSES = 4, 32
+#: Bits of a code point, and their number.
+BITS, POINTS = 21, 0x110000
+BLOCK = 4 << 20
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-CLASS = np.full(256, 28, np.uint8)
-CLASS[WHITE] = 0
-CLASS[65:91] = CLASS[97:123] = np.arange(1, 27)
-CLASS[48:58] = 27
-CLASS[SYMBOL] = 29
-CLASS[0xC0:] = 30
-CLASS[0x80:0xC0] = 31
 OTHER = "\x00other"
 
 
@@ -62,50 +64,100 @@ def base_metrics(data, off) -> dict[str, np.ndarray]:
     return out
 
 
-def _codes(data, off):
-    """The four-gram code that ends at each byte; before a text stand spaces."""
-    lengths = np.diff(off)
-    padded = np.zeros(len(data) + (ORDER - 1) * len(lengths), np.int32)
-    at = np.arange(len(data)) + (ORDER - 1) * (np.repeat(np.arange(len(lengths)), lengths) + 1)
-    padded[at] = CLASS[data]
-    code = padded.copy()
-    for k in range(1, ORDER):
-        code[k:] |= padded[:-k] << (5 * k)
-    return code[at]
+def _windows(data, off) -> tuple[list[np.ndarray], np.ndarray]:
+    """The three code points before each character and the character, and the documents' offsets in them; before a text stand spaces."""
+    points, chars = codepoints(data, off)
+    lengths = np.diff(chars)
+    padded = np.full(len(points) + (ORDER - 1) * len(lengths), 32, np.uint32)
+    at = np.arange(len(points)) + (ORDER - 1) * (np.repeat(np.arange(len(lengths)), lengths) + 1)
+    padded[at] = points
+    return [padded[at - k] for k in range(ORDER - 1, -1, -1)], chars
 
 
-def _languages(column):
-    return [OTHER if x is None else x for x in column.to_pylist()]
+def _distinct(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct four-grams as a context of three code points and a last one, and how often each is there."""
+    number = np.zeros(POINTS, np.uint64)
+    for c in x:
+        number[c] = 1
+    letters = np.flatnonzero(number).astype(np.uint64)
+    if len(letters) > 1 << 16:  # a repeated four-gram is added up later
+        half = len(x[0]) // 2
+        return tuple(np.concatenate(y) for y in zip(_distinct([c[:half] for c in x]), _distinct([c[half:] for c in x]), strict=True))
+    number[letters] = np.arange(len(letters), dtype=np.uint64)
+    code = number[x[0]]
+    for c in x[1:]:
+        code = (code << U(16)) | number[c]
+    code, n = np.unique(code, return_counts=True)
+    a, b, c, d = (letters[(code >> U(16 * k)) & U(0xFFFF)] for k in (3, 2, 1, 0))
+    return ((a << U(2 * BITS)) | (b << U(BITS)) | c).view(np.int64), d.astype(np.int32), n
 
 
-def _named(docs, lang_col, languages):
-    top = [r[0] for r in docs.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect() if r[0] is not None]
-    return F.when(F.col(lang_col).isin(top), F.col(lang_col)).otherwise(F.lit(OTHER))
+def _hash(context: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return mix(mix(context.astype(np.uint64)) + last.astype(np.uint64) * STEP)
 
 
-def count_ngrams(rows: DataFrame) -> DataFrame:
-    """lang, code, n: the four-grams of rows(lang, text)."""
+def _gram_rows(keys: list[str], kinds: str):
+    """A mapInArrow function and its schema: the distinct four-grams of the texts of each of the keys."""
 
-    def count(batches):
-        held: dict[str, np.ndarray] = {}
+    def rows(batches):
         for batch in batches:
-            lang = np.array(_languages(batch.column("lang")), object)
-            for i, j, data, off in slices(batch.column("text")):
-                code, of = _codes(data, off), np.repeat(lang[i:j], np.diff(off))
-                for name in set(lang[i:j]):
-                    held.setdefault(name, np.zeros(CLASSES**ORDER, np.int64))
-                    held[name] += np.bincount(code[of == name], minlength=CLASSES**ORDER)
-        for name, n in held.items():
-            at = np.flatnonzero(n)
-            for part in np.array_split(at, len(at) // 50_000 + 1):
-                yield pa.record_batch([pa.array([name] * len(part)), pa.array(part.astype(np.int32)), pa.array(n[part])], ["lang", "code", "n"])
+            table = pa.Table.from_batches([batch])
+            for i, j, data, off in slices(batch.column("text"), BLOCK):
+                x, chars = _windows(data, off)
+                key = list(zip(*(table.column(k).slice(i, j - i).to_pylist() for k in keys), strict=True))
+                names = {name: k for k, name in enumerate(dict.fromkeys(key))}
+                of = np.repeat(np.array([names[name] for name in key]), np.diff(chars))
+                for name, k in names.items():
+                    context, last, n = _distinct([c[of == k] for c in x] if len(names) > 1 else x)
+                    got = pa.table({"context": context, "last": last, "n": n})
+                    for field, value in zip(keys, name, strict=True):
+                        got = got.append_column(field, pa.array([value] * len(n), table.schema.field(field).type))
+                    yield from got.to_batches(max_chunksize=50_000)
+
+    return rows, f"context long, last int, n long, {kinds}"
+
+
+def count_ngrams(rows: DataFrame) -> DataFrame:
+    """lang, context, last, out0, out1: the four-grams of rows(lang, fold, text), counted outside each fold."""
+    got = rows.select("lang", "fold", "text").mapInArrow(*_gram_rows(["lang", "fold"], "lang string, fold int"))
+    outside = [F.sum(F.when(F.col("fold") != i, F.col("n")).otherwise(0)).alias(f"out{i}") for i in (0, 1)]
+    return got.groupBy("lang", "context", "last").agg(*outside)
+
 
-    return rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+def probabilities(top: DataFrame) -> DataFrame:
+    """lang, context, last, log0, log1: log2 of the modified Kneser-Ney probability that last follows context, as the counts outside each fold tell it."""
+    tables = [top]
+    for k in range(ORDER - 1, 0, -1):
+        shorter = F.col("context").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)).alias("context")
+        tables.append(tables[-1].groupBy("lang", shorter, "last").agg(*(F.count_if(F.col(f"out{i}") > 0).alias(f"out{i}") for i in (0, 1))))
+    below = None
+    for k, t in enumerate(reversed(tables)):
+        seen = t.groupBy("lang").agg(*(F.greatest(F.count_if(F.col(f"out{i}") == j), F.lit(1)).alias(f"t{i}{j}") for i in (0, 1) for j in (1, 2, 3, 4)))
+        for i in (0, 1):
+            y = F.expr(f"t{i}1 / (t{i}1 + 2 * t{i}2)")
+            for j, most in ((1, 0.95), (2, 1.9), (3, 2.9)):
+                d = F.lit(j) - (j + 1) * y * F.col(f"t{i}{j + 1}") / F.col(f"t{i}{j}")
+                seen = seen.withColumn(f"d{i}{j}", F.least(F.greatest(d, F.lit(0.05)), F.lit(most)))
+        # a row for each language
+        t = t.join(F.broadcast(seen.select("lang", *(f"d{i}{j}" for i in (0, 1) for j in (1, 2, 3)))), "lang")
+        whole = Window.partitionBy("lang", "context")
+        for i in (0, 1):
+            t = t.withColumn(f"off{i}", F.expr(f"case when out{i} = 0 then 0D when out{i} = 1 then d{i}1 when out{i} = 2 then d{i}2 else d{i}3 end"))
+        t = t.select("lang", "context", "last", *(c for i in (0, 1) for c in (f"out{i}", f"off{i}", F.sum(f"out{i}").over(whole).alias(f"all{i}"), F.sum(f"off{i}").over(whole).alias(f"rest{i}"))))
+        if below is None:
+            t = t.withColumn("below0", F.lit(1 / POINTS)).withColumn("below1", F.lit(1 / POINTS))
+        else:
+            t = t.withColumn("shorter", F.col("context").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)))
+            t = t.join(below.select("lang", F.col("context").alias("shorter"), "last", F.col("p0").alias("below0"), F.col("p1").alias("below1")), ["lang", "shorter", "last"])
+        p = (F.expr(f"case when all{i} = 0 then below{i} else (out{i} - off{i} + rest{i} * below{i}) / all{i} end").alias(f"p{i}") for i in (0, 1))
+        below = t.select("lang", "context", "last", *p)
+    return below.select("lang", "context", "last", F.log2("p0").alias("log0"), F.log2("p1").alias("log1"))
 
 
 def kneser_ney(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted n-gram hashes with log2 probabilities, and sorted context hashes with log2 back-off weights.
+    """The model in memory, over ``CLASSES`` symbols: the plain version of ``probabilities``.
 
+    Sorted n-gram hashes with log2 probabilities, and sorted context hashes with log2 back-off weights.
     codes[k], counts[k]: the (k + 1)-grams, with counts for the highest order and continuation counts below.
     """
     keys, logs, contexts, weights = [], [], [], []
@@ -156,61 +208,49 @@ def log_probabilities(model, code: np.ndarray) -> np.ndarray:
     return np.where(open_, out - np.log2(CLASSES), out)
 
 
-def fit(rows: DataFrame) -> dict[str, tuple]:
-    """A model for each language of rows(lang, text)."""
-    top = written(count_ngrams(rows))
-    tables = [top]
-    for k in range(ORDER - 1, 0, -1):
-        tables.append(tables[-1].groupBy("lang", F.expr(f"code & {CLASSES**k - 1}").alias("code")).agg(F.count("*").alias("n")))
-    held: dict[str, list] = {}
-    for k, t in enumerate(reversed(tables)):
-        got = t.toArrow()
-        lang = np.array(got.column("lang").to_pylist(), object)
-        code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
-        for name in set(lang):
-            held.setdefault(name, [[], []])
-            held[name][0].append(code[lang == name].astype(np.int64))
-            held[name][1].append(n[lang == name])
-    return {name: kneser_ney(*x) for name, x in held.items()}
-
-
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = 32, fence: float = 3.0, slack: float = 1.0, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fence: float = 3.0, slack: float = 1.0, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
     """doc_id, the base metrics, base_failed, perplexity, lower, upper and kept, a row for each row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), _named(docs, lang_col, languages).alias("lang"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(rows.select("lang", "text")))
-
-    def measure(batches):
-        models = shared.value
-        table = np.zeros(CLASSES**ORDER)
-        for batch in batches:
-            lang = np.array(_languages(batch.column("lang")), object)
-            for i, j, data, off in slices(batch.column("text")):
-                found, code = base_metrics(data, off), _codes(data, off)
-                of, log = np.repeat(lang[i:j], np.diff(off)), np.zeros(len(data))
-                for name in set(of):
-                    at = np.flatnonzero(of == name)
-                    kinds = np.flatnonzero(np.bincount(code[at]))
-                    table[kinds] = log_probabilities(models[name], kinds)
-                    log[at] = table[code[at]]
-                n = np.diff(off)
-                bits = -per_doc_sum(log, off) / np.maximum(n, 1)
-                yield pa.record_batch(
-                    [batch.column("doc").slice(i, j - i), pa.array(list(lang[i:j])), *(pa.array(found[m].astype(np.int64)) for m in METRICS), pa.array(bits, mask=n == 0), pa.array(n)],
-                    ["doc", "lang", *METRICS, "bits", "bytes"],
-                )
-
-    got = rows.mapInArrow(measure, "doc long, lang string, " + ", ".join(f"{m} long" for m in METRICS) + ", bits double, bytes long")
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(OTHER))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), lang.alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(text_col), F.lit(2)).cast("int").alias("fold"))
+    top = written(count_ngrams(rows))
+    # only languages of more than a block, so no more rows than blocks
+    sizes = top.groupBy("lang").agg(F.ceil(F.sum(F.col("out0") + F.col("out1")) / BLOCK).alias("blocks")).where("blocks > 1").collect()
+    parts = F.create_map(*(F.lit(x) for r in sizes for x in r)) if sizes else F.create_map(F.lit(OTHER), F.lit(1))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc", "text"), F.coalesce(parts[F.col("lang")], F.lit(1))).cast("int"))
+    dealt = dealt.repartition(max(partitions(docs.sparkSession), 2 * sum(r["blocks"] for r in sizes)), "lang", "block")
+    asked = dealt.mapInArrow(*_gram_rows(["lang", "block"], "lang string, block int")).drop("n")
+    told = asked.join(probabilities(top), ["lang", "context", "last"]).select("lang", "block", "context", "last", "log0", "log1")
+
+    def measure(block: pa.Table, told: pa.Table) -> pa.Table:
+        key = _hash(told.column("context").to_numpy(), told.column("last").to_numpy())
+        order = np.argsort(key)
+        key, logs = key[order], np.stack([told.column(f"log{i}").to_numpy()[order] for i in (0, 1)])
+        fold, out = block.column("fold").to_numpy(), []
+        for i, j, data, off in slices(block.column("text").combine_chunks()):
+            found, (x, chars) = base_metrics(data, off), _windows(data, off)
+            a, b, c, d = (y.astype(np.uint64) for y in x)
+            wanted = _hash((a << U(2 * BITS)) | (b << U(BITS)) | c, d)
+            at = np.searchsorted(key, wanted)
+            if len(wanted) and (at.max() == len(key) or (key[at] != wanted).any()):
+                raise ValueError("a four-gram of a block isn't in the model")
+            n = np.diff(chars)
+            bits = -per_doc_sum(logs[np.repeat(fold[i:j], n), at] if len(at) else np.zeros(0), chars) / np.maximum(n, 1)
+            out.append(pa.table({**{m: found[m].astype(np.int64) for m in METRICS}, "bits": pa.array(bits, mask=n == 0), "chars": n.astype(np.int64)}))
+        got = pa.concat_tables(out)
+        return got.add_column(0, "lang", block.column("lang")).add_column(0, "doc", block.column("doc"))
+
+    got = dealt.groupBy("lang", "block").cogroup(told.groupBy("lang", "block")).applyInArrow(measure, "doc long, lang string, " + ", ".join(f"{m} long" for m in METRICS) + ", bits double, chars long")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     got = written(got.withColumn("base_failed", failed))
     q = got.where("not base_failed").groupBy("lang").agg(F.percentile_approx("bits", [0.25, 0.75], 10_000).alias("q"))
     width = fence * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.05))
     bands = q.select("lang", (F.col("q")[0] - width).alias("low"), (F.col("q")[1] + width).alias("high"))
-    # at most ``languages`` + 1 rows
+    # a row for each language
     held = got.join(F.broadcast(bands), "lang", "left")
-    more = slack / F.sqrt(F.greatest("bytes", F.lit(1)))
+    more = slack / F.sqrt(F.greatest("chars", F.lit(1)))
     held = held.withColumn("low", F.col("low") - more).withColumn("high", F.col("high") + more)
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True))
     return held.select(F.col("doc").alias("doc_id"), *METRICS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), "low").alias("lower"), F.pow(F.lit(2.0), "high").alias("upper"))

@@ -157,6 +157,43 @@ def test_kneser_ney_sums_to_one():
         assert math.isclose(p.sum(), 1, rel_tol=1e-6)
 
 
+def test_quality_rejects_junk_of_any_script(spark):
+    r = random.Random(5)
+
+    def text(words):
+        return " ".join(r.choice(words) for _ in range(r.randrange(150, 300)))
+
+    letters = {"en": "etaoinshrdlucmfwyp", "ru": "оеаинтсрвлкмдпуяыь"}
+    words = {k: ["".join(r.choice(x) for _ in range(r.randrange(2, 8))) for _ in range(80)] for k, x in letters.items()}
+    rows = [(i, text(words[k]), k) for i in range(400) for k in [("en", "ru")[i % 2]]]
+    junk = [(1000 + i, " ".join("".join(r.choice(letters[k]) for _ in range(r.randrange(2, 8))) for _ in range(200)), k) for i, k in enumerate(("en", "ru", "en", "ru"))]
+    junk += [(1010, text(words["ru"]), "en"), (1011, text(words["en"]), "ru"), (1012, " ".join(str(r.randrange(10**6)) for _ in range(200)), "ru")]
+    got = {x.doc_id: x.kept for x in quality.score(spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[i] for i, *_ in junk) and sum(got[i] for i, *_ in rows) > 390
+
+
+def test_quality_probabilities_sum_to_one(spark):
+    r = random.Random(6)
+    rows = [("x", i % 2, "".join(r.choice("abcdé語") for _ in range(40))) for i in range(6)]
+    top = quality.count_ngrams(spark.createDataFrame(rows, "lang string, fold int, text string"))
+    plain = collections.Counter((("   " + t)[i : i + 3], t[i]) for _, fold, t in rows if fold == 1 for i in range(len(t)))
+    n = {(x.context, x.last): x.out0 for x in top.collect() if x.out0}
+    assert n == {((ord(a) << 42) | (ord(b) << 21) | ord(c), ord(d)): m for ((a, b, c), d), m in plain.items()}
+    full = spark.createDataFrame([("x", c, d, m, m) for (c, d), m in n.items()], "lang string, context long, last int, out0 long, out1 long")
+    codes = sorted({x for (a, b), _ in zip(n, range(10**6)) for x in (b, *(a >> s & 0x1FFFFF for s in (0, 21, 42)))})
+    of = {c: i + 1 for i, c in enumerate(codes)}
+    four = {sum(of[x] << 5 * k for k, x in enumerate((d, c & 0x1FFFFF, c >> 21 & 0x1FFFFF, c >> 42))): m for (c, d), m in n.items()}
+    code = np.array(sorted(four))
+    held, counts = [code], [np.array([four[x] for x in code])]
+    for k in (3, 2, 1):
+        c, m = np.unique(held[0] & (32**k - 1), return_counts=True)
+        held, counts = [c, *held], [m, *counts]
+    want = dict(zip(code.tolist(), quality.log_probabilities(quality.kneser_ney(held, counts), code), strict=True))
+    for x in quality.probabilities(full).collect():
+        key = sum(of[y] << 5 * k for k, y in enumerate((x.last, x.context & 0x1FFFFF, x.context >> 21 & 0x1FFFFF, x.context >> 42)))
+        assert abs(x.log0 - want[key]) < 0.05 and x.log0 == x.log1
+
+
 def test_warc_round_trip(spark):
     big, other = "<p>é</p>" * 400, "<b>x</b>" * 400
     rows = [(1, "u1", big), (2, "u2", big), (3, "u3", "small"), (4, "u4", "small"), (5, None, None), (6, "u6", other), (7, "u7", big), (8, "u8", "")]
