@@ -6,7 +6,8 @@ centroids from spherical k-means, and a text gets the language of the centroid w
 cosine.  A text further from every centroid than its language's training texts is rejected.
 
 Document frequencies cover all training texts.  Centroids and limits are fitted on a sample of
-at most ``sample`` training rows.  Null texts and texts without a letter are ``und`` with score
+at most ``sample`` distinct training texts: as many of each language that has a text with a
+letter, those of the least hashes, however many copies a text has.  Null texts and texts without a letter are ``und`` with score
 0 and are rejected.  Rows with null languages are not learned from.  Rows with null or repeated
 ids are predicted each on their own.
 """
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -94,34 +95,53 @@ def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, margin: float = 0.1) -> Model:
-    """A model of train(lang, text); languages in order, with at most ``sample`` rows over all of them for the centroids."""
+    """A model of train(lang, text); languages in order, with at most ``sample`` distinct texts over all of them for the centroids, and one of each language at least."""
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def frequency(batches):
-        total, n = np.zeros(DIMENSIONS, np.int64), 0
+        total, n, least = np.zeros(DIMENSIONS, np.int64), 0, {}
         for batch in batches:
+            lang, key = np.array(batch.column("lang").to_pylist(), object), batch.column("key").to_numpy(zero_copy_only=False)
             for i, j, data, off in slices(batch.column("text"), SLICE):
-                total += (counts(data, off)[0] > 0).sum(axis=0)
+                found, letters = counts(data, off)
+                total += (found > 0).sum(axis=0)
                 n += j - i
+                for name in set(lang[i:j][letters]):
+                    new = key[i:j][letters & (lang[i:j] == name)]
+                    least[name] = np.unique(np.r_[least.get(name, new[:0]), new])[:sample]
         at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[total[at], n])], ["dim", "n"])
+        yield pa.record_batch([pa.nulls(len(at) + 1, pa.string()), pa.array(np.r_[at, -1].astype(np.int64)), pa.array(np.r_[total[at], n])], ["lang", "key", "n"])
+        for name, keys in least.items():
+            yield pa.record_batch([pa.array([name] * len(keys)), pa.array(keys), pa.array(np.ones(len(keys), np.int64))], ["lang", "key", "n"])
 
-    df = {r["dim"]: r["n"] for r in train.select("text").mapInArrow(frequency, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
+    keyed = train.select("lang", F.xxhash64("text").alias("key"), "text")
+    seen = written(keyed.mapInArrow(frequency, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    df = {r["key"]: r["n"] for r in seen.where("lang is null").collect()}
     documents = df.pop(-1, 0)
     frequencies = np.zeros(DIMENSIONS)
     for dim, n in df.items():
         frequencies[dim] = n
     model = Model(np.log((documents + 1) / (frequencies + 1)).astype(np.float32) + 1, [], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0))
-    per = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
+    usable = seen.where("lang is not null").select("lang", "key")
+    per = [r["lang"] for r in usable.select("lang").distinct().collect()]
     each = max(1, sample // max(1, len(per)))
-    share = F.create_map(*(x for lang, n in per.items() for x in (F.lit(lang), F.lit(min(1.0, 1.2 * each / n))))) if per else None
-    rows = []
-    if per:
-        chosen = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_003)
-        rows = written(chosen.select("lang", "text")).limit(2 * sample).collect()
+
+    def first(batches):
+        least = {}
+        for batch in batches:
+            lang, key = np.array(batch.column("lang").to_pylist(), object), batch.column("key").to_numpy(zero_copy_only=False)
+            for name in set(lang):
+                least[name] = np.unique(np.r_[least.get(name, key[:0]), key[lang == name]])[:each]
+        for name, keys in least.items():
+            yield pa.record_batch([pa.array([name] * len(keys)), pa.array(keys)], ["lang", "key"])
+
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    chosen = usable.mapInArrow(first, "lang string, key long").withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "key")
+    # at most ``sample`` rows, or one for each language
+    rows = keyed.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text")).orderBy("lang", "key").collect()
     of, all_centroids, limits = [], [], []
     for lang in sorted(per):
-        texts = pa.array([r["text"] for r in rows if r["lang"] == lang][: 2 * each], pa.string())
+        texts = pa.array([r["text"] for r in rows if r["lang"] == lang], pa.string())
         held = [(n, ok) for _, _, data, off in slices(texts, SLICE) for n, ok in [counts(data, off)]]
         if not held or not any(ok.any() for _, ok in held):
             continue

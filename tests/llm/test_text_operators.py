@@ -367,6 +367,18 @@ def test_langid(spark):
     assert {x.lang_pred for x in langid.predict(df, empty).collect()} == {"und"}
 
 
+def test_langid_learns_a_language_of_copies(spark):
+    r = random.Random(1)
+    rows = [("aa", " ".join("".join(r.choice(["the", "ing", "and", "ther"]) for _ in range(3)) for _ in range(30))) for _ in range(300)]
+    copied = [" ".join("".join(r.choice(["ung", "sch", "ß", "ein"]) for _ in range(3)) for _ in range(30)) for _ in range(2)]
+    few = {f"c{i}": [f"{chr(0x400 + 9 * i + j)}{chr(0x401 + 9 * i + j)} x{i}" * 9 for j in range(2)] for i in range(4)}
+    rows += [("bb", t) for t in copied for _ in range(400)] + [(k, t) for k, x in few.items() for t in x for _ in range(300)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), sample=60)
+    assert model.languages == ["aa", "bb", "c0", "c1", "c2", "c3"] and np.count_nonzero(model.of == 1) <= 2
+    got = {(x.text, x.lang_pred, x.rejected) for x in langid.predict(spark.createDataFrame([(t,) for t in copied], "text string"), model).collect()}
+    assert got == {(t, "bb", False) for t in copied}
+
+
 def test_toxicity(spark):
     r = random.Random(0)
     rows, labels = [], []
