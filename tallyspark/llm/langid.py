@@ -3,9 +3,10 @@
 A text becomes a vector of its character 1- to 3-grams (letters folded, runs of others as a
 space), hashed to ``DIMENSIONS``, weighted by TF-IDF and normalised.  Each language has several
 centroids from spherical k-means, and a text gets the language of the centroid with the largest
-cosine.  A text further from every centroid than its language's training texts is rejected.
+cosine.  A text is rejected if its cosine is more than ``margin`` below the ``quantile`` (1 %) of
+the cosines of its language's training texts of about its length.
 
-Document frequencies cover all training texts.  Centroids and limits are fitted on a sample of
+Document frequencies and limits cover all training texts.  Centroids are fitted on a sample of
 at most ``sample`` distinct training texts: as many of each language that has a text with a
 letter, those of the least hashes, however many copies a text has.  Null texts and texts without a letter are ``und`` with score
 0 and are rejected.  Rows with null languages are not learned from.  Rows with null or repeated
@@ -23,6 +24,7 @@ from .shared import written
 from .textblocks import U, codepoints, mix, slices
 
 DIMENSIONS, CENTROIDS, SAMPLE, SLICE = 4096, 4, 2000, 256 << 10
+LENGTHS, BINS = 32, 256
 _tables: list[np.ndarray] = []
 
 
@@ -79,22 +81,49 @@ class Model:
         return self.of[best], cosine[np.arange(len(v)), best]
 
 
-def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from texts spread by farthest-first choice."""
+def _kmeans(v: np.ndarray, k: int, rounds: int = 12, least: float = 0.02) -> np.ndarray:
+    """Spherical k-means, seeded by k-means++; clusters of under ``least`` of the texts, or of one text, go to their neighbours."""
+    r = np.random.default_rng(0)
     chosen = [int((v @ v.mean(axis=0)).argmax())]
     near = v @ v[chosen[0]]
     while len(chosen) < min(k, len(v)):
-        chosen.append(int(near.argmin()))
+        far = np.maximum(1 - near.astype(float), 0)
+        if far.sum() < 1e-6 * len(v):
+            break
+        chosen.append(int(r.choice(len(v), p=far / far.sum())))
         near = np.maximum(near, v @ v[chosen[-1]])
     c = v[chosen]
-    for _ in range(rounds):
-        best = (v @ c.T).argmax(axis=1)
-        c = np.stack([v[best == j].mean(axis=0) if (best == j).any() else c[j] for j in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
-
-
-def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, margin: float = 0.1) -> Model:
+    while True:
+        for _ in range(rounds):
+            best = (v @ c.T).argmax(axis=1)
+            c = np.stack([v[best == j].mean(axis=0) if (best == j).any() else c[j] for j in range(len(c))])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        size = np.bincount((v @ c.T).argmax(axis=1), minlength=len(c))
+        if len(c) == 1 or size.min() >= max(2, least * len(v)):
+            return c
+        c = np.delete(c, size.argmin(), axis=0)
+
+
+def _length(n: np.ndarray) -> np.ndarray:
+    """The length class of each row of counts: the binary logarithm of how many n-grams it has."""
+    return np.minimum(np.log2(np.maximum(n.sum(axis=1), 1)).astype(int), LENGTHS - 1)
+
+
+def _limits(histogram: np.ndarray, quantile: float, enough: int) -> np.ndarray:
+    """For each length class the low quantile of a histogram (class, cosine); classes of fewer rows than ``enough`` take their neighbours in."""
+    out = np.zeros(len(histogram))
+    for at in range(len(histogram)):
+        for reach in range(len(histogram)):
+            h = histogram[max(0, at - reach) : at + reach + 1].sum(axis=0)
+            if h.sum() >= enough:
+                break
+        # the lowest of a few texts doesn't set the limit alone
+        rank = max(int(quantile * h.sum()), min(1, int(h.sum()) - 1))
+        out[at] = np.searchsorted(np.cumsum(h), rank, "right") / h.shape[0]
+    return out
+
+
+def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, margin: float = 0.1, quantile: float = 0.01, enough: int = 200) -> Model:
     """A model of train(lang, text); languages in order, with at most ``sample`` distinct texts over all of them for the centroids, and one of each language at least."""
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
@@ -121,7 +150,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, marg
     frequencies = np.zeros(DIMENSIONS)
     for dim, n in df.items():
         frequencies[dim] = n
-    model = Model(np.log((documents + 1) / (frequencies + 1)).astype(np.float32) + 1, [], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0))
+    model = Model(np.log((documents + 1) / (frequencies + 1)).astype(np.float32) + 1, [], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, LENGTHS)))
     usable = seen.where("lang is not null").select("lang", "key")
     per = [r["lang"] for r in usable.select("lang").distinct().collect()]
     each = max(1, sample // max(1, len(per)))
@@ -139,7 +168,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, marg
     chosen = usable.mapInArrow(first, "lang string, key long").withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "key")
     # at most ``sample`` rows, or one for each language
     rows = keyed.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text")).orderBy("lang", "key").collect()
-    of, all_centroids, limits = [], [], []
+    of, all_centroids = [], []
     for lang in sorted(per):
         texts = pa.array([r["text"] for r in rows if r["lang"] == lang], pa.string())
         held = [(n, ok) for _, _, data, off in slices(texts, SLICE) for n, ok in [counts(data, off)]]
@@ -150,9 +179,35 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, marg
         of += [len(model.languages)] * len(c)
         model.languages.append(lang)
         all_centroids.append(c)
-        limits.append(float((v @ c.T).max(axis=1).min()) - margin)
-    if all_centroids:
-        model.of, model.centroids, model.limit = np.array(of), np.concatenate(all_centroids).astype(np.float32), np.maximum(np.array(limits), 0.0)
+    if not all_centroids:
+        return model
+    model.of, model.centroids = np.array(of), np.concatenate(all_centroids).astype(np.float32)
+    shared = train.sparkSession.sparkContext.broadcast(model)
+
+    def cosines(batches):
+        m = shared.value
+        number = {name: i for i, name in enumerate(m.languages)}
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lang = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()])
+            for i, j, data, off in slices(batch.column("text"), SLICE):
+                n, letters = counts(data, off)
+                v, length = m.vectors(n), _length(n)
+                for k in np.unique(lang[i:j][letters]):
+                    if k >= 0:
+                        at = letters & (lang[i:j] == k)
+                        near = (v[at] @ m.centroids[m.of == k].T).max(axis=1)
+                        cell = length[at] * BINS + np.clip(near * BINS, 0, BINS - 1).astype(int)
+                        total[k] = total.get(k, 0) + np.bincount(cell, minlength=LENGTHS * BINS)
+        for k, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.record_batch([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["of", "cell", "n"])
+
+    histogram: dict[int, np.ndarray] = {}
+    # at most LENGTHS * BINS rows a language
+    for of_, cell, n in train.select("lang", "text").mapInArrow(cosines, "of int, cell int, n long").groupBy("of", "cell").agg(F.sum("n")).collect():
+        histogram.setdefault(of_, np.zeros(LENGTHS * BINS, np.int64))[cell] = n
+    model.limit = np.stack([np.maximum(_limits(histogram[k].reshape(LENGTHS, BINS), quantile, enough) - margin, 0) for k in range(len(model.languages))])
     return model
 
 
@@ -171,7 +226,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 n, letters = counts(data, off)
                 of, cosine = m.nearest(m.vectors(n)) if len(m.of) else (np.zeros(j - i, int), np.zeros(j - i))
                 letters = letters & (len(m.of) > 0)
-                far = ~letters | (cosine < (m.limit[of] if len(m.of) else 0))
+                far = ~letters | (cosine < (m.limit[of, _length(n)] if len(m.of) else 0))
                 yield pa.record_batch([batch.column("row").slice(i, j - i), pa.array(names[np.where(letters, of, -1)].tolist()), pa.array(np.where(letters, np.clip(cosine, 0, 1), 0).astype(float)), pa.array(far)], ["row", "lang_pred", "score", "rejected"])
 
     schema = StructType().add("row", rows.schema["row"].dataType).add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())

@@ -379,6 +379,21 @@ def test_langid_learns_a_language_of_copies(spark):
     assert got == {(t, "bb", False) for t in copied}
 
 
+def test_langid_rejects_related_unseen_languages_despite_odd_texts(spark):
+    r = random.Random(2)
+    parts = {"aa": ["the", "ing", "and", "ther", "ou"], "bb": ["las", "qu", "cion", "os", "el"], "cc": ["ung", "sch", "ein", "ou", "el"]}
+
+    def text(k):
+        return " ".join("".join(r.choice(parts[k]) for _ in range(3)) for _ in range(60))
+
+    rows = [(k, text(k)) for k in ("aa", "bb") for _ in range(300)] + [("aa", "zq"), ("bb", "語"), ("aa", "жж ёё"), ("bb", "x")]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert min(np.bincount(model.of)) >= 1 and len(model.centroids) < 8
+    fresh = [(k, text(k)) for k in parts for _ in range(40)]
+    got = collections.Counter((x.lang, x.rejected) for x in langid.predict(spark.createDataFrame(fresh, "lang string, text string"), model).collect())
+    assert got["cc", True] == 40 and got["aa", False] == 40 and got["bb", False] == 40
+
+
 def test_toxicity(spark):
     r = random.Random(0)
     rows, labels = [], []
