@@ -33,7 +33,7 @@ def benchmark_decontamination(spark, docs, sf_dir):
 
 def best_fit_packing(spark, docs, sf_dir):
     """The pieces of the documents left and their places in sequences."""
-    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False)
+    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False, added=True)
     return packing.pack(cut).withColumnRenamed("doc", "doc_id")
 
 

@@ -91,33 +91,35 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     return runs + [x for held in gaps.values() for x in held]
 
 
-def _tokenizer(path: str, pattern: str):
-    """The byte-level BPE of a tokenizers file, run by tiktoken, which gives the same ids several times as fast."""
+def _tokenizer(path: str, pattern: str, added: bool = False):
+    """The byte-level BPE of a tokenizers file, run by tiktoken, which gives the same ids several times as fast; with ``added``, the file's added tokens are tokens where a text spells them out, as tokenizers has it by default."""
     import json
 
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        held = json.load(f)
+    vocab = held["model"]["vocab"]
+    special = {t["content"]: t["id"] for t in held.get("added_tokens", [])} if added else {}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain}
     byte |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(byte[ch] for ch in token): i for token, i in vocab.items() if all(ch in byte for ch in token) and not token.startswith("<|")}
-    return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
-def pieces(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, keep_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, keep_ids: bool = True, added: bool = False) -> DataFrame:
     """doc, piece, start, length, ids_crc32 and, with keep_ids, ids: documents' tokens, of which those of long ones are cut so that all pieces but the first are full."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def cut(batches):
-        encode = _tokenizer(tokenizer, pattern).encode_to_numpy
+        encode = _tokenizer(tokenizer, pattern, added).encode_to_numpy
         for batch in batches:
             doc, texts = batch.column("doc").to_pylist(), batch.column("text")
             out = defaultdict(list)
             for i, d in enumerate(doc):
-                ids = np.append(encode(texts[i].as_py(), disallowed_special=()), np.uint32(end)).astype("<u4")
+                ids = np.append(encode(texts[i].as_py(), allowed_special="all", disallowed_special=()), np.uint32(end)).astype("<u4")
                 first = len(ids) % capacity or capacity
                 for k, a in enumerate([0, *range(first, len(ids), capacity)]):
                     b = first if k == 0 else a + capacity

@@ -47,7 +47,7 @@ def op7_decontaminate(spark, sf_dir):
 def op8_packing(spark, sf_dir, tokenizer=None):
     import public_tokenizers
 
-    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False)
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False, added=True)
     return packing.pack(cut).select(F.col("doc").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset"))
 
 

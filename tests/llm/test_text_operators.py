@@ -326,6 +326,21 @@ def test_packing_plan():
     assert packing.plan({}) == [] and packing.plan({64: 3}, 64) == [((64,), 3)]
 
 
+def test_packing_query_encodes_added_tokens_by_default(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from tallyspark.llm import queries
+
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext", "plain\n text "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in queries.op8_packing(spark, str(tmp_path)).collect()}
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, packing.END], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_packing(spark, docs, rows):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
