@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .shared import written
 from .textblocks import U, codepoints, mix, slices
 
-DIMENSIONS, CENTROIDS, SAMPLE, SLICE = 4096, 4, 2000, 256 << 10
+DIMENSIONS, CENTROIDS, SAMPLE = 4096, 4, 2000
+#: Bytes and rows of a slice: a row of counts takes DIMENSIONS numbers however short its text is.
+SLICE, ROWS = 256 << 10, 256
 LENGTHS, BINS = 32, 256
 _tables: list[np.ndarray] = []
 
@@ -50,14 +52,14 @@ def counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != 32) | (x[:-1] != 32) | (doc[1:] != doc[:-1])
     x, doc = x[keep], doc[keep]
-    out = np.zeros(docs * DIMENSIONS, np.int64)
+    out = np.zeros(docs * DIMENSIONS, np.int32)
     code = x.astype(np.uint64)
     for n in (1, 2, 3):
         if n > 1:
             code = (code[:-1] << U(21)) | x[n - 1 :]
         inside = doc[: len(code)] == doc[n - 1 :] if len(code) else np.zeros(0, bool)
         dim = (mix(code + U(n)) & U(DIMENSIONS - 1)).astype(np.int64)
-        out += np.bincount(doc[: len(code)][inside] * DIMENSIONS + dim[inside], minlength=docs * DIMENSIONS)
+        out += np.bincount(doc[: len(code)][inside] * DIMENSIONS + dim[inside], minlength=docs * DIMENSIONS).astype(np.int32)
     return out.reshape(docs, DIMENSIONS), np.bincount(doc[x != 32], minlength=docs) > 0
 
 
@@ -70,7 +72,7 @@ class Model:
     limit: np.ndarray
 
     def vectors(self, n: np.ndarray) -> np.ndarray:
-        v = np.log1p(n).astype(np.float32) * self.idf
+        v = np.log1p(n, dtype=np.float32) * self.idf
         norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
         return v / np.maximum(norm, 1e-12)
 
@@ -131,7 +133,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, marg
         total, n, least = np.zeros(DIMENSIONS, np.int64), 0, {}
         for batch in batches:
             lang, key = np.array(batch.column("lang").to_pylist(), object), batch.column("key").to_numpy(zero_copy_only=False)
-            for i, j, data, off in slices(batch.column("text"), SLICE):
+            for i, j, data, off in slices(batch.column("text"), SLICE, ROWS):
                 found, letters = counts(data, off)
                 total += (found > 0).sum(axis=0)
                 n += j - i
@@ -171,7 +173,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, marg
     of, all_centroids = [], []
     for lang in sorted(per):
         texts = pa.array([r["text"] for r in rows if r["lang"] == lang], pa.string())
-        held = [(n, ok) for _, _, data, off in slices(texts, SLICE) for n, ok in [counts(data, off)]]
+        held = [(n, ok) for _, _, data, off in slices(texts, SLICE, ROWS) for n, ok in [counts(data, off)]]
         if not held or not any(ok.any() for _, ok in held):
             continue
         v = np.concatenate([model.vectors(n[ok]) for n, ok in held])
@@ -190,7 +192,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, marg
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             lang = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()])
-            for i, j, data, off in slices(batch.column("text"), SLICE):
+            for i, j, data, off in slices(batch.column("text"), SLICE, ROWS):
                 n, letters = counts(data, off)
                 v, length = m.vectors(n), _length(n)
                 for k in np.unique(lang[i:j][letters]):
@@ -222,7 +224,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         m = shared.value
         names = np.array([*m.languages, "und"], object)
         for batch in batches:
-            for i, j, data, off in slices(batch.column("text"), SLICE):
+            for i, j, data, off in slices(batch.column("text"), SLICE, ROWS):
                 n, letters = counts(data, off)
                 of, cosine = m.nearest(m.vectors(n)) if len(m.of) else (np.zeros(j - i, int), np.zeros(j - i))
                 letters = letters & (len(m.of) > 0)

@@ -2,14 +2,15 @@
 
 Texts stay UTF-8 bytes.  A word is a maximal run of bytes other than space, tab, newline,
 vertical tab, form feed and carriage return.  A null text has no words.  Work goes slice by
-slice, so a task's memory follows ``SLICE`` (or its longest document), not its partition.
+slice of ``SLICE`` bytes and ``ROWS`` rows at most, so a task's memory follows these (or its
+longest document), not its partition, and neither very long nor very many tiny texts swell it.
 """
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE, ROWS = 512 << 10, 1024
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -40,17 +41,18 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def slices(column: pa.Array, most: int = SLICE):
-    """(first row, row after the last, bytes, offsets) of runs of rows of about ``most`` bytes."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-    i, n = 0, len(column)
-    while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1))
-        yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
-        i = j
+def slices(column: pa.Array, most: int = SLICE, rows: int = ROWS):
+    """(first row, row after the last, bytes, offsets) of runs of rows of about ``most`` bytes and at most ``rows`` rows."""
+    for first in range(0, len(column), rows):
+        part = pc.fill_null(column.slice(first, rows).cast(pa.large_string()), "")
+        off = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        raw = part.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        i, n = 0, len(part)
+        while i < n:
+            j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1))
+            yield first + i, first + j, data[off[i] : off[j]], off[i : j + 1] - off[i]
+            i = j
 
 
 def binary_column(parts: list[bytes] | pa.Array) -> pa.Array:
