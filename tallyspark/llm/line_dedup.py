@@ -3,16 +3,26 @@
 A host's boilerplate are the lines that more than ``ratio`` of its pages contain, on
 ``min_pages`` pages at least.  Pages count a line once, before anything is shuffled, and the
 counts are aggregated where they arise, so a host with a third of all pages is no hot group.
-As a page has few lines, a host has at most its mean number of lines over ``ratio`` such lines,
-and that short list joins its pages.  Lines are named by 64-bit hashes within their host.
+As a page has few lines, a host has at most its mean number of lines over ``ratio`` such lines.
+The lists of all hosts are written and their lines counted: up to ``BROADCAST`` lines they are sent
+to where the pages are, so texts stay in place; beyond it pages meet them by host and one of as
+many salts as there are partitions, so the pages of a large host are not one group.  Lines are
+named by 64-bit hashes within their host.
 
 A null host is a host of its own.  A null text stays null and its page does not count.  Lines
-without a visible character are never dropped.  Repeated rows are pages of their own.
+without a visible character are never dropped.  Repeated rows, and rows with null or repeated ids,
+are pages of their own.  A line on exactly ``ratio`` of the pages stays.  Very long texts are taken
+whole.  An empty table stays empty.  Other columns pass through, whatever their names, but for
+n_lines and n_dropped, which ``counts`` replaces.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import partitions, written
+
+#: Lines of 8 bytes.
+BROADCAST = 1 << 20
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -35,14 +45,22 @@ def boilerplate(docs: DataFrame, host, text, ratio: float, min_pages: int) -> Da
     return often.groupBy("_host").agg(F.sort_array(F.collect_list("_line")).alias("_lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 3, counts: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 3, counts: bool = False, broadcast: int = BROADCAST) -> DataFrame:
     """docs with its boilerplate lines dropped from text_col; with counts, also n_lines and n_dropped."""
     host, text = F.col(host_col), F.col(text_col)
-    drop = boilerplate(docs, host, text, ratio, min_pages)
+    drop = written(boilerplate(docs, host, text, ratio, min_pages))
+    size = drop.agg(F.sum(1 + F.size("_lines"))).first()[0] or 0
     lines, gone = F.split(F.col("_row")[text_col], "\n"), F.col("_lines")
     kept = F.filter(lines, lambda x: ~(_visible(x) & F.array_contains(gone, F.xxhash64(x))))
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    both = rows.join(drop, rows["_row"][host_col].eqNullSafe(drop["_host"]), "left")
+    met = rows["_row"][host_col].eqNullSafe(drop["_host"])
+    if size <= broadcast:
+        both = rows.join(F.broadcast(drop), met, "left")
+    else:
+        salts = partitions(docs.sparkSession)
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col("_row")[text_col]), F.lit(salts)))
+        salted = drop.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        both = rows.join(salted, rows["_row"][host_col].eqNullSafe(salted["_host"]) & (rows["_salt"] == salted["_of"]), "left")
     out = both.select("_row", F.when(gone.isNull(), F.col("_row")[text_col]).otherwise(F.array_join(kept, "\n")).alias("_text"), F.size(lines).alias("_n"), F.when(gone.isNull(), 0).otherwise(F.size(lines) - F.size(kept)).alias("_gone"))
     columns = [F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
     extra = [F.when(F.col("_row")[text_col].isNull(), 0).otherwise(F.col("_n")).alias("n_lines"), F.when(F.col("_row")[text_col].isNull(), 0).otherwise(F.col("_gone")).alias("n_dropped")] if counts else []
