@@ -1,9 +1,9 @@
 """Connected components of a graph given as a table of edges."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import remove, write
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -11,9 +11,18 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     Alternating large-star and small-star steps: each works on the minima of neighbourhoods,
     which are aggregated before they are shuffled, and every round is written to the shared
-    folder.  The number of rounds grows with the logarithm of the longest path.
+    folder in place of the one before.  The number of rounds grows with the logarithm of the
+    longest path.  Repeated edges and loops count for nothing; without edges there is no row.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark = edges.sparkSession
+
+    def kept(df):
+        """df written, and what tells it from another: counted while it is written."""
+        seen = Observation()
+        table, path = write(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("key")))
+        return table, path, seen.get
+
+    e, path, state = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
         # large star: neighbours above a node go to the smallest of its neighbourhood
         both = e.select("a", "b").union(e.select("b", "a"))
@@ -22,9 +31,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         # small star: a node and its lower neighbours go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        new = written(small)
-        key = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        if new.agg(F.count("*"), key).first() == e.agg(F.count("*"), key).first():
-            return new.select(F.col("a").alias("node"), F.col("b").alias("component")).union(new.select("b", "b")).distinct()
-        e = new
+        before, (e, at, now) = path, kept(small)
+        remove(spark, before)
+        path = at
+        if now == state:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b")).distinct()
+        state = now
     raise RuntimeError(f"no end after {rounds} rounds")

@@ -17,11 +17,21 @@ def folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: a lost executor costs no recomputation of what led to it."""
+def write(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: a lost executor costs no recomputation of what led to it."""
+    return write(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of write() that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
