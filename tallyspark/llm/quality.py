@@ -6,17 +6,21 @@ discounts and probabilities of a modified Kneser-Ney model, as tables dealt by l
 n-gram.  A text must not vouch for itself: texts are dealt into two folds by their hash (copies
 into the same), and each is scored by the model of the other fold.
 
-To score, documents are dealt into blocks of one language of about ``BLOCK`` characters; the
-distinct four-grams of a block are joined with the model, and the block's documents look theirs
-up in what comes back.  So no task holds more of the model than its block asks for.
+To score, documents are dealt into blocks of one language of about ``BLOCK`` characters, packed
+and compressed before they are shuffled; the distinct four-grams of a block are joined with the
+model, and the block's documents look theirs up in sorted arrays of hashes of what comes back.
+So no task holds more of the model than its block asks for.
 
 A document's perplexity (for a character) is held against its language's band: between the
 quartiles of all documents that pass the base rules, widened by ``fence`` times their distance and, as short texts vary more, by ``slack``
 bits over the square root of the text's characters.
 
 The language is the given column, each with a model of its own; null is a language of its own.
-A null text is an empty one: it fails the base rules.  Other columns pass through where their
-names differ from the results'.
+A null text is an empty one: it fails the base rules.  Repeated rows, and rows with null or
+repeated ids, are each a row of the result; they count as often as they are there.  An empty
+table gives no row.  Very long texts are scored whole.  Ties at a band's edge are inside it.
+Only the id of a row passes through, as doc_id; columns beside id, text and language are left out,
+whatever their names.
 """
 
 import numpy as np
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from .shared import partitions, written
 from .textblocks import STEP, U, WHITE, Words, codepoints, grams, mix, per_doc_sum, per_document, slices, span_hashes
 
-ORDER, CLASSES = 4, 32
+ORDER = 4
 #: Bits of a code point, and their number.
 BITS, POINTS = 21, 0x110000
 BLOCK = 4 << 20
@@ -96,30 +100,74 @@ def _hash(context: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mix(mix(context.astype(np.uint64)) + last.astype(np.uint64) * STEP)
 
 
-def _gram_rows(keys: list[str], kinds: str):
-    """A mapInArrow function and its schema: the distinct four-grams of the texts of each of the keys."""
-
-    def rows(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for i, j, data, off in slices(batch.column("text"), BLOCK):
-                x, chars = _windows(data, off)
-                key = list(zip(*(table.column(k).slice(i, j - i).to_pylist() for k in keys), strict=True))
-                names = {name: k for k, name in enumerate(dict.fromkeys(key))}
-                of = np.repeat(np.array([names[name] for name in key]), np.diff(chars))
-                for name, k in names.items():
-                    context, last, n = _distinct([c[of == k] for c in x] if len(names) > 1 else x)
-                    got = pa.table({"context": context, "last": last, "n": n})
-                    for field, value in zip(keys, name, strict=True):
-                        got = got.append_column(field, pa.array([value] * len(n), table.schema.field(field).type))
-                    yield from got.to_batches(max_chunksize=50_000)
-
-    return rows, f"context long, last int, n long, {kinds}"
+def _fold_rows(batches):
+    """The distinct four-grams of the texts of each language and fold."""
+    for batch in batches:
+        lang, fold = batch.column("lang").to_pylist(), batch.column("fold").to_numpy()
+        for i, j, data, off in slices(batch.column("text"), BLOCK):
+            x, chars = _windows(data, off)
+            key = list(zip(lang[i:j], fold[i:j].tolist(), strict=True))
+            names = {name: k for k, name in enumerate(dict.fromkeys(key))}
+            of = np.repeat(np.array([names[name] for name in key]), np.diff(chars))
+            for (name, side), k in names.items():
+                context, last, n = _distinct([c[of == k] for c in x] if len(names) > 1 else x)
+                got = pa.table({"lang": pa.array([name] * len(n), pa.string()), "fold": np.full(len(n), side, np.int32), "context": context, "last": last, "n": n})
+                yield from got.to_batches(max_chunksize=50_000)
+
+
+CODEC = pa.Codec("zstd", 3)
+
+
+def _pack(batches):
+    """A compressed row for the texts that a batch has of each block."""
+    for batch in batches:
+        lang, block, fold = batch.column("lang").to_pylist(), batch.column("block").to_numpy(), batch.column("fold").to_numpy().astype(np.uint8)
+        doc = batch.column("doc")
+        known, doc = np.array(doc.is_valid()).astype(np.uint8), doc.fill_null(0).to_numpy()
+        raw = [x.as_buffer() if x.is_valid else b"" for x in batch.column("text").cast(pa.large_binary())]
+        held: dict[tuple, list[int]] = {}
+        for r, key in enumerate(zip(lang, block.tolist(), strict=True)):
+            held.setdefault(key, []).append(r)
+        for (name, b), rows in held.items():
+            at = np.array(rows)
+            body = b"".join([np.array([len(at)]).tobytes(), doc[at].tobytes(), np.array([len(raw[r]) for r in rows], np.int64).tobytes(), known[at].tobytes(), fold[at].tobytes(), *(raw[r] for r in rows)])
+            yield pa.record_batch([pa.array([name], pa.string()), pa.array([b], pa.int32()), pa.array([len(body)], pa.int64()), pa.array([CODEC.compress(body, asbytes=True)], pa.binary())], ["lang", "block", "size", "packed"])
+
+
+def _unpack(packed: bytes, size: int):
+    """doc, whether it is known, fold, bytes and offsets of the texts of a packed row."""
+    body = np.frombuffer(CODEC.decompress(packed, size), np.uint8)
+    n = int(body[:8].view(np.int64)[0])
+    doc, length = body[8 : 8 + 8 * n].view(np.int64), body[8 + 8 * n : 8 + 16 * n].view(np.int64)
+    at = 8 + 16 * n
+    return doc, body[at : at + n] > 0, body[at + n : at + 2 * n], body[at + 2 * n :], np.r_[0, np.cumsum(length)]
+
+
+def _block_rows(batches):
+    """The distinct four-grams of each block, or of each BLOCK bytes of a larger one, from packed rows sorted by block."""
+    key, held, n = None, [], 0
+
+    def result():
+        context, last, _ = _distinct([np.concatenate(c) for c in zip(*held, strict=True)])
+        got = pa.table({"lang": pa.array([key[0]] * len(last), pa.string()), "block": np.full(len(last), key[1], np.int32), "context": context, "last": last})
+        yield from got.to_batches(max_chunksize=50_000)
+
+    for batch in batches:
+        for lang, block, size, packed in zip(batch.column("lang").to_pylist(), batch.column("block").to_pylist(), batch.column("size").to_pylist(), batch.column("packed"), strict=True):
+            if held and (key != (lang, block) or n >= BLOCK):
+                yield from result()
+                held, n = [], 0
+            key = (lang, block)
+            *_, data, off = _unpack(packed.as_buffer(), size)
+            held.append(_windows(data, off)[0])
+            n += len(data)
+    if held:
+        yield from result()
 
 
 def count_ngrams(rows: DataFrame) -> DataFrame:
     """lang, context, last, out0, out1: the four-grams of rows(lang, fold, text), counted outside each fold."""
-    got = rows.select("lang", "fold", "text").mapInArrow(*_gram_rows(["lang", "fold"], "lang string, fold int"))
+    got = rows.select("lang", "fold", "text").mapInArrow(_fold_rows, "lang string, fold int, context long, last int, n long")
     outside = [F.sum(F.when(F.col("fold") != i, F.col("n")).otherwise(0)).alias(f"out{i}") for i in (0, 1)]
     return got.groupBy("lang", "context", "last").agg(*outside)
 
@@ -154,60 +202,6 @@ def probabilities(top: DataFrame) -> DataFrame:
     return below.select("lang", "context", "last", F.log2("p0").alias("log0"), F.log2("p1").alias("log1"))
 
 
-def kneser_ney(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The model in memory, over ``CLASSES`` symbols: the plain version of ``probabilities``.
-
-    Sorted n-gram hashes with log2 probabilities, and sorted context hashes with log2 back-off weights.
-    codes[k], counts[k]: the (k + 1)-grams, with counts for the highest order and continuation counts below.
-    """
-    keys, logs, contexts, weights = [], [], [], []
-    lower = np.full(CLASSES, 1 / CLASSES)
-    lower_codes = None
-    for k, (code, n) in enumerate(zip(codes, counts, strict=True)):
-        order = np.argsort(code)
-        code, n = code[order], n[order].astype(float)
-        t = [max(1.0, float((n == i).sum())) for i in range(1, 5)]
-        y = t[0] / (t[0] + 2 * t[1])
-        d = np.clip([1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]], 0.05, [0.95, 1.9, 2.9])
-        off = d[np.clip(n, 1, 3).astype(int) - 1]
-        context, at = np.unique(code >> 5, return_inverse=True)
-        total = np.bincount(at, n)
-        gamma = np.bincount(at, off) / total
-        below = lower[code] if lower_codes is None else lower[np.searchsorted(lower_codes, code & (CLASSES**k - 1))]
-        p = (n - off) / total[at] + gamma[at] * below
-        keys.append(ngram_hash(code, k + 1))
-        logs.append(np.log2(p))
-        contexts.append(ngram_hash(context, k))
-        weights.append(np.log2(gamma))
-        lower, lower_codes = p, code
-    keys, logs, contexts, weights = (np.concatenate(x) for x in (keys, logs, contexts, weights))
-    a, b = np.argsort(keys), np.argsort(contexts)
-    return keys[a], logs[a], contexts[b], weights[b]
-
-
-def ngram_hash(code: np.ndarray, order: int) -> np.ndarray:
-    return mix(code.astype(np.uint64) + (U(order + 1) << U(40)))
-
-
-def _found(keys, values, wanted, missing):
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    hit = keys[at] == wanted
-    return np.where(hit, values[at], missing), hit
-
-
-def log_probabilities(model, code: np.ndarray) -> np.ndarray:
-    """log2 of the probability of the last class of each four-gram after the three before it."""
-    keys, logs, contexts, weights = model
-    out, open_ = np.zeros(len(code)), np.ones(len(code), bool)
-    for k in range(ORDER, 0, -1):
-        part = code & (CLASSES**k - 1)
-        log, hit = _found(keys, logs, ngram_hash(part, k), 0.0)
-        out += np.where(open_ & hit, log, 0)
-        open_ &= ~hit
-        out += np.where(open_, _found(contexts, weights, ngram_hash(part >> 5, k - 1), 0.0)[0], 0)
-    return np.where(open_, out - np.log2(CLASSES), out)
-
-
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -220,16 +214,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = top.groupBy("lang").agg(F.ceil(F.sum(F.col("out0") + F.col("out1")) / BLOCK).alias("blocks")).where("blocks > 1").collect()
     parts = F.create_map(*(F.lit(x) for r in sizes for x in r)) if sizes else F.create_map(F.lit(OTHER), F.lit(1))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc", "text"), F.coalesce(parts[F.col("lang")], F.lit(1))).cast("int"))
+    dealt = dealt.mapInArrow(_pack, "lang string, block int, size long, packed binary")
     dealt = dealt.repartition(max(partitions(docs.sparkSession), 2 * sum(r["blocks"] for r in sizes)), "lang", "block")
-    asked = dealt.mapInArrow(*_gram_rows(["lang", "block"], "lang string, block int")).drop("n")
+    asked = dealt.sortWithinPartitions("lang", "block").mapInArrow(_block_rows, "lang string, block int, context long, last int")
     told = asked.join(probabilities(top), ["lang", "context", "last"]).select("lang", "block", "context", "last", "log0", "log1")
 
     def measure(block: pa.Table, told: pa.Table) -> pa.Table:
         key = _hash(told.column("context").to_numpy(), told.column("last").to_numpy())
         order = np.argsort(key)
         key, logs = key[order], np.stack([told.column(f"log{i}").to_numpy()[order] for i in (0, 1)])
-        fold, out = block.column("fold").to_numpy(), []
-        for i, j, data, off in slices(block.column("text").combine_chunks()):
+        out = []
+        for size, packed in zip(block.column("size").to_pylist(), block.column("packed").to_pylist(), strict=True):
+            doc, known, fold, data, off = _unpack(packed, size)
             found, (x, chars) = base_metrics(data, off), _windows(data, off)
             a, b, c, d = (y.astype(np.uint64) for y in x)
             wanted = _hash((a << U(2 * BITS)) | (b << U(BITS)) | c, d)
@@ -237,10 +233,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             if len(wanted) and (at.max() == len(key) or (key[at] != wanted).any()):
                 raise ValueError("a four-gram of a block isn't in the model")
             n = np.diff(chars)
-            bits = -per_doc_sum(logs[np.repeat(fold[i:j], n), at] if len(at) else np.zeros(0), chars) / np.maximum(n, 1)
-            out.append(pa.table({**{m: found[m].astype(np.int64) for m in METRICS}, "bits": pa.array(bits, mask=n == 0), "chars": n.astype(np.int64)}))
-        got = pa.concat_tables(out)
-        return got.add_column(0, "lang", block.column("lang")).add_column(0, "doc", block.column("doc"))
+            bits = -per_doc_sum(logs[np.repeat(fold, n), at] if len(at) else np.zeros(0), chars) / np.maximum(n, 1)
+            out.append(pa.table({"doc": pa.array(doc, mask=~known), "lang": pa.array([block.column("lang")[0].as_py()] * len(n), pa.string()), **{m: found[m].astype(np.int64) for m in METRICS}, "bits": pa.array(bits, mask=n == 0), "chars": n.astype(np.int64)}))
+        return pa.concat_tables(out)
 
     got = dealt.groupBy("lang", "block").cogroup(told.groupBy("lang", "block")).applyInArrow(measure, "doc long, lang string, " + ", ".join(f"{m} long" for m in METRICS) + ", bits double, chars long")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
