@@ -1,17 +1,21 @@
 """Best-fit packing of token pieces into sequences by exact-complement hashing.
 
 A piece's length is at most the sequence length, so the plan is made on the histogram of
-lengths, whose size does not grow with the data.  For each length, longest first, the gap that
-it leaves is looked up among single lengths, sums of two and sums of three; every combination
-found is used as often as its lengths are available.  What is left goes best-fit: each length
+lengths, whose size does not grow with the data.  The lengths there are, and the sums of two and
+of three of them, are indexed by the sum.  For each length, longest first, the gap that it leaves
+is looked up there, and every combination found is used as often as its lengths are available.  What is left goes best-fit: each length
 into the smallest open gap that takes it.  A plan is a list of runs (lengths of a sequence,
 number of such sequences), and each run uses up a length or a gap.
 
 Pieces then take the places of their length in the order of a rank that is counted in salted
 buckets, so a length that a third of all pieces have is not ranked in one task.
 
-A null text is an empty text: its only token is the end id.  Rows that repeat an id are packed
-each on their own.
+A null text is an empty text: its only token is the end id.  Rows that repeat an id, or have a
+null one, are packed each on their own; which of two equal pieces takes which place is open.  An
+empty table gives no row.  Very long texts are cut into as many pieces as they take.  Columns of
+documents beside id and text are left out, whatever their names; ``pack`` keeps other columns of
+its table and replaces those named sequence_id and offset.  A literal of one of the tokenizer's
+added tokens in a text is that token, as in tokenizers by default.
 """
 
 import zlib
@@ -27,6 +31,40 @@ from .shared import partitions, written
 CAPACITY, END = 2048, 0
 
 
+class Sums:
+    """The available lengths (counts c) by the sums of one, two and three of them, addressed by the sum."""
+
+    def __init__(self, c: np.ndarray):
+        self.c, self.lengths = c, np.flatnonzero(c)
+        x, top = self.lengths.astype(np.int32), len(c) - 1
+        larger = [x[i : np.searchsorted(x, top - b, "right")] for i, b in enumerate(x.tolist())]
+        a, total = (np.concatenate([x[:0], *k]) for k in (larger, [k + b for k, b in zip(larger, x.tolist(), strict=True)]))
+        order = np.lexsort((-a, total))
+        #: the larger lengths of the pairs, by their sum, and where each sum's begin
+        self.larger, self.at = a[order].astype(np.int16), np.searchsorted(total[order], np.arange(top + 2))
+
+    def larger_of(self, gap: int) -> list[int]:
+        return self.larger[self.at[gap] : self.at[gap + 1]].tolist() if gap > 0 else []
+
+    def single(self, gap: int):
+        if 0 < gap < len(self.c) and self.c[gap]:
+            yield (gap,)
+
+    def pair(self, gap: int):
+        """Pairs of available lengths of this sum, the most unequal first."""
+        for a in self.larger_of(gap):
+            if self.c[a] and self.c[gap - a]:
+                yield a, gap - a
+
+    def triple(self, gap: int):
+        """A triple is a length and a pair of none longer; the longest first."""
+        for x in self.lengths[::-1].tolist():
+            if x < gap and self.c[x] and 3 * x >= gap:
+                for a in self.larger_of(gap - x):
+                    if a <= x and self.c[x] and self.c[a] and self.c[gap - x - a]:
+                        yield x, a, gap - x - a
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Runs (lengths of a sequence, number of such sequences) that hold counts[length] pieces of each length."""
     c = np.zeros(capacity + 1, np.int64)
@@ -45,29 +83,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             runs.append((lengths, n))
 
     use(capacity)
-    for long in range(capacity - 1, 0, -1):  # the gap is one length
-        if c[long] and long >= capacity - long and c[capacity - long]:
-            use(long, capacity - long)
-    for long in range(capacity - 1, 0, -1):  # the gap is the sum of two lengths
-        gap = capacity - long
-        if c[long] and gap >= 2:
-            a = np.arange((gap + 1) // 2, min(gap - 1, long) + 1)
-            for x in a[(c[a] > 0) & (c[gap - a] > 0)][::-1].tolist():
-                if not c[long]:
-                    break
-                use(long, x, gap - x)
-    for long in range(capacity - 1, 0, -1):  # of three
-        gap = capacity - long
-        for x in range(min(long, gap - 2), (gap + 2) // 3 - 1, -1):
-            if not c[long]:
-                break
-            if c[x]:
-                rest = gap - x
-                b = np.arange((rest + 1) // 2, min(x, rest - 1) + 1)
-                for y in b[(c[b] > 0) & (c[rest - b] > 0)][::-1].tolist():
-                    if not c[long] or not c[x]:
+    sums = Sums(c)
+    for fill in (sums.single, sums.pair, sums.triple):
+        for long in sums.lengths[::-1].tolist():
+            if c[long] and long < capacity:
+                for lengths in fill(capacity - long):
+                    if lengths[0] <= long:
+                        use(long, *lengths)
+                    if not c[long]:
                         break
-                    use(long, x, y, rest - y)
     gaps: dict[int, list] = defaultdict(list)
     free = np.zeros(capacity + 1, bool)
     for x in np.flatnonzero(c)[::-1].tolist():
@@ -91,8 +115,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     return runs + [x for held in gaps.values() for x in held]
 
 
-def _tokenizer(path: str, pattern: str, added: bool = False):
-    """The byte-level BPE of a tokenizers file, run by tiktoken, which gives the same ids several times as fast; with ``added``, the file's added tokens are tokens where a text spells them out, as tokenizers has it by default."""
+def _tokenizer(path: str, pattern: str):
+    """The byte-level BPE of a tokenizers file, run by tiktoken, which gives the same ids several times as fast."""
     import json
 
     import tiktoken
@@ -100,7 +124,7 @@ def _tokenizer(path: str, pattern: str, added: bool = False):
     with open(path, encoding="utf-8") as f:
         held = json.load(f)
     vocab = held["model"]["vocab"]
-    special = {t["content"]: t["id"] for t in held.get("added_tokens", [])} if added else {}
+    special = {t["content"]: t["id"] for t in held.get("added_tokens", [])}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain}
     byte |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -108,13 +132,13 @@ def _tokenizer(path: str, pattern: str, added: bool = False):
     return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
-def pieces(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, keep_ids: bool = True, added: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, keep_ids: bool = True) -> DataFrame:
     """doc, piece, start, length, ids_crc32 and, with keep_ids, ids: documents' tokens, of which those of long ones are cut so that all pieces but the first are full."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def cut(batches):
-        encode = _tokenizer(tokenizer, pattern, added).encode_to_numpy
+        encode = _tokenizer(tokenizer, pattern).encode_to_numpy
         for batch in batches:
             doc, texts = batch.column("doc").to_pylist(), batch.column("text")
             out = defaultdict(list)
@@ -144,7 +168,7 @@ def _batch(out, keep_ids):
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (a table with doc, piece, length, as pieces() returns it) with sequence_id and offset."""
     spark = cut.sparkSession
-    cut = written(cut)
+    cut = written(cut.drop("sequence_id", "offset"))
     buckets = partitions(spark)
     salted = cut.withColumn("bucket", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = written(salted.groupBy("length", "bucket").count())
