@@ -6,12 +6,21 @@ their SHA-1 and length are, as in WARC's own identical-payload-digest profile.
 
 An archive is a binary value of bounded size, so any Spark sink can hold archives and any
 store that Spark writes can keep them; files made elsewhere are read with Spark's binaryFile
-source.  The reader takes an archive's members one after another, inflates each in steps,
-frames its record by Content-Length, and recomputes the digest of every response.
-
-A null payload is an empty one, a null url an empty target.  Rows with a null id are left out.
-Rows that repeat an id are written each; they refer to one another as other pages do, but a row
-is never a revisit of its own id.
+source.  The reader takes an archive's members one after another, inflates each ``STEP`` bytes at
+a time, frames its record by Content-Length, and recomputes the digests that the record states in
+SHA-1; of a record it holds the header, a step and, if asked for, the payload.
+
+Any record type is read.  The payload of an application/http record is what follows its HTTP
+header, as it was sent (a chunked body stays chunked); that of another record is its block.
+Digests, page ids and urls may be missing: page_id, refers_to and a revisit's digest are null
+then.  Stated digests of other algorithms are not checked.  A record that is framed wrongly, has
+no Content-Length or type, or differs from its digest is an error, with its reason.
+
+A null payload is an empty one, a null url an empty target; line ends in a url are written as
+%0D and %0A.  Rows with a null id are left out.  Rows that repeat an id are written each; they
+refer to one another as other pages do, but a row is never a revisit of its own id.  An empty
+table makes no archive, and no archive makes no row.  Other columns are left out, whatever their
+names.
 """
 
 import base64
@@ -40,7 +49,7 @@ def record(page: int, url: str, payload: bytes, refers_to: int | None = None, da
     body = http if refers_to is not None else http + payload
     head = [
         "WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_uri(page)}", f"WARC-Date: {date}",
-        f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(body).digest()).decode()}",
+        f"WARC-Target-URI: {url.replace(chr(13), '%0D').replace(chr(10), '%0A')}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(body).digest()).decode()}",
         "Content-Type: application/http; msgtype=response", f"X-Page-Id: {page}",
     ]
     if refers_to is not None:
@@ -53,39 +62,110 @@ def member(raw: bytes, level: int = 6) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def members(archive: bytes, step: int = STEP):
-    """The inflated gzip members of an archive, one after another, read ``step`` bytes at a time."""
-    view, at = memoryview(archive), 0
-    while at < len(view):
-        z, out = zlib.decompressobj(31), []
-        while not z.eof:
-            if at >= len(view):
-                raise ValueError("the archive ends within a member")
-            part = view[at : at + step]
-            out.append(z.decompress(part))
-            at += len(part) - len(z.unused_data)
-        yield b"".join(out)
-
-
-def parse(raw: bytes) -> dict:
-    """Headers, block and payload of a record; ValueError if its framing or a digest is wrong."""
-    head, sep, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not sep or not lines[0].startswith("WARC/"):
+class _Member:
+    """The inflated bytes of the gzip member that begins at ``at``, a step at a time."""
+
+    def __init__(self, view: memoryview, at: int, step: int):
+        self.view, self.at, self.step, self.z, self.held = view, at, step, zlib.decompressobj(31), b""
+
+    def more(self) -> bool:
+        """Whether there were more bytes to hold."""
+        if self.z.eof:
+            return False
+        part = self.z.unconsumed_tail or self.view[self.at : self.at + self.step]
+        if not len(part):
+            raise ValueError("the archive ends within a member")
+        self.at += 0 if self.z.unconsumed_tail else len(part)
+        try:
+            self.held += self.z.decompress(part, 16 * self.step)
+        except zlib.error as e:
+            raise ValueError(f"no gzip member: {e}") from None
+        self.at -= len(self.z.unused_data)
+        return True
+
+    def head(self) -> bytes:
+        """What stands before the first blank line, which goes too."""
+        while b"\r\n\r\n" not in self.held:
+            if not self.more():
+                raise ValueError("no header")
+        head, _, self.held = self.held.partition(b"\r\n\r\n")
+        return head
+
+    def take(self, n: int):
+        """The next n bytes, in pieces."""
+        while n:
+            if not self.held and not self.more():
+                raise ValueError("Content-Length does not frame the record")
+            piece, self.held = self.held[:n], self.held[n:]
+            n -= len(piece)
+            yield piece
+
+    def rest(self) -> bytes:
+        while len(self.held) < 5 and self.more():
+            pass
+        return self.held
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before."""
+    out, name = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def _sha1(said: str | None) -> str | None:
+    """The bare hex of a stated SHA-1, which may be base 32 or base 16; null for other algorithms."""
+    kind, _, value = (said or "").partition(":")
+    if kind.lower().replace("-", "") != "sha1":
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+
+
+def _record(m: _Member, keep: bool) -> dict:
+    first, *lines = m.head().decode("utf-8", "replace").split("\r\n")
+    headers = _fields(lines)
+    if not first.startswith("WARC/") or "warc-type" not in headers:
         raise ValueError("no WARC record")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    n = int(headers["content-length"])
-    block = rest[:n]
-    if len(block) < n or rest[n:] != b"\r\n\r\n":
+    if not headers.get("content-length", "").isdecimal():
+        raise ValueError("no Content-Length")
+    http = headers.get("content-type", "").lower().startswith("application/http")
+    block, payload, head, kept, size = hashlib.sha1(), hashlib.sha1(), b"", [], 0
+    for piece in m.take(int(headers["content-length"])):
+        block.update(piece)
+        if http:
+            head += piece
+            head, found, piece = head.partition(b"\r\n\r\n")
+            if not found:
+                continue
+            http = False
+        payload.update(piece)
+        size += len(piece)
+        if keep:
+            kept.append(piece)
+    if m.rest() != b"\r\n\r\n":
         raise ValueError("Content-Length does not frame the record")
-    said = headers.get("warc-block-digest")
-    if said and said != f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}":
+    revisit, said = headers["warc-type"] == "revisit", _sha1(headers.get("warc-payload-digest"))
+    if _sha1(headers.get("warc-block-digest")) not in (None, block.hexdigest()):
         raise ValueError("the block digest differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    if headers["warc-type"] == "response" and headers.get("warc-payload-digest") != f"sha1:{base64.b32encode(hashlib.sha1(payload).digest()).decode()}":
+    if not revisit and said not in (None, payload.hexdigest()):
         raise ValueError("the payload digest differs")
-    full = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
-    return {"headers": headers, "payload": payload, "payload_bytes": full}
+    full = _fields(head.decode("latin-1").split("\r\n")).get("content-length", "") if revisit else ""
+    return {"headers": headers, "payload": b"".join(kept), "payload_bytes": int(full) if full.isdecimal() else size, "payload_digest": said if revisit else payload.hexdigest()}
+
+
+def records(archive: bytes, step: int = STEP, keep: bool = True):
+    """Headers, payload (empty without keep), payload_bytes and payload_digest of an archive's records, one after another."""
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        m = _Member(view, at, step)
+        yield _record(m, keep)
+        at = m.at
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 1000, size: int = ARCHIVE) -> DataFrame:
@@ -113,7 +193,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def read_archives(archives: DataFrame, archive_col: str = "archive", keep_payload: bool = True) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and, with keep_payload, payload (null for revisits), a row for each record."""
+    """page_id, url, payload_bytes, payload_digest, record_type (of any type there is), refers_to and, with keep_payload, payload (null for revisits), a row for each record."""
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     fields += [("payload", pa.binary())] * keep_payload
 
@@ -124,13 +204,11 @@ def read_archives(archives: DataFrame, archive_col: str = "archive", keep_payloa
         for batch in batches:
             for archive in batch.column(0):
                 out, held = [], 0
-                for raw in members(archive.as_py()):
-                    r = parse(raw)
+                for r in records(archive.as_buffer(), keep=keep_payload):
                     h = r["headers"]
-                    digest = base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    refers = h.get("x-refers-to-page")
-                    out.append((int(h["x-page-id"]), h.get("warc-target-uri", ""), r["payload_bytes"], digest, h["warc-type"], None if refers is None else int(refers)) + ((r["payload"] if h["warc-type"] == "response" else None),) * keep_payload)
-                    held += len(raw)
+                    page, refers = (int(h[k]) if h.get(k, "").lstrip("-").isdecimal() else None for k in ("x-page-id", "x-refers-to-page"))
+                    out.append((page, h.get("warc-target-uri"), r["payload_bytes"], r["payload_digest"], h["warc-type"], refers) + ((None if h["warc-type"] == "revisit" else r["payload"]),) * keep_payload)
+                    held += len(r["payload"])
                     if held >= ARCHIVE or len(out) >= 10_000:
                         yield batch_of(out)
                         out, held = [], 0
@@ -141,7 +219,7 @@ def read_archives(archives: DataFrame, archive_col: str = "archive", keep_payloa
 
 
 def read_warc_files(spark, path: str, **options) -> DataFrame:
-    """Records of .warc.gz files that write_archives' records were put in, by any path that Spark reads."""
+    """Records of .warc.gz files, whoever wrote them, by any path that Spark reads."""
     return read_archives(spark.read.format("binaryFile").load(path).select(F.col("content").alias("archive")), **options)
 
 
