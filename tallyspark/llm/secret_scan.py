@@ -1,51 +1,102 @@
 r"""Secret scans over a trigram inverted index, in DataFrame functions only.
 
 From each rule's regular expression follows a Boolean trigram query: an OR of the ANDs of the
-trigrams that any match of an alternative must contain.  The postings of those trigrams
+trigrams that any match of an alternative must contain.  The query is read off the parsed
+expression (``trigram_query``), so it can't drift from it.  The postings of those trigrams
 (trigram, document) are intersected per document, which gives a rule's candidates.  Rules
 without a mandatory trigram scan every document.  Candidates are verified by the expression
 itself: the pieces between its matches and the matches give the spans.
 
-Rules whose letters match in either case are looked up in folded text.  The base kinds are
-assign, access and hex; more rules add kinds of their own after them.  Null texts are empty.
-Positions are code points, ends exclusive.  Rows with null or repeated ids are scanned, each as
-its own row.
+Rules are looked up in folded text, as letters of some match in either case.  The base kinds are
+assign, access and hex; more rules add kinds of their own after them.  Null texts are empty and
+empty texts have no span.  Very long texts are scanned whole.  Positions are code points, ends
+exclusive; spans that start at one place come in the rules' order.  Repeated rows, and rows with
+null or repeated ids, are scanned each on their own.  An empty table gives no row.  Columns beside
+id and text are left out, whatever their names.
 """
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
+from re import _constants as C
+from re import _parser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Stands for any string in a form; most forms of an expression, and most letters of a set that are told apart.
+GAP, FORMS, LETTERS = "\0", 64, 16
+
+
+def _forms(pattern) -> list[str]:
+    """Strings such that every match of a parsed expression is one of them, with some string for each gap."""
+    out = [""]
+    for op, arg in pattern:
+        piece = _piece(op, arg)
+        if len(out) * len(piece) > FORMS:
+            piece = [GAP]
+        out = [a + b for a in out for b in piece]
+    return out
+
+
+def _piece(op, arg) -> list[str]:
+    if op is C.LITERAL:
+        return [chr(arg).lower()]
+    if op is C.IN:
+        letters = set()
+        for kind, x in arg:
+            if kind is C.LITERAL:
+                letters.add(chr(x).lower())
+            elif kind is C.RANGE and x[1] - x[0] < LETTERS:
+                letters |= {chr(i).lower() for i in range(x[0], x[1] + 1)}
+            else:
+                return [GAP]
+        return sorted(letters) if len(letters) <= LETTERS else [GAP]
+    if op is C.SUBPATTERN:
+        return _forms(arg[-1])
+    if op is C.BRANCH:
+        return [x for branch in arg[1] for x in _forms(branch)]
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+        least, most, inner = arg
+        if least == 0:
+            return [*_forms(inner), ""] if most == 1 else [GAP]
+        return [x + GAP * (most > 1) for x in _forms(inner)]
+    if op is C.AT:
+        return [""]
+    return [GAP]
+
+
+@cache
+def trigram_query(regex: str) -> tuple[frozenset[str], ...]:
+    """The Boolean trigram query of an expression as an OR of ANDs over folded text; empty if some match may have no trigram that is known."""
+    ands = {frozenset(run[i : i + 3] for run in form.split(GAP) for i in range(len(run) - 2)) for form in _forms(_parser.parse(regex))}
+    # an AND that asks for more than another adds nothing
+    least = [a for a in ands if not any(b < a for b in ands)]
+    return tuple(sorted(least, key=sorted)) if all(least) else ()
+
 
 @dataclass(frozen=True)
 class Rule:
     kind: str
     regex: str
-    #: literals that a match must contain: all of one alternative, with letters folded
-    literals: tuple[tuple[str, ...], ...] = ()
     #: of the group's length, at least
     group: int = 0
     least: int = 1
 
-    def query(self) -> list[frozenset[str]]:
-        """The Boolean trigram query as an OR of ANDs; empty if an alternative has no mandatory trigram."""
-        ors = [frozenset(x[i : i + 3] for x in alternative for i in range(len(x) - 2)) for alternative in self.literals]
-        return ors if all(ors) else []
+    def query(self) -> tuple[frozenset[str], ...]:
+        return trigram_query(self.regex)
 
 
 # The three base kinds as their contract states them, then well-known token formats.
 BASE = (
-    Rule("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", (("password",), ("passwd",), ("secret",), ("token",), ("apikey",), ("api_key",)), 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", (("akia",),), 0, 16),
-    Rule("hex", r"[0-9a-f]+", (), 0, 32),
+    Rule("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
+    Rule("hex", r"[0-9a-f]+", 0, 32),
 )
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", (("-----begin ", "private key-----"),)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",))),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (("eyj", ".eyj"),)),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + MORE
 #: Runs that the scan for a rule's matches can skip to, where its plain pattern matches almost everywhere.
