@@ -9,8 +9,11 @@ diagonals of one appearance lie within one band.  Bands with m - q + 1 - q * e s
 more are verified by an alignment that stays in the band, with free ends in the document.
 
 The benchmark is taken in blocks of bounded size, each broadcast in turn, so it may be larger
-than memory.  Null texts and items are empty; items of fewer than q characters match nothing.
-Rows with null or repeated ids are searched each on their own.
+than memory.  Null texts and items are empty.  An item of fewer than q characters has no q-gram,
+so it matches nothing; neither does one with a null id.  Rows with null or repeated ids are
+searched each on their own, and very long texts whole.  Of several bands that find one place the
+one of fewest edits is kept.  Without documents or items nothing is found and nothing dropped.
+Columns of documents beside id and text pass through ``drop_contaminated``, whatever their names.
 """
 
 from dataclasses import dataclass
@@ -24,6 +27,8 @@ from .textblocks import CHAIN, U, codepoints, mix, slices
 
 Q, RATE, STRETCH, BLOCK = 8, 0.08, 32, 4_000_000
 TABLE = 22
+#: Pairs of a hit and an item that holds its q-gram, at a time: text of a template and many items of it meet in pieces.
+ENTRIES = 1 << 19
 
 
 def fold(points: np.ndarray) -> np.ndarray:
@@ -115,27 +120,37 @@ def regions(index: Index, points: np.ndarray, off: np.ndarray, q: int = Q) -> li
     near = np.cumsum(reach)[at] > 0
     at, k, doc = at[near], k[near], doc[near]
     n = index.first[k + 1] - index.first[k]
+    cuts = np.flatnonzero(np.diff(np.r_[-1, (np.cumsum(n) - 1) // ENTRIES])) if len(n) else n
+    found = [_bands(index, at[c], k[c], n[c], doc[c], off) for c in map(slice, cuts, [*cuts[1:], len(n)])]
+    doc, item, band, count = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(found) > 1:
+        order = np.lexsort((band, item, doc))
+        doc, item, band, count = doc[order], item[order], band[order], count[order]
+        start = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])])
+        # a place that two runs of hits have counts twice: no region is lost by that
+        doc, item, band, count = doc[start], item[start], band[start], np.add.reduceat(count, start)
+    out: dict[tuple, tuple] = {}
+    for x in np.flatnonzero(count >= index.needed[item]):
+        d, i, edits = int(doc[x]), int(item[x]), int(index.edits[item[x]])
+        low = int(band[x]) * (edits + 1) - (1 << 40)
+        _verify(index.items[i], points[off[d] : off[d + 1]], low, low + 2 * edits + 1, edits, d, i, out)
+    return [(dd, ii, *v) for (dd, ii, _), v in sorted(out.items())]
+
+
+def _bands(index: Index, at, k, n, doc, off):
+    """(document, item, band, shared q-grams) of a run of hits, by all items that hold their q-grams."""
     entry = np.repeat(index.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
     at, doc = np.repeat(at, n), np.repeat(doc, n)
     item, place = index.item[entry], index.place[entry]
-    diagonal = at - place - off[doc]
-    step = index.edits[item] + 1
-    out: dict[tuple, tuple] = {}
-    band = (diagonal + (1 << 40)) // step
     # the band b starts at b * step and ends before (b + 2) * step, so a diagonal is in two
+    band = (at - place - off[doc] + (1 << 40)) // (index.edits[item] + 1)
     band = np.r_[band, band - 1]
     doc, item, place = (np.r_[x, x] for x in (doc, item, place))
     order = np.lexsort((place, band, item, doc))
     doc, item, band, place = (x[order] for x in (doc, item, band, place))
     new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])]
-    fresh = new | np.r_[True, place[1:] != place[:-1]]
     start = np.flatnonzero(new)
-    count = np.add.reduceat(fresh.astype(np.int64), start)
-    for x in start[count >= index.needed[item[start]]]:
-        d, i, edits = int(doc[x]), int(item[x]), int(index.edits[item[x]])
-        low = int(band[x]) * (edits + 1) - (1 << 40)
-        _verify(index.items[i], points[off[d] : off[d + 1]], low, low + 2 * edits + 1, edits, d, i, out)
-    return [(dd, ii, *v) for (dd, ii, _), v in sorted(out.items())]
+    return doc[start], item[start], band[start], np.add.reduceat((new | np.r_[True, place[1:] != place[:-1]]).astype(np.int64), start)
 
 
 def _verify(item, text, low, high, most, dd, ii, out):
@@ -175,7 +190,7 @@ def _search(rows: DataFrame, index: Index, q: int) -> DataFrame:
     def search(batches):
         for batch in batches:
             doc, key = batch.column("doc"), batch.column("key")
-            for i, _, data, off in slices(batch.column("text"), 1 << 20):
+            for i, _, data, off in slices(batch.column("text"), 512 << 10):
                 points, at = codepoints(data, off)
                 got = regions(shared.value, fold(points), at, q)
                 if got:
@@ -187,5 +202,5 @@ def _search(rows: DataFrame, index: Index, q: int) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those in which a benchmark item appears."""
-    hit = find_items(docs, benchmark, id_col, text_col, **options).select(F.col("doc").alias("_doc"), F.col("key").alias("_key")).distinct()
-    return docs.join(hit, docs[id_col].cast("long").eqNullSafe(hit["_doc"]) & (F.xxhash64(docs[text_col]) == hit["_key"]), "left_anti")
+    hit = find_items(docs, benchmark, id_col, text_col, **options).select("doc", "key").distinct()
+    return docs.join(hit, docs[id_col].cast("long").eqNullSafe(hit["doc"]) & (F.xxhash64(docs[text_col]) == hit["key"]), "left_anti")
