@@ -47,7 +47,7 @@ def op7_decontaminate(spark, sf_dir):
 def op8_packing(spark, sf_dir, tokenizer=None):
     import public_tokenizers
 
-    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False, added=True)
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False)
     return packing.pack(cut).select(F.col("doc").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset"))
 
 
@@ -73,7 +73,46 @@ QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_qu
 
 WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
+FOLDED = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+#: The secret scan's expressions as SQL takes them, with the group whose length counts and its least length.
+SECRETS = [
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]{32,}", 0, 32),
+    ("private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+]
+
+
+def _secret_spans(k, kind, regex, group, least) -> str:
+    q = regex.replace("'", "''")
+    return f"""select doc_id, {k} as k, '{kind}' as kind, b + ends[i] - lens[i] as s, b + ends[i] as e from (
+select doc_id, i, lens, list_transform(range(1, len(lens) + 1), lambda j: list_sum(lens[1:j])) as ends, list_sum(list_transform(ps[1:i], lambda x: length(x))) as b, gs
+from (select doc_id, ps, gs, list_transform(ms, lambda x: length(x)) as lens, unnest(range(1, len(ms) + 1)) as i
+from (select doc_id, regexp_split_to_array(t, '{q}') as ps, regexp_extract_all(t, '{q}') as ms, regexp_extract_all(t, '{q}', {group}) as gs from d where regexp_matches(t, '{q}')))) where length(gs[i]) >= {least}"""
+
+
 SQL = {
+    "op2_jaccard_join": f"""
+with recursive w as (select doc_id, {FOLDED} as ws from documents),
+s as (select distinct doc_id, md5(array_to_string(ws[i:i + 2], ' ')) as h from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as met from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * met >= 90 * (x.n + y.n - met)),
+e as (select a, b from l union all select b, a from l),
+r as (select distinct a as doc_id, a as reached from e union select r.doc_id, e.b from r join e on r.reached = e.a),
+c as (select doc_id, min(reached) as least from r group by doc_id)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(c.least, w.doc_id) as component_id from w left join n using (doc_id) left join c using (doc_id)""",
+    "op10_secret_scan": f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+f as ({" union all ".join(_secret_spans(k, *x) for k, x in enumerate(SECRETS))}),
+g as (select doc_id, count_if(k = 0) as n_assign, count_if(k = 1) as n_access, count_if(k = 2) as n_hex,
+  string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (where k < 3) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans from f group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (doc_id)""",
     "op1_substring_dedup": f"""
 with w as (select doc_id, {WORDS} as ws from documents),
 s as (select doc_id, ws, unnest(generate_series(1, len(ws) - 49)) as i from w where len(ws) >= 50),

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import plain
 from tallyspark.llm import components, decontaminate, jaccard_join, langid, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,6 +125,55 @@ def test_jaccard_small_sets(spark):
     assert jaccard_join.linked_documents(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_with_one_element_in_every_set(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        w = ["all", *(f"u{i}x{j}" for j in range(r.randrange(0, 12)))]
+        rows.append((i, " ".join(w)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join([*w[:-1], "other"] if len(w) > 6 else w)))
+    df, report = spark.createDataFrame(rows, "doc_id long, text string"), {}
+    assert {tuple(x) for x in jaccard_join.linked_documents(df, n=1, percent=80, report=report).collect()} == brute_components(rows, 1, 80)
+    assert report["last pairs"] < len(rows) and set(report) >= {"light", "entries", "hub pairs 1", "links"}
+
+
+def test_jaccard_join_splits_long_lists(spark):
+    r = random.Random(9)
+    base = [f"b{j}" for j in range(90)]
+    rows = []
+    for i in range(150):  # every set has the same rare elements, and sets differ in size
+        w = base[: r.randrange(10, 90)]
+        w[r.randrange(len(w))] = f"z{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(x) for x in jaccard_join.linked_documents(df, n=1, percent=80).collect()} == brute_components(rows, 1, 80)
+    assert jaccard_join.lightest(100) == 500 and jaccard_join.lightest(90) == 29
+
+
+def test_jaccard_join_odd_ids(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "six five four three two one")
+    rows = [(1, a), (1, b), (2, b), (3, a), (4, c), (4, c), (None, a), (5, None), (6, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit(7)).withColumn("sid", F.lit(8))
+    got = {(x.doc, x.component) for x in jaccard_join.linked_documents(df).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6)}
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns and sorted((x.doc_id or 0) for x in kept.collect()) == [0, 1, 4, 5, 6]
+    assert jaccard_join.one_of_each(df.limit(0)).count() == 0
+
+
+def test_light_boundary_follows_the_costs(spark):
+    def boundary(texts):
+        report = {}
+        jaccard_join.linked_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n=1, percent=80, report=report)
+        return report["light"]
+
+    pairs = [" ".join(f"p{i // 2}w{j}" for j in range(4)) for i in range(60)] + [f"{x} x{i}" for i, x in enumerate([" ".join(f"q{i // 3}w{j}" for j in range(9)) for i in range(60)])]
+    # sets of nothing but elements of their own cost nothing to scan, nor have they subsets
+    assert boundary([" ".join(f"s{i}w{j}" for j in range(9)) for i in range(60)]) == 0
+    assert 4 <= boundary(pairs) < 19
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -144,19 +194,6 @@ def test_quality(docs, rows):
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r.kept and r.base_failed)
 
 
-def test_kneser_ney_sums_to_one():
-    r = np.random.default_rng(0)
-    code = np.unique(r.integers(0, quality.CLASSES**4, 3000)).astype(np.int64)
-    codes, counts = [code], [r.integers(1, 6, len(code))]
-    for k in (3, 2, 1):
-        c, n = np.unique(codes[0] & (quality.CLASSES**k - 1), return_counts=True)
-        codes, counts = [c, *codes], [n, *counts]
-    model = quality.kneser_ney(codes, counts)
-    for context in (int(code[0]) >> 5, 12345):
-        p = 2 ** quality.log_probabilities(model, np.array([(context << 5) | x for x in range(quality.CLASSES)]))
-        assert math.isclose(p.sum(), 1, rel_tol=1e-6)
-
-
 def test_quality_rejects_junk_of_any_script(spark):
     r = random.Random(5)
 
@@ -172,26 +209,49 @@ def test_quality_rejects_junk_of_any_script(spark):
     assert not any(got[i] for i, *_ in junk) and sum(got[i] for i, *_ in rows) > 390
 
 
-def test_quality_probabilities_sum_to_one(spark):
-    r = random.Random(6)
-    rows = [("x", i % 2, "".join(r.choice("abcdé語") for _ in range(40))) for i in range(6)]
-    top = quality.count_ngrams(spark.createDataFrame(rows, "lang string, fold int, text string"))
-    plain = collections.Counter((("   " + t)[i : i + 3], t[i]) for _, fold, t in rows if fold == 1 for i in range(len(t)))
-    n = {(x.context, x.last): x.out0 for x in top.collect() if x.out0}
-    assert n == {((ord(a) << 42) | (ord(b) << 21) | ord(c), ord(d)): m for ((a, b, c), d), m in plain.items()}
-    full = spark.createDataFrame([("x", c, d, m, m) for (c, d), m in n.items()], "lang string, context long, last int, out0 long, out1 long")
-    codes = sorted({x for (a, b), _ in zip(n, range(10**6)) for x in (b, *(a >> s & 0x1FFFFF for s in (0, 21, 42)))})
-    of = {c: i + 1 for i, c in enumerate(codes)}
-    four = {sum(of[x] << 5 * k for k, x in enumerate((d, c & 0x1FFFFF, c >> 21 & 0x1FFFFF, c >> 42))): m for (c, d), m in n.items()}
-    code = np.array(sorted(four))
-    held, counts = [code], [np.array([four[x] for x in code])]
-    for k in (3, 2, 1):
-        c, m = np.unique(held[0] & (32**k - 1), return_counts=True)
-        held, counts = [c, *held], [m, *counts]
-    want = dict(zip(code.tolist(), quality.log_probabilities(quality.kneser_ney(held, counts), code), strict=True))
-    for x in quality.probabilities(full).collect():
-        key = sum(of[y] << 5 * k for k, y in enumerate((x.last, x.context & 0x1FFFFF, x.context >> 21 & 0x1FFFFF, x.context >> 42)))
-        assert abs(x.log0 - want[key]) < 0.05 and x.log0 == x.log1
+@pytest.mark.parametrize("seed", [6, 7])
+def test_quality_agrees_with_a_plain_model(spark, seed):
+    r = random.Random(seed)
+
+    def text(letters):
+        return " ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(3, 40)))
+
+    rows = [(i, text("abcdé語") if i % 3 else text("xyzw"), ("x", "y", None)[i % 3]) for i in range(60)]
+    rows += [(60, "Ж" * 30, "x"), (61, None, "x"), (62, "", None), (63, rows[1][1], "y"), (1, rows[1][1], "y"), (None, rows[1][1], "y"), (64, "aa " * 20_000, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.score(df.withColumn("blob", F.lit(1)).withColumn("kept", F.lit(1))).collect()
+    assert len(got) == len(rows)
+    fold = {x.text: x.fold for x in df.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("fold")).collect()}
+    counts = collections.defaultdict(collections.Counter)
+    for _, t, k in rows:
+        for side in (0, 1):
+            if fold[t] != side:
+                counts[k, side].update(plain.four_grams(t or ""))
+    models = {key: plain.kneser_ney(c) for key, c in counts.items()}
+    want = {t: plain.bits(models[k, fold[t]], t) for _, t, k in rows if t and len(t) < 1000}
+    texts, by = {i: (t, k) for i, t, k in rows}, collections.defaultdict(list)
+    for x in got:
+        t, k = texts[x.doc_id]
+        if t in want:
+            assert math.isclose(math.log2(x.perplexity), want[t], rel_tol=1e-9)
+        if not x.base_failed:
+            by[k].append(math.log2(x.perplexity))
+    for x in got:
+        t, k = texts[x.doc_id]
+        if x.base_failed:
+            assert not x.kept
+            continue
+        q1, q3 = (sorted(by[k])[max(0, math.ceil(q * len(by[k])) - 1)] for q in (0.25, 0.75))
+        width, b = 3 * max(q3 - q1, 0.05) + 1 / math.sqrt(len(t)), math.log2(x.perplexity)
+        assert x.kept == (q1 - width <= b <= q3 + width)
+    assert not next(x.kept for x in got if x.doc_id == 60) and quality.score(df.limit(0)).count() == 0
+
+
+def test_quality_of_repeated_rows(spark):
+    t = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, t, "en")] * 5 + [(None, t, "en")] * 5
+    got = quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 10 and len({round(x.perplexity, 2) for x in got}) == 1
 
 
 def test_warc_round_trip(spark):
@@ -206,17 +266,42 @@ def test_warc_round_trip(spark):
         want.add((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if refers else "response", refers))
     assert got == want
     raw = warc.record(1, "u", b"payload")
-    assert [warc.parse(x)["payload"] for x in warc.members(warc.member(raw) * 2, step=5)] == [b"payload"] * 2
-    for bad in (raw[:-1], raw.replace(b"payload", b"payloaD"), b"x"):
+    assert [x["payload"] for x in warc.records(warc.member(raw) * 2, step=5)] == [b"payload"] * 2
+    for bad in (raw[:-1], raw.replace(b"payload", b"payloaD"), b"x", raw + b"x", raw.replace(b"Content-Length", b"Content-Size")):
+        with pytest.raises(ValueError):
+            list(warc.records(warc.member(bad)))
+    for bad in (warc.member(raw)[:-3], b"no archive"):
         with pytest.raises(ValueError):
-            warc.parse(bad)
-    with pytest.raises(ValueError):
-        list(warc.members(warc.member(raw)[:-3]))
+            list(warc.records(bad))
 
 
-def test_warc_files(spark, tmp_path):
-    (tmp_path / "a.warc.gz").write_bytes(warc.member(warc.record(9, "u", b"x")))
-    assert [(r.page_id, bytes(r.payload)) for r in warc.read_warc_files(spark, str(tmp_path)).collect()] == [(9, b"x")]
+def test_warc_files_made_elsewhere(spark, tmp_path):
+    def rec(kind, block, *fields):
+        return warc.member("\r\n".join(["WARC/1.1", f"WARC-Type: {kind}", *fields, f"content-length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n")
+
+    http, sha = "Content-Type: application/http; msgtype=response", hashlib.sha1(b"5\r\nhello\r\n0\r\n\r\n").hexdigest()
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    big = bytes(range(256)) * 20_000
+    files = [
+        rec("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), rec("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        rec("response", chunked, http, "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{sha}", "WARC-Block-Digest: md5:abc"), rec("response", b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\n" + big, http, "X-Long: a", "\tb"),
+        rec("revisit", b"HTTP/1.1 200 OK\r\n\r\n", http), warc.member(warc.record(9, "u", b"x")),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(files))
+    (tmp_path / "b.warc.gz").write_bytes(b"")
+    got = [(r.page_id, r.record_type, r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in warc.read_warc_files(spark, str(tmp_path)).collect()]
+    plain = [(None, "warcinfo", b"software: x\r\n"), (None, "request", b""), (None, "response", chunked.partition(b"\r\n\r\n")[2]), (None, "response", big), (9, "response", b"x")]
+    assert [x for x in got if x[1] != "revisit"] == [(i, k, len(p), hashlib.sha1(p).hexdigest(), p) for i, k, p in plain]
+    assert [x for x in got if x[1] == "revisit"] == [(None, "revisit", 0, None, None)]
+
+
+def test_warc_odd_pages(spark):
+    big = "é" * 600
+    rows = [(1, "http://a/\r\n\r\nb", big), (1, "u", big), (2, None, big), (3, "u", "x"), (3, "u", "x"), (None, "u", big), (-4, "u", big + "\r\n\r\n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
+    got = sorted((r.page_id, r.url, r.record_type, r.refers_to or 0) for r in warc.round_trip(df).collect())
+    assert got == [(-4, "u", "response", 0), (1, "http://a/%0D%0A%0D%0Ab", "revisit", 2), (1, "u", "revisit", 2), (2, "", "response", 0), (3, "u", "response", 0), (3, "u", "response", 0)]
+    assert warc.round_trip(df.limit(0)).count() == 0
 
 
 def test_line_dedup(docs, rows):
@@ -228,11 +313,19 @@ def test_line_dedup(docs, rows):
     drop = {k for k, n in seen.items() if n >= 3 and n > 0.1 * pages[k[0]]}
     assert drop
     want = {i: None if t is None else "\n".join(x for x in t.split("\n") if (s, x) not in drop) for i, t, _, s, _ in rows}
-    got = line_dedup.drop_boilerplate(docs.withColumn("_lines", F.lit(1)))
-    assert {r.doc_id: r.text for r in got.collect()} == want and got.columns == [*docs.columns, "_lines"]
+    for broadcast in (1 << 20, 0):
+        got = line_dedup.drop_boilerplate(docs.withColumn("_lines", F.lit(1)).withColumn("_salt", F.lit(1)), broadcast=broadcast)
+        assert {r.doc_id: r.text for r in got.collect()} == want and got.columns == [*docs.columns, "_lines", "_salt"]
     assert line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_odd_rows(spark):
+    rows = [(1, "s", "a\nb"), (1, "s", "a\nb"), (2, None, "a\nc"), (3, None, "a\nd"), (4, None, "a\n \n" + "e\n" * 100_000), (None, "s", "a"), (5, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("n_lines", F.lit("x"))
+    got = sorted(((r.doc_id or 0), r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(df, counts=True).where("text is not null").collect())
+    assert got == [(0, "", 1, 1), (1, "b", 2, 1), (1, "b", 2, 1), (2, "c", 2, 1), (3, "d", 2, 1), (4, " \n" + "e\n" * 100_000, 100_003, 1)]
+
+
 def test_hosts(spark):
     df = spark.createDataFrame([("http://A.Example.com:80/x",), ("https://u@b.org?q",), ("junk",), (None,)], "url string")
     assert [r[0] for r in df.select(line_dedup.host_of(F.col("url"))).collect()] == ["a.example.com", "b.org", None, None]
@@ -255,7 +348,37 @@ def test_secret_scan(spark):
         assert got[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == j for _, k, _ in found) for j in range(3))
     assert got[8].spans.startswith("private_key:0:") and got[9].spans.startswith("github:0:40")
-    assert secret_scan.Rule("x", "a", (("abcd", "xyz"),)).query() == [frozenset({"abc", "bcd", "xyz"})] and secret_scan.Rule("x", "a", (("ab",),)).query() == []
+    assert secret_scan.report(df.limit(0)).count() == 0
+
+
+def test_trigram_queries_follow_from_expressions():
+    q = secret_scan.trigram_query
+    assert q("abcd.*XYZ") == (frozenset({"abc", "bcd", "xyz"}),) and q("abc?d") == () and q("[^x]abc") == (frozenset({"abc"}),)
+    assert set(q("(foo|bar)[12]")) == {frozenset({"foo", "oo1"}), frozenset({"foo", "oo2"}), frozenset({"bar", "ar1"}), frozenset({"bar", "ar2"})}
+    assert q("(abc)*") == q("ab") == q("(abc|x)") == () and q("(?:abc)+d") == (frozenset({"abc"}),) and q("abcd?") == (frozenset({"abc"}),)
+
+
+def test_candidates_lose_no_match_of_any_rule(spark):
+    r = random.Random(4)
+    letters, token = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", lambda n: "".join(r.choice(letters) for _ in range(n))
+    made = {
+        "assign": lambda: r.choice(["Password", "passwd", "SECRET", "token", "apikey", "Api_Key"]) + r.choice(["", '"', "'"]) + " " * r.randrange(3) + r.choice(":=") + r.choice(["", " ", '"']) + token(r.randrange(5, 12)),
+        "access": lambda: "AKIA" + token(r.randrange(8, 20)).upper(), "hex": lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.randrange(28, 40))),
+        "private_key": lambda: "-----BEGIN " + r.choice(["", "RSA ", "EC ", "OPEN SSH "]) + "PRIVATE KEY-----", "github": lambda: "gh" + r.choice("pousrx") + "_" + token(r.randrange(30, 42)),
+        "slack": lambda: "xox" + r.choice("abprsz") + "-" + token(r.randrange(6, 20)), "jwt": lambda: "eyJ" + token(r.randrange(6, 12)) + ".eyJ" + token(9) + "." + token(9),
+    }
+    texts = [" ".join(r.choice([token(4), "é", f()]) for _ in range(6) for f in [r.choice(list(made.values()))]) for _ in range(300)]
+    texts += [f() for f in made.values() for _ in range(10)] + ["x " * 100_000 + made["jwt"]()]
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[4]), (5, texts[6])]
+    got = sorted((str(x.doc_id), x.spans) for x in secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kinds", F.lit(1))).collect())
+
+    def spans(t):
+        found = []
+        for k, rule in enumerate(secret_scan.RULES):
+            found += [(m.start(), k, m.end()) for m in re.finditer(rule.regex, t) if len(m[rule.group]) >= rule.least]
+        return ",".join(f"{secret_scan.RULES[k].kind}:{a}:{b}" for a, k, b in sorted(found))
+
+    assert got == sorted((str(i), spans(t)) for i, t in rows) and {x.split(":")[0] for _, s in got for x in s.split(",") if x} == set(made)
 
 
 def edit_distance_within(item, text):
@@ -301,6 +424,26 @@ def test_decontamination(spark):
     assert all(texts[r.doc][r.start : r.end].lower() == items[r.item] for r in exact if "é" not in items[r.item])
 
 
+def test_decontamination_of_templates_and_odd_tables(spark, monkeypatch):
+    r = random.Random(3)
+    head = "choose the right answer for the question below and say why "
+    items = [head + "".join(r.choice("abcdefgh ") for _ in range(30)) for _ in range(40)]
+    texts = ["x" * 50 + items[i][: 20 + i] + items[i][21 + i :] for i in range(30)] + [head * 3, ("y" * 500 + items[3]) * 20, items[7], items[7]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame([(None if i % 7 == 0 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("doc", F.lit(2))
+    whole = sorted(map(repr, decontaminate.find_items(df, bench).collect()))
+    left = [x.text for x in decontaminate.drop_contaminated(df, bench).collect()]
+    assert left == [head * 3]
+    with monkeypatch.context() as m:  # in pieces, on the same index
+        m.setattr(decontaminate, "ENTRIES", 50)
+        index = decontaminate.build(range(len(items)), items)
+        points, off = decontaminate.codepoints(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+        pieces = {(d, i, a, b, e) for d, i, a, b, e in decontaminate.regions(index, decontaminate.fold(points), off)}
+    assert pieces == set(decontaminate.regions(index, decontaminate.fold(points), off)) and len(pieces) == len(whole)
+    assert decontaminate.find_items(df, bench.limit(0)).count() == 0 == decontaminate.find_items(df.limit(0), bench).count()
+    assert decontaminate.drop_contaminated(df, bench.limit(0)).count() == len(texts) and decontaminate.drop_contaminated(df.limit(0), bench).columns == df.columns
+
+
 def test_packing_plan():
     r = random.Random(2)
     counts = {r.randrange(1, 65): r.randrange(1, 200) for _ in range(60)}
@@ -346,7 +489,6 @@ def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     extra = spark.createDataFrame([(999, "<|endoftext|> ¿x?   " + "ab " * 3000)], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(extra)
     cut = packing.pieces(both, P.path("byte_bpe_50k.json"), P.PATTERN)
