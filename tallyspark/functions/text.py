@@ -1,13 +1,22 @@
 """Cleaning and parsing of statement text, as Column expressions."""
 
 from functools import reduce
+from unicodedata import combining, normalize
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters with accents and their plain forms.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _folds() -> dict[str, str]:
+    """Latin letters, ligatures and full-width forms that compatibility decomposition without marks turns into ASCII."""
+    blocks = [*range(0xA1, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]
+    plain = {chr(i): "".join(c for c in normalize("NFKD", chr(i)) if not combining(c)) for i in blocks}
+    return {c: x for c, x in plain.items() if x.strip() and x.isascii()}
+
+
+FOLDS = _folds()
+ACCENTED = "".join(c for c, x in FOLDS.items() if len(x) == 1)
+#: Combining marks, which a letter written apart from its accent leaves behind.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 # Legal forms and branch words that name no merchant.
 LEGAL = r"(?i)(?<!\w)(?:S\.A\.C\.|S\.A\.|SpA|LTDA|CIA|SUCURSAL|SUC|COM)(?!\w)"
 # Section headers of the two statement variants.
@@ -16,7 +25,11 @@ SECTION_MARKS = ("INFORMACIÓN DE TRANSACCIONES", "PERÍODO ACTUAL", "DETALLE DE
 
 
 def fold_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, UNACCENTED)
+    """c with letters for their accented, joined or full-width forms; other scripts stay."""
+    x = F.translate(c, ACCENTED + MARKS, "".join(FOLDS[a] for a in ACCENTED))
+    several = {a: b for a, b in FOLDS.items() if len(b) > 1}
+    joined = reduce(lambda y, ab: F.replace(y, F.lit(ab[0]), F.lit(ab[1])), several.items(), x)
+    return F.when(x.rlike("[" + "".join(several) + "]"), joined).otherwise(x)
 
 
 def normalize_merchant(c: Column) -> Column:
@@ -29,13 +42,11 @@ def normalize_merchant(c: Column) -> Column:
 
 def parse_amount(c: Column, currency: Column) -> Column:
     """decimal(15,2) from local notation: points group thousands, a comma starts the cents of USD; null if it isn't an amount."""
-    x = F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"(?s)^(.*?)US\$", "$1"), r"(?s)^(.*?)\$", "$1"))
-    sign, digits = F.when(x.startswith("-"), -1).otherwise(1), F.trim(F.regexp_replace(x, r"^[+-]", ""))
-    clp, usd = r"^\d+$|^\d{1,3}(\.\d{3})+$", r"^(\d+|\d{1,3}(\.\d{3})+)(,\d{1,2})?$"
-    plain = F.translate(F.translate(digits, ".", ""), ",", ".")
+    # up to the first US$, then up to the first $, everything goes
+    before, groups = r"(?s)^(?>.*?US\$)?+(?>[^$]*\$)?+\s*", r"([+-]?\s*\d+(?:\.\d{3})*"
     code = F.upper(F.trim(currency))
-    ok = F.when(code == "CLP", digits.rlike(clp)).when(code == "USD", digits.rlike(usd))
-    return F.when(ok, (sign * plain.try_cast("decimal(15,2)")).cast("decimal(15,2)"))
+    x = F.when(code == "CLP", F.regexp_extract(c, before + groups + r")\s*$", 1)).when(code == "USD", F.regexp_extract(c, before + groups + r"(?:,\d{1,2})?)\s*$", 1))
+    return F.translate(x, ",.+ \t\r\n\x0b\x0c", ".").try_cast("decimal(15,2)")
 
 
 def parse_date(c: Column) -> Column:

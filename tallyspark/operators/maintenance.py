@@ -8,7 +8,7 @@ def apply_category_edits(tx: DataFrame, edits: DataFrame, categories: DataFrame)
     """edits: id, action (set, clear or text), category_id, label; one for each transaction.  The next transactions, and the rejected edits with a reason."""
     c = categories.select(F.col("id").alias("category_id"), F.col("name").alias("_name"))
     known = tx.select("id", F.lit(True).alias("_known"))
-    e = edits.join(F.broadcast(c), "category_id", "left").join(known, "id", "left")
+    e = edits.join(c, "category_id", "left").join(known, "id", "left")
     reason = (
         F.when(F.col("_known").isNull(), "unknown transaction")
         .when((F.col("action") == "set") & F.col("_name").isNull(), "unknown category")
@@ -28,11 +28,11 @@ def rename_categories(categories: DataFrame, tx: DataFrame, renames: DataFrame)
     """renames: id, name.  The next categories and transactions, and the rejected renames, whose name another category has in any case."""
     r = renames.withColumnRenamed("name", "_new")
     others = categories.select(F.col("id").alias("_other"), F.lower("name").alias("_taken"))
-    clash = r.join(F.broadcast(others), (F.lower("_new") == F.col("_taken")) & (F.col("id") != F.col("_other"))).select("id").distinct()
+    clash = r.join(others, (F.lower("_new") == F.col("_taken")) & (F.col("id") != F.col("_other"))).select("id").distinct()
     good = r.join(clash, "id", "left_anti")
     after = categories.join(good, "id", "left").withColumn("name", F.coalesce("_new", "name")).drop("_new")
     labels = good.select(F.col("id").alias("category_id"), "_new")
-    moved = tx.join(F.broadcast(labels), "category_id", "left").withColumn("category", F.coalesce("_new", "category")).drop("_new")
+    moved = tx.join(labels, "category_id", "left").withColumn("category", F.coalesce("_new", "category")).drop("_new")
     return after, moved, r.join(clash, "id", "left_semi").withColumnRenamed("_new", "name")
 
 

@@ -1,5 +1,6 @@
 """Detection of recurring charges and the rules that keep them."""
 
+import math
 from datetime import date
 
 from pyspark.sql import DataFrame, Window
@@ -11,6 +12,8 @@ from .filters import active, list_rules
 from .windows import GROUP, with_gap_days, with_group_median
 
 LOOKBACK_DAYS, BAND, LEAST = 90, "0.15", 3
+#: The magnitude of amounts that have no logarithm.
+NONE = -1_000_000
 KEY = ("merchant_id", "amount_min", "amount_max", "currency", "period_days")
 
 
@@ -47,15 +50,30 @@ def detect(tx: DataFrame, statements: DataFrame) -> DataFrame:
     return stats.withColumn("period_label", classify_period(F.col("period_days"))).withColumn("confidence", confidence(F.col("n"), F.col("amount_min"), F.col("amount_max"), F.col("median")))
 
 
-def upsert_rules(rules: DataFrame, detected: DataFrame) -> DataFrame:
+def newest_statements(statements: DataFrame) -> DataFrame:
+    """card_id, statement_id: the statement that each card's detection runs for."""
+    return statements.groupBy(F.col("credit_card_id").alias("card_id")).agg(F.max_by("id", F.struct("period_end", "id")).alias("statement_id"))
+
+
+def _of_detections(tx: DataFrame, statements: DataFrame, detected: DataFrame) -> DataFrame:
+    """Postings of the newest statements within the bounds of their card's detection of their merchant and currency, of which there is one."""
+    found = detected.select("card_id", "merchant_id", "currency", *(F.col(c).alias(f"_{c}") for c in ("amount_min", "amount_max", "period_days")))
+    own = tx.join(newest_statements(statements), ["card_id", "statement_id"])
+    return own.join(found, ["card_id", "merchant_id", "currency"]).where(F.col("amount").between(F.col("_amount_min"), F.col("_amount_max")))
+
+
+def upsert_rules(rules: DataFrame, detected: DataFrame, tx: DataFrame, statements: DataFrame) -> DataFrame:
     """Rules after a run of the detector: those met again are refreshed, others kept, new ones added as active.
 
-    Several detections may meet on a key; the last by (last_seen_date, card) gives day and label, and occurrences add up.
+    A new rule counts all postings of its detections; one met again adds those of the newest statements that no rule
+    has been linked to.  Of several detections on a key the last by (last_seen_date, card) gives day and label.
     """
-    w = Window.partitionBy(*KEY)
-    last = w.orderBy(F.desc("last_seen_date"), F.desc("card_id"))
-    met = detected.withColumn("_n", F.row_number().over(last)).withColumn("new", F.sum("n").over(w)).where("_n = 1")
-    return _merged(rules, met.select(*KEY, F.col("period_label").alias("_label"), F.col("last_seen_date").alias("_seen"), "new", "median"))
+    open_ = F.col("recurring_rule_id").isNull() if "recurring_rule_id" in tx.columns else F.lit(True)
+    fresh = _of_detections(tx.where(F.col("installment_number").isNull() & open_), statements, detected).groupBy("card_id", "merchant_id", "currency").agg(F.count("*").alias("_fresh"))
+    last = F.max_by(F.struct("period_label", "last_seen_date", "median"), F.struct("last_seen_date", "card_id"))
+    met = detected.join(fresh, ["card_id", "merchant_id", "currency"], "left").groupBy(*KEY).agg(F.sum("n").alias("_all"), F.sum(F.coalesce("_fresh", F.lit(0))).alias("_fresh"), last.alias("_last"))
+    met = met.join(rules.select(*KEY, F.lit(True).alias("_known")), list(KEY), "left")
+    return _merged(rules, met.select(*KEY, F.col("_last.period_label").alias("_label"), F.col("_last.last_seen_date").alias("_seen"), F.when(F.col("_known"), F.col("_fresh")).otherwise(F.col("_all")).alias("new"), F.col("_last.median").alias("median")))
 
 
 def _merged(rules: DataFrame, met: DataFrame) -> DataFrame:
@@ -111,22 +129,37 @@ def replay(tx: DataFrame, statements: DataFrame, rules: DataFrame, arrived: Data
     return _merged(rules, met), after
 
 
-def backfill_rule_id(tx: DataFrame, rules: DataFrame) -> DataFrame:
-    """recurring_rule_id of postings that lie within a rule's bounds; of several the rule seen last."""
-    r = rules.select(F.col("id").alias("_rule"), "merchant_id", "currency", "amount_min", "amount_max", "last_seen_date")
-    hits = tx.select("id", "merchant_id", "currency", "amount").join(r, ["merchant_id", "currency"]).where(F.col("amount").between(F.col("amount_min"), F.col("amount_max")))
-    best = hits.groupBy("id").agg(F.max(F.struct("last_seen_date", "_rule")).alias("b")).select("id", F.col("b._rule").alias("_rule"))
+def backfill_rule_id(tx: DataFrame, rules: DataFrame, detected: DataFrame, statements: DataFrame) -> DataFrame:
+    """tx with recurring_rule_id: postings of the newest statements that lie within their detection's bounds get its rule; others keep theirs.
+
+    A card has one detection for a merchant and currency, so a posting meets one rule at most.
+    """
+    hits = _of_detections(tx, statements, detected).select("id", "merchant_id", "currency", *(F.col(f"_{c}").alias(c) for c in ("amount_min", "amount_max", "period_days")))
+    hits = hits.join(rules.select(F.col("id").alias("_rule"), *KEY), list(KEY)).select("id", "_rule")
     old = F.col("recurring_rule_id") if "recurring_rule_id" in tx.columns else F.lit(None).cast("string")
-    return tx.join(best, "id", "left").withColumn("recurring_rule_id", F.coalesce("_rule", old)).drop("_rule")
+    return tx.join(hits, "id", "left").withColumn("recurring_rule_id", F.coalesce("_rule", old)).drop("_rule")
+
+
+def _magnitude(amount):
+    """A number for amounts of about one size; amounts of nothing and refunds have one of their own."""
+    return F.when(amount > 0, F.floor(F.log(amount.cast("double")) / math.log(1 + float(BAND)))).otherwise(NONE).cast("int")
 
 
 def recurring_in_period(tx: DataFrame, rules: DataFrame, period: date) -> DataFrame:
-    """Active rules of merchants and currencies with a posting in the month near some rule's amounts."""
+    """Active rules of merchants and currencies with a posting in the month near some rule's amounts.
+
+    Postings meet rules by merchant, currency and magnitude, each amount once, so a busy merchant is not one group.
+    """
     start, end = month_bounds(period)
     r = active(rules)
     low, high = F.col("amount_min") * F.lit(0.85).cast("decimal(3,2)"), F.col("amount_max") * F.lit(1.15).cast("decimal(3,2)")
-    rows = tx.where(F.col("date").between(F.lit(start), F.lit(end))).select("merchant_id", "currency", "amount")
-    pairs = r.select("merchant_id", "currency", low.alias("low"), high.alias("high")).join(rows, ["merchant_id", "currency"]).where("amount between low and high").select("merchant_id", "currency").distinct()
+    rows = tx.where(F.col("date").between(F.lit(start), F.lit(end))).select("merchant_id", "currency", "amount").distinct().withColumn("_size", _magnitude(F.col("amount")))
+    near = r.select("merchant_id", "currency", low.alias("low"), high.alias("high")).distinct()
+    none = F.expr("cast(array() as array<int>)")
+    # one more at either end than rounding can need
+    sizes = F.when(F.col("high") > 0, F.sequence(_magnitude(F.greatest("low", F.lit(0.01))) - 1, _magnitude(F.col("high")) + 1)).otherwise(none)
+    near = near.where("low <= high").withColumn("_size", F.explode(F.concat(sizes, F.when(F.col("low") <= 0, F.array(F.lit(NONE))).otherwise(none))))
+    pairs = near.join(rows, ["merchant_id", "currency", "_size"]).where("amount between low and high").select("merchant_id", "currency").distinct()
     return list_rules(r.join(pairs, ["merchant_id", "currency"], "left_semi"))
 
 

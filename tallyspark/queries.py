@@ -277,7 +277,8 @@ def _no_rules(spark):
 
 def _rules(spark, d):
     tx = events(spark, d)
-    return R.upsert_rules(_no_rules(spark), R.detect(tx, event_statements(tx)))
+    st = event_statements(tx)
+    return R.upsert_rules(_no_rules(spark), R.detect(tx, st), tx, st)
 
 
 RULE = f"{STATS}, u as (select merchant_id, amount_min, amount_max, currency, period_days, cast(sum(n) as integer) as occurrences, max(last_seen_date) as last_seen_date, arg_max(median, (last_seen_date, card_id)) as median from r group by 1, 2, 3, 4, 5)"
@@ -288,9 +289,36 @@ def recurring_upsert_rules(spark, d):
     return _rules(spark, d).drop("id")
 
 
-@query(f"with {RULE}, j as (select distinct ev.id from ev join u using (merchant_id, currency) where amount between amount_min and amount_max) select ev.id, j.id is not null as linked from ev left join j on j.id = ev.id")
+NEWEST = f"{RULE}, nw as (select card_id, arg_max(statement_id, (stop, statement_id)) as statement_id from (select card_id, statement_id, max(date) as stop from ev group by 1, 2) group by 1)"
+IN_BAND = "from ev join nw using (card_id, statement_id) join r using (card_id, merchant_id, currency) where amount between amount_min and amount_max"
+
+
+@query(f"with {NEWEST}, v as (select merchant_id, amount_min, amount_max, currency, period_days, count(*) as fresh {IN_BAND} and id % 3 > 0 group by 1, 2, 3, 4, 5) select merchant_id, amount_min, amount_max, currency, period_days, cast(occurrences + coalesce(fresh, 0) as integer) as occurrences from u left join v using (merchant_id, amount_min, amount_max, currency, period_days)")
+def recurring_upsert_again(spark, d):
+    """A second run where a third of the postings are linked: rules met again add the others."""
+    tx = events(spark, d).withColumn("recurring_rule_id", F.when(F.col("id") % 3 == 0, "r"))
+    st = event_statements(tx)
+    return R.upsert_rules(_rules(spark, d), R.detect(tx, st), tx, st).select("merchant_id", "amount_min", "amount_max", "currency", "period_days", "occurrences")
+
+
+def _linked(spark, d):
+    tx = events(spark, d)
+    st = event_statements(tx)
+    return R.backfill_rule_id(tx, _rules(spark, d), R.detect(tx, st), st)
+
+
+@query(f"with {NEWEST}, j as (select ev.id {IN_BAND}) select ev.id, j.id is not null as linked from ev left join j on j.id = ev.id")
 def recurring_backfill(spark, d):
-    return R.backfill_rule_id(events(spark, d), _rules(spark, d)).select("id", F.col("recurring_rule_id").isNotNull().alias("linked"))
+    return _linked(spark, d).select("id", F.col("recurring_rule_id").isNotNull().alias("linked"))
+
+
+@query(f"with {NEWEST}, j as (select ev.id, {LABEL} as period_label {IN_BAND}), sp as (select statement_id, min(date) as period_start, max(date) as period_end from ev group by 1) select ev.id, period_start, period_end, case when merchant_id <> 'view' then merchant_name end as merchant_name, period_label from ev join sp using (statement_id) left join j on j.id = ev.id")
+def source_wide_events(spark, d):
+    """Every posting with what it refers to; one merchant is not in the table."""
+    tx = _linked(spark, d).withColumn("category_id", F.lit("1"))
+    merchants = tx.where("merchant_id <> 'view'").select(F.col("merchant_id").alias("id"), F.col("merchant_name").alias("name")).distinct()
+    wide = model.wide_transactions(tx.drop("merchant_name"), event_statements(tx), model.seed_categories(spark), merchants, _rules(spark, d))
+    return wide.select("id", "period_start", "period_end", "merchant_name", "period_label")
 
 
 @query(f"with {RULE}, p as (select distinct merchant_id, currency from ev join u using (merchant_id, currency) where date between date '2024-01-01' and date '2024-01-31' and amount between amount_min * cast(0.85 as decimal(3,2)) and amount_max * cast(1.15 as decimal(3,2))) select merchant_id, currency, amount_min, amount_max, period_days, last_seen_date from u join p using (merchant_id, currency)")
@@ -362,11 +390,9 @@ def text_normalize_merchant(spark, d):
     return C.with_canonical(p.distinct()).select("description", "canonical")
 
 
-@query("select doc_id, strip_accents(text) = t as same from (select doc_id, text, strip_accents(text) as t from documents)")
+@query("select doc_id, sha256(strip_accents(text)) as folded from documents")
 def text_fold_accents(spark, d):
-    """Folding twice is folding once, and leaves no Latin letter with an accent."""
-    x = T.fold_accents(F.col("text"))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", ((T.fold_accents(x) == x) & ~x.rlike("[À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿ]")).alias("same"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(F.encode(T.fold_accents(F.col("text")), "UTF-8"), 256).alias("folded"))
 
 
 @query("select l_orderkey, l_linenumber, cast(l_extendedprice as decimal(15,2)) as usd, cast(floor(l_extendedprice) as decimal(15,2)) as clp from lineitem")
@@ -415,11 +441,12 @@ def text_error_and_name(spark, d):
     return c.select("conv_id", "turn", T.canonical_name(F.col("text"), F.col("role"), F.lit("raw")).alias("name"), T.error_text(F.lit("RowError"), F.col("text")).alias("error"))
 
 
-@query("select conv_id, turn, sha256(conv_id || chr(31) || turn || chr(31) || role) as key, text as inside from conversations where text not like '%```%' and trim(text) = text and text <> ''")
+@query("select conv_id, turn, sha256(conv_id || chr(31) || turn || chr(31) || role) as key, regexp_replace(text, '^[ \\t\\r\\n\\f\\v]+|[ \\t\\r\\n\\f\\v]+$', '', 'g') as inside from conversations")
 def text_keys_and_fences(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet").where("text not like '%```%' and trim(text) = text and text <> ''")
+    """Every text in a fence, whose inside is the text without outer blanks."""
+    c = spark.read.parquet(f"{d}/conversations.parquet")
     fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n```"))
-    return c.select("conv_id", "turn", T.surrogate_key("conv_id", "turn", "role").alias("key"), T.strip_fence(fenced).alias("inside"))
+    return c.select("conv_id", "turn", T.surrogate_key("conv_id", "turn", "role").alias("key"), F.regexp_replace(T.strip_fence(fenced), r"^\s+|\s+$", "").alias("inside"))
 
 
 @query("select p_partkey, p_size, case when p_size <= 10 then 'weekly' when p_size <= 18 then 'biweekly' when p_size <= 45 then 'monthly' else 'quarterly' end as label from part")

@@ -32,6 +32,7 @@ def test_amounts(spark):
     cases = [
         ("$ 1.234.567", "CLP", D("1234567.00")), ("$ -100.000", "CLP", D("-100000.00")), ("US$ 1.234,56", "USD", D("1234.56")), ("US$ -1.234,56", "usd", D("-1234.56")), ("US$ 236,86", "USD", D("236.86")),
         ("+ $ 1.234.567", "CLP", D("1234567.00")), ("$ 4250", "CLP", D("4250.00")), ("US$ 0,00", "USD", D("0.00")), ("1.2.3.4", "CLP", None), ("12,5", "CLP", None), ("", "CLP", None), (None, "CLP", None), ("5", "EUR", None),
+        ("1234.567", "CLP", D("1234567.00")), ("1234.567,8", "USD", D("1234567.80")), ("abono, $ 5", "CLP", D("5.00")), ("1.23", "CLP", None), ("US$ 1 US$ 5", "USD", D("5.00")), ("$ 1 $ 5", "CLP", None), ("-", "CLP", None),
     ]
     df = spark.createDataFrame([(i, a, c) for i, (a, c, _) in enumerate(cases)], "i int, a string, c string")
     assert [r[0] for r in df.orderBy("i").select(T.parse_amount(F.col("a"), F.col("c"))).collect()] == [x for *_, x in cases]
@@ -127,11 +128,33 @@ def test_detector(spark):
 def test_rules_are_refreshed(spark):
     tx = postings(spark, ["10.00"] * 4, 20)
     found = R.detect(tx, statements(tx))
-    once = R.upsert_rules(spark.createDataFrame([], model.RULES), found)
-    twice = R.upsert_rules(once, found)
-    assert once.count() == twice.count() == 1 and twice.first().id == once.first().id and twice.first().occurrences == 8
-    linked = R.backfill_rule_id(tx, once)
+    once = R.upsert_rules(spark.createDataFrame([], model.RULES), found, tx, statements(tx))
+    linked = R.backfill_rule_id(tx, once, found, statements(tx))
     assert {r.recurring_rule_id for r in linked.collect()} == {once.first().id}
+    twice = R.upsert_rules(once, found, linked, statements(tx))
+    assert once.count() == twice.count() == 1 and twice.first().id == once.first().id and once.first().occurrences == twice.first().occurrences == 4
+    # postings of older statements and of other cards stay as they are
+    more = tx.unionByName(tx.withColumn("id", F.concat(F.lit("o"), "id")).withColumn("statement_id", F.lit("old")).withColumn("date", F.date_sub("date", 200)))
+    more = more.unionByName(tx.withColumn("id", F.concat(F.lit("d"), "id")).withColumn("card_id", F.lit("d")).withColumn("statement_id", F.lit("d")).limit(2))
+    got = {r.id: r.recurring_rule_id for r in R.backfill_rule_id(more, once, R.detect(more, statements(more)), statements(more)).collect()}
+    assert {i for i, r in got.items() if r} == {"0", "1", "2", "3"}
+
+
+def test_rules_in_period_by_magnitude(spark):
+    import random
+
+    r = random.Random(1)
+    amounts = [D(r.choice([1, 5, 20, 1000])) * D(r.randrange(70, 140)) / 100 for _ in range(60)] + [D("-5.00"), D("0.00"), D("85.00"), D("115.00")]
+    tx = spark.createDataFrame([(f"m{i}", "CLP", date(2026, 1, 5), a.quantize(D("0.01"))) for i, a in enumerate(amounts)], "merchant_id string, currency string, date date, amount decimal(15,2)")
+    rules = [(f"{i}-{k}", f"m{i}", 30, "monthly", D(low), D(high), "CLP", True, 1.0, date(2026, 1, 1), 3) for i in range(len(amounts)) for k, (low, high) in enumerate([("4.00", "6.00"), ("100.00", "100.00"), ("-6.00", "-4.00")])]
+    got = {x.merchant_id for x in R.recurring_in_period(tx, spark.createDataFrame(rules, model.RULES), date(2026, 1, 1)).collect()}
+    bounds = [(D("3.40"), D("6.90")), (D("85"), D("115")), (D("-5.10"), D("-4.60"))]
+    assert got == {f"m{i}" for i, a in enumerate(amounts) if any(x <= a.quantize(D("0.01")) <= y for x, y in bounds)} and 10 < len(got) < len(amounts)
+
+
+def test_folding(spark):
+    cases = {"ŠKODA": "SKODA", "oﬃce": "office", "ＦＵＬＬ１": "FULL1", "cafe\u0301": "cafe", "ﬁn Ĳ": "fin IJ", "ñandú ẞ жё": "nandu ẞ жё", "ĳs": "ijs"}
+    assert each(spark, cases, T.fold_accents) == list(cases.values())
 
 
 def replay_plain(tx, ends):
