@@ -94,8 +94,11 @@ def truncate_text(text: Column, variant: Column, limit: int = 5000) -> Column:
     return F.when(F.length(x) <= limit, x).otherwise(F.substring(x, start, F.lit(limit)))
 
 
-def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5000, overlap: int = 200) -> DataFrame:
-    """id, chunk_idx, chunk: windows that end at a line end in their second half where there is one, each starting ``overlap`` before the last end."""
+def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5000, overlap: int = 200, variant: Column | None = None) -> DataFrame:
+    """id, chunk_idx, chunk: windows that end at a line end in their second half where there is one, each starting ``overlap`` before the last end.
+
+    With a variant, the other variant's section goes first; a null variant keeps the text.
+    """
     import pandas as pd
 
     def cut(text: str) -> list[str]:
@@ -116,7 +119,8 @@ def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def chunks(texts: pd.Series) -> pd.Series:
         return texts.map(cut)
 
-    return docs.select(F.col(id_col), F.posexplode(chunks(F.col(text_col))).alias("chunk_idx", "chunk"))
+    text = F.col(text_col) if variant is None else strip_other_variant(F.col(text_col), variant)
+    return docs.select(F.col(id_col), F.posexplode(chunks(text)).alias("chunk_idx", "chunk"))
 
 
 def completeness(meta: Column, fields=("card_number_masked", "cardholder", "currency", "period_start", "period_end", "statement_date")) -> Column:
@@ -180,8 +184,17 @@ def valid_currency(c: Column) -> Column:
     return c.isin("CLP", "USD")
 
 
+def nonblank(c: Column) -> Column:
+    """c, or null where nothing is written."""
+    return F.when(F.trim(c) != "", c)
+
+
+def variant_currency(variant: Column) -> Column:
+    return F.when(variant == "NACIONAL", "CLP").when(variant == "INTERNACIONAL", "USD")
+
+
 def currency_matches_variant(currency: Column, variant: Column) -> Column:
-    return currency == F.when(variant == "NACIONAL", "CLP").when(variant == "INTERNACIONAL", "USD")
+    return currency == variant_currency(variant)
 
 
 def classify_period(days: Column) -> Column:

@@ -3,23 +3,38 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import completeness, error_text, parse_amount, parse_date, placeholder_holder, placeholder_mask, reply_content, strip_fence, surrogate_key, valid_confidence, valid_currency
-from ..sources.model import EXTRACTION
+from ..functions.text import completeness, error_text, nonblank, parse_amount, parse_date, placeholder_holder, placeholder_mask, reply_content, strip_fence, surrogate_key, valid_confidence, valid_currency
+from ..sources.model import EXTRACTION, ROWS
+
+# How long the fields of a reply's row may be; those from 1 on must be there.
+LENGTHS = {"date": (1, 10), "description": (1, 500), "amount": (1, 64), "currency": (3, 3), "category": (0, 50), "installment_value": (0, 64)}
 
 
 def parse_replies(payloads: DataFrame) -> DataFrame:
-    """doc_id, chunk_idx, reply (null where it can't be parsed), error."""
+    """doc_id, chunk_idx, reply (null where it can't be parsed), extra (keys that no reply has), error."""
     body = strip_fence(reply_content(F.col("body")))
     reply = F.from_json(body, EXTRACTION)
     parsed = payloads.withColumn("_r", reply)
     ok = F.col("_r.transactions").isNotNull() | F.col("_r.metadata").isNotNull()
-    return parsed.select("doc_id", "chunk_idx", F.when(ok, F.col("_r")).alias("reply"), F.when(~F.coalesce(ok, F.lit(False)), F.lit("no valid reply")).alias("error"))
+    return parsed.select("doc_id", "chunk_idx", F.when(ok, F.col("_r")).alias("reply"), extra_keys(body).alias("extra"), F.when(~F.coalesce(ok, F.lit(False)), F.lit("no valid reply")).alias("error"))
 
 
 def clean_rows(reply):
-    """The reply's rows that have a description and an amount, blank currencies and bad ones as null."""
-    rows = F.filter(reply["transactions"], lambda t: (F.trim(t["description"]) != "") & (F.trim(t["amount"]) != ""))
-    return F.transform(rows, lambda t: t.withField("currency", F.when(valid_currency(t["currency"]), t["currency"])))
+    """The reply's rows that have a description and an amount."""
+    return F.filter(reply["transactions"], lambda t: (F.trim(t["description"]) != "") & (F.trim(t["amount"]) != ""))
+
+
+def clean_metadata(reply):
+    """The reply's metadata without currencies there are not; other missing fields are blank."""
+    meta = reply["metadata"]
+    names = ("card_number_masked", "cardholder", "currency", "period_start", "period_end", "statement_date")
+    currency = F.when(valid_currency(meta["currency"]), meta["currency"])
+    full = F.struct(*((currency if f == "currency" else F.coalesce(meta[f], F.lit(""))).alias(f) for f in names))
+    return F.when(meta.isNotNull(), full)
+
+
+def _length_outside(field, low, high):
+    return lambda t: ~F.coalesce(F.length(t[field]), F.lit(0)).between(low, high)
 
 
 def violations(reply):
@@ -28,13 +43,24 @@ def violations(reply):
     rules = {
         "metadata": reply["metadata"].isNull(),
         "confidence": ~F.coalesce(valid_confidence(reply["confidence"]), F.lit(False)),
-        "description length": F.exists(rows, lambda t: F.length(t["description"]) > 500),
+        **{f"{f} length": F.exists(rows, _length_outside(f, *bounds)) for f, bounds in LENGTHS.items()},
         "instalments": F.exists(rows, lambda t: (t["installment_number"] < 1) | (t["installment_total"] < 1)),
-        "currency": F.exists(rows, lambda t: ~valid_currency(t["currency"])),
     }
     return F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items())))
 
 
+def check_replies(parsed: DataFrame) -> DataFrame:
+    """parsed with cleaned replies; one that breaks a rule after that, or has keys of its own, is null and its error names what it breaks."""
+    reply = F.col("reply")
+    rows = F.coalesce(clean_rows(reply), F.array().cast(ROWS))
+    clean = F.when(reply.isNotNull(), F.struct(rows.alias("transactions"), clean_metadata(reply).alias("metadata"), reply["confidence"].alias("confidence"), reply["notes"].alias("notes")))
+    c = parsed.withColumn("reply", clean)
+    broken = F.when(F.col("reply").isNotNull(), F.concat_ws(", ", F.array_union(violations(F.col("reply")), F.transform("extra", lambda k: F.concat(F.lit("extra "), k)))))
+    c = c.withColumn("_broken", broken)
+    valid = F.col("_broken") == ""
+    return c.withColumn("error", F.when(F.col("_broken") != "", error_text(F.lit("ValidationError"), F.col("_broken"))).otherwise(F.col("error"))).withColumn("reply", F.when(valid, F.col("reply"))).drop("_broken")
+
+
 def extra_keys(body, allowed=("transactions", "metadata", "confidence", "notes")):
     return F.array_except(F.coalesce(F.json_object_keys(body), F.expr("cast(array() as array<string>)")), F.array(*map(F.lit, allowed)))
 
@@ -57,11 +83,14 @@ def extracted_rows(parsed: DataFrame) -> DataFrame:
     return parsed.where("reply is not null").select("doc_id", "chunk_idx", F.posexplode(clean_rows(F.col("reply"))).alias("pos", "t")).select("doc_id", "chunk_idx", "pos", "t.*")
 
 
-def typed_rows(rows: DataFrame, default_currency: str = "CLP") -> DataFrame:
-    """Rows with parsed date and amount, and row_error where one fails."""
+def typed_rows(rows: DataFrame, default_currency: str = "CLP", expected=None) -> DataFrame:
+    """Rows with parsed date, amount and value of an instalment, and row_error where one fails or the currency isn't the expected column's."""
     currency = F.coalesce("currency", F.lit(default_currency))
-    out = rows.withColumn("parsed_date", parse_date(F.col("date"))).withColumn("parsed_amount", parse_amount(F.col("amount"), currency))
-    bad = F.when(F.col("parsed_date").isNull(), error_text(F.lit("DateError"), F.coalesce("date", F.lit("")))).when(F.col("parsed_amount").isNull(), error_text(F.lit("AmountError"), F.coalesce("amount", F.lit(""))))
+    value = F.col("installment_value") if "installment_value" in rows.columns else F.lit(None).cast("string")
+    out = rows.withColumn("parsed_date", parse_date(F.col("date"))).withColumn("parsed_amount", parse_amount(F.col("amount"), currency)).withColumn("parsed_value", parse_amount(nonblank(value), currency))
+    other = F.lit(False) if expected is None else ~F.coalesce(currency == expected, F.lit(False))
+    bad = F.when(other, error_text(F.lit("CurrencyError"), currency)).when(F.col("parsed_date").isNull(), error_text(F.lit("DateError"), F.coalesce("date", F.lit(""))))
+    bad = bad.when(F.col("parsed_amount").isNull(), error_text(F.lit("AmountError"), F.coalesce("amount", F.lit("")))).when(nonblank(value).isNotNull() & F.col("parsed_value").isNull(), error_text(F.lit("AmountError"), value))
     return out.withColumn("row_error", bad)
 
 

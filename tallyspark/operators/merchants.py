@@ -51,8 +51,8 @@ def low_confidence(category_hit, alias_hit, default_category):
 
 
 def resolve_merchants(tx: DataFrame, aliases: DataFrame, merchants: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """tx with merchant_id, and the aliases and merchants after it: an unknown canonical name makes one of each, with the same ids however often it runs."""
-    hit = match_aliases(with_canonical(tx), aliases)
+    """tx with merchant_id and alias_hit, and the aliases and merchants after it: an unknown canonical name makes one of each, with the same ids however often it runs."""
+    hit = match_aliases(with_canonical(tx), aliases).withColumn("alias_hit", F.col("merchant_id").isNotNull())
     fresh = hit.where("merchant_id is null and canonical <> ''").groupBy("canonical").agg(F.min("description").alias("alias_text"))
     new = known_category(fresh.withColumn("merchant_id", surrogate_key(F.lit("merchant"), "canonical")))
     c = categories.select(F.col("name").alias("known_category"), F.col("id").alias("default_category_id"))

@@ -89,22 +89,28 @@ def _merged(rules: DataFrame, met: DataFrame) -> DataFrame:
 def arrival_scans(tx: DataFrame, statements: DataFrame, arrived: DataFrame, lookback: int = LOOKBACK_DAYS) -> DataFrame:
     """The postings that the detection of each arrived statement reads, named by at and at_end.
 
-    Those are its card's postings on statements up to it, in order of (period_end, id), since lookback days before
-    its end.  A posting meets statements by card and month of their end, so it is copied for those months only.
+    Those are its card's postings since lookback days before its end: all on statements that had arrived before, newer
+    ones too, and those on the arrived statements up to it in order of (period_end, id).  A posting meets statements
+    by card and month of their end, and is copied only for months in which a statement of its card has arrived.
     """
+    ends = arrived.where(F.col("period_end").isNotNull())
     own = statements.where(F.col("period_end").isNotNull()).select(F.col("id").alias("statement_id"), "period_end")
-    rows = tx.drop("period_end").where(F.col("installment_number").isNull() & F.col("merchant_id").isNotNull()).join(own, "statement_id")
+    own = own.join(ends.select(F.col("id").alias("statement_id"), F.lit(True).alias("_now")), "statement_id", "left")
+    to = ends.select(F.col("credit_card_id").alias("card_id"), F.col("id").alias("at"), F.col("period_end").alias("at_end"), F.trunc("period_end", "MM").alias("_month"))
+    months = to.groupBy("card_id").agg(F.collect_set("_month").alias("_months"))
+    rows = tx.drop("period_end").where(F.col("installment_number").isNull() & F.col("merchant_id").isNotNull()).join(own, "statement_id").join(months, "card_id")
     last = F.date_add("date", lookback)
-    months = F.sequence(F.trunc("period_end", "MM").cast("date"), F.trunc(last, "MM").cast("date"), F.expr("interval 1 month"))
-    rows = rows.where(last >= F.col("period_end")).withColumn("_month", F.explode(months))
-    to = arrived.select(F.col("credit_card_id").alias("card_id"), F.col("id").alias("at"), F.col("period_end").alias("at_end"), F.trunc("period_end", "MM").alias("_month"))
-    met = rows.join(to, ["card_id", "_month"]).where((F.col("at_end") <= last) & (F.struct("at_end", "at") >= F.struct("period_end", "statement_id")))
-    return met.drop("_month", "period_end")
+    near = F.filter("_months", lambda m: (m <= last) & (F.col("_now").isNull() | (m >= F.trunc("period_end", "MM"))))
+    met = rows.withColumn("_month", F.explode(near)).drop("_months").join(to, ["card_id", "_month"])
+    met = met.where((F.col("at_end") <= last) & (F.col("_now").isNull() | (F.struct("at_end", "at") >= F.struct("period_end", "statement_id"))))
+    return met.drop("_month", "period_end", "_now")
 
 
 def replay(tx: DataFrame, statements: DataFrame, rules: DataFrame, arrived: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rules and linked postings after detection at each arrived statement in turn, by (period_end, id); all statements by default.
 
+    A late statement is another that arrives: it sees newer postings, and as the last detected gives its rules' last day.
+
     A rule met for the first time counts the postings in band; later ones add the postings of the statement that are
     not yet linked to it, so a second run over linked postings adds nothing.  The last statement gives day and
     confidence.  A statement's postings within a detection's bounds are linked to its rule, instalments too.

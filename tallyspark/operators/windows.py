@@ -46,8 +46,16 @@ def with_statement_error(rows: DataFrame, statement: str = "statement_id", error
 
 
 def with_slot(plan: DataFrame, order: str = "date") -> DataFrame:
-    """slot: number of a row within its month and currency, from 0; slot_date: the day it is posted on."""
-    w = Window.partitionBy(F.date_format("date", "yyyy-MM"), "currency").orderBy(order)
-    slotted = plan.withColumn("slot", F.row_number().over(w) - 1)
+    """slot: number of a row within its month and currency by date and order, from 0; slot_date: the day it is posted on.
+
+    Rows are numbered within their day, after the counted rows of the days before.
+    """
+    day = [F.trunc("date", "MM").alias("_month"), F.col("currency").alias("_currency"), F.col("date").alias("_date")]
+    counted = plan.groupBy(*day).agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("_month", "_currency").orderBy("_date").rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.select("_currency", "_date", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    own = plan.withColumn("_own", F.row_number().over(Window.partitionBy("date", "currency").orderBy(order)))
+    same = own["date"].eqNullSafe(before["_date"]) & own["currency"].eqNullSafe(before["_currency"])
+    slotted = own.join(before, same).withColumn("slot", F.col("_before") + F.col("_own") - 1).drop("_own", "_before", "_date", "_currency")
     day = F.least(F.col("slot") * 3 + 2, F.dayofmonth(F.last_day("date")))
     return slotted.withColumn("slot_date", F.make_date(F.year("date"), F.month("date"), day))

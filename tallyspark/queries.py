@@ -15,6 +15,7 @@ from .operators import recurring as R
 from .operators import rollups as A
 from .operators import windows as W
 from .plans import dashboard as P
+from .plans import ingest as I
 from .sources import model
 from .sources.ledger import event_statements, ledger_events, ledger_lineitem
 
@@ -430,11 +431,32 @@ def text_truncate(spark, d):
     return docs.select("doc_id", T.truncate_text(F.col("t"), F.lit("none"), 2000).alias("cut"))
 
 
-@query()
+def _chunks_sql(texts: str, size: int, overlap: int) -> str:
+    half = size // 2
+    tail = f"strpos(reverse(substr(text, s + {half}, {size - half + 1})), chr(10))"
+    stop = f"case when s + {size} < length(text) and {tail} > 0 then s + {size + 1} - {tail} else least(length(text), s + {size}) end as stop"
+    return f"""with recursive t as ({texts}),
+cut as (select doc_id, text, k, s, {stop} from (select doc_id, text, 0 as k, cast(0 as bigint) as s from t where text is not null)
+union all select doc_id, text, k, s, {stop} from (select doc_id, text, k + 1 as k, greatest(stop - {overlap}, s + 1) as s from cut where stop < length(text)))
+select doc_id, cast(k as integer) as chunk_idx, substr(text, s + 1, stop - s) as chunk from cut"""
+
+
+@query(_chunks_sql("select doc_id, text from documents", 5000, 200))
 def text_chunks(spark, d):
     return T.chunk_text(spark.read.parquet(f"{d}/documents.parquet"))
 
 
+@query(_chunks_sql("""select doc_id, case when doc_id % 3 = 1 and pos > 101 then substr(text, 1, pos - 1) when doc_id % 3 = 1 and word > 101 then substr(text, 1, word - 1) else text end as text
+from (select doc_id, text, strpos(text, 'ESTADO DE CUENTA INTERNACIONAL') as pos, strpos(text, 'INTERNACIONAL') as word from (select doc_id, 'ESTADO DE CUENTA ' || case when doc_id % 3 = 0 then 'INTERNACIONAL' when doc_id % 3 = 1 then 'NACIONAL' else 'EN PESOS' end || chr(10) || replace(text, ' the ', chr(10)) || chr(10) || 'ESTADO DE CUENTA INTERNACIONAL' || chr(10) || text as text from documents))""", 400, 40))
+def text_chunks_of_variant(spark, d):
+    """Statements with both sections; the home variant keeps its own."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    body = F.concat(F.replace("text", F.lit(" the "), F.lit("\n")), F.lit("\nESTADO DE CUENTA INTERNACIONAL\n"), "text")
+    texts = _statements(spark, d).select("doc_id", F.substring_index("text", "\n", 1).alias("head")).join(docs.select("doc_id", body.alias("body")), "doc_id")
+    both = texts.select("doc_id", F.concat_ws("\n", "head", "body").alias("text"))
+    return T.chunk_text(both, size=400, overlap=40, variant=T.detect_variant(F.col("text")))
+
+
 @query("select conv_id, turn, coalesce(nullif(trim(text), ''), role) as name, case when length('RowError: ' || replace(replace(text, chr(10), ' '), chr(13), ' ')) > 500 then substr('RowError: ' || replace(replace(text, chr(10), ' '), chr(13), ' '), 1, 499) || '…' else 'RowError: ' || replace(replace(text, chr(10), ' '), chr(13), ' ') end as error from conversations")
 def text_error_and_name(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
@@ -545,6 +567,52 @@ def extraction_cards(spark, d):
     return X.get_or_create_cards(first, c).select("bank_id", "card_number_masked", "cardholder")
 
 
+# -- ingest ------------------------------------------------------------------
+
+
+def _ingested(spark, d):
+    """Orders as statement files and their lines as chunks; some files, chunks and rows are bad, one shop has an alias and one is a known merchant."""
+    x = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").cast("decimal(15,2)").alias("p"), F.to_date("l_shipdate").alias("day"))
+    k, n = F.col("k"), F.col("n")
+    shop = F.when(k % 4 == 0, "LIDER COM 3").when(k % 4 == 1, "Kiosko").when(k % 4 == 2, "Bazar SpA").otherwise("77")
+    row = F.struct(
+        F.date_format("day", "dd/MM/yyyy").alias("date"), shop.alias("description"), F.concat(F.lit("US$ "), F.translate(F.format_number("p", 2), ",.", ".,")).alias("amount"),
+        F.when((k % 13 == 0) & (n == 2), "CLP").otherwise("USD").alias("currency"), F.when(k % 5 == 0, "GROCERIES ").when(k % 5 == 1, "Fun").alias("category"),
+    )
+    meta = F.struct(F.when(k % 2 == 0, k.cast("string")).otherwise("").alias("card_number_masked"), F.lit("x").alias("cardholder"), F.when(k % 11 == 0, "CLP").when(k % 11 == 1, "CLP or USD").otherwise("USD").alias("currency"), F.lit("").alias("period_start"), F.lit("2001-12-31").alias("period_end"))
+    bodies = x.groupBy("k", "n").agg(F.to_json(F.struct(F.sort_array(F.collect_list(row)).alias("transactions"), F.first(meta).alias("metadata"), F.first(F.when((n == 3) & (k % 3 == 0), 2.0).otherwise(0.9)).alias("confidence"))).alias("body"))
+    payloads = bodies.select(k.cast("string").alias("doc_id"), n.cast("int").alias("chunk_idx"), F.when(k % 7 != 0, F.col("body")).alias("body"))
+    files = x.select("k").distinct().select(k.cast("string").alias("doc_id"), (k % 3).alias("bank_id"), F.concat(k, F.lit(".pdf")).alias("file_path"), F.md5(k.cast("string")).alias("file_hash"), F.lit("INTERNACIONAL").alias("variant"))
+    cards = spark.createDataFrame([], "id string, bank_id long, card_number_masked string, cardholder string, currency string, is_active boolean")
+    aliases = spark.createDataFrame([("1", "m1", "Kiosko", "kiosko", "user", 1.0)], "id string, merchant_id string, alias_text string, normalized string, source string, confidence double")
+    merchants = spark.createDataFrame([("m1", "kiosko", None, True)], "id string, name string, default_category_id string, is_active boolean")
+    return I.ingest(payloads, files, spark.createDataFrame([], model.STATEMENTS), cards, aliases, merchants, model.seed_categories(spark), date(2002, 1, 15))
+
+
+INGEST = """with x as (select distinct l_orderkey as k, l_linenumber as n, cast(l_extendedprice as decimal(15,2)) as p, cast(l_shipdate as date) as day from lineitem), o as (select distinct k from x),
+c as (select * from x where k % 7 <> 0 and not (n = 3 and k % 3 = 0)), e as (select k, day, p, min(n) as n from c group by 1, 2, 3), st as (select k, bool_or(k % 13 = 0 and n = 2) as failed from e where k % 11 <> 0 group by 1)"""
+
+
+@query(f"{INGEST} select cast(k as varchar) as doc_id, case when k not in (select k from c) then 'ExtractionError: all chunks failed' else 'IngestionError: metadata currency is not the variant''s' end as error from o where k not in (select k from st)")
+def ingest_rejected(spark, d):
+    return _ingested(spark, d).rejected
+
+
+@query(f"{INGEST} select md5(cast(k as varchar)) as file_hash, case when k % 2 = 0 then cast(k as varchar) else 'UNKNOWN-' || substr(md5(cast(k as varchar)), 1, 8) end as card_number_masked, k % 3 as bank_id, date '2002-01-15' as period_start, date '2001-12-31' as period_end, case when failed then 'failed' else 'completed' end as status, case when failed then 'CurrencyError: CLP' end as error_message from st")
+def ingest_statements(spark, d):
+    out = _ingested(spark, d)
+    cards = out.cards.select(F.col("id").alias("credit_card_id"), "card_number_masked", "bank_id")
+    return out.statements.join(cards, "credit_card_id").select("file_hash", "card_number_masked", "bank_id", "period_start", "period_end", "status", "error_message")
+
+
+@query(f"""{INGEST} select md5(cast(k as varchar)) as file_hash, day as date, p as amount, 'USD' as currency, case k % 5 when 0 then 'Groceries' when 1 then 'Fun' else 'Uncategorized' end as category, case k % 4 when 0 then 'lider' when 1 then 'kiosko' when 2 then 'bazar' end as merchant,
+k % 5 <> 0 or k % 4 = 2 as low_confidence from e join st using (k) where not failed""")
+def ingest_postings(spark, d):
+    out = _ingested(spark, d)
+    files, names = out.statements.select(F.col("id").alias("statement_id"), "file_hash"), out.merchants.select(F.col("id").alias("merchant_id"), F.col("name").alias("merchant"))
+    return out.transactions.join(files, "statement_id").join(names, "merchant_id", "left").select("file_hash", "date", "amount", "currency", "category", "merchant", "low_confidence")
+
+
 # -- maintenance -------------------------------------------------------------
 
 

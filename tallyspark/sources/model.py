@@ -13,10 +13,9 @@ STATEMENTS = (
 RULES = (
     "id string, merchant_id string, period_days int, period_label string, amount_min decimal(15,2), amount_max decimal(15,2), currency string, is_active boolean, confidence double, last_seen_date date, occurrences int"
 )
-EXTRACTION = (
-    "struct<transactions: array<struct<date:string, description:string, amount:string, currency:string, category:string, installment_number:int, installment_total:int, installment_value:string>>, "
-    "metadata: struct<card_number_masked:string, cardholder:string, currency:string, period_start:string, period_end:string, statement_date:string>, confidence:double, notes:string>"
-)
+ROWS = "array<struct<date:string, description:string, amount:string, currency:string, category:string, installment_number:int, installment_total:int, installment_value:string>>"
+METADATA = "struct<card_number_masked:string, cardholder:string, currency:string, period_start:string, period_end:string, statement_date:string>"
+EXTRACTION = f"struct<transactions: {ROWS}, metadata: {METADATA}, confidence:double, notes:string>"
 
 # The closed set of categories in their order, and the banks.
 CATEGORIES = (

@@ -1,13 +1,15 @@
-"""Arrival of statements: each is ingested once, and rules are detected after its rows are written."""
+"""Arrival of statements: each is ingested once; rules and links are brought up to date after its rows are written."""
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.recurring import detect
+from ..operators.recurring import replay
+from ..sources.model import RULES
 
 POSTINGS = "id string, card_id string, statement_id string, file_hash string, period_end date, date date, amount decimal(15,2), currency string, merchant_id string, installment_number int"
+LINKS = "id string, recurring_rule_id string"
 
 
 def stream_statements(spark: SparkSession, path: str, schema: str = POSTINGS) -> DataFrame:
@@ -16,32 +18,51 @@ def stream_statements(spark: SparkSession, path: str, schema: str = POSTINGS) ->
 
 
 def new_postings(batch: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The batch's postings of statements that the ledger doesn't have, each once."""
-    fresh = batch.join(ledger.select("card_id", "file_hash").distinct(), ["card_id", "file_hash"], "left_anti")
-    return fresh.dropDuplicates(["card_id", "file_hash", "id"])
+    """The batch's postings of files that the ledger doesn't have, each once; of a file's several statements the least id is kept."""
+    file = ["card_id", "file_hash"]
+    fresh = batch.join(ledger.select(*file).distinct(), file, "left_anti")
+    first = fresh.groupBy(*file).agg(F.min("statement_id").alias("statement_id"))
+    return fresh.join(first, [*file, "statement_id"], "left_semi").dropDuplicates([*file, "id"])
 
 
-def ingest(stream: DataFrame, ledger_path: str, rules_path: str, log_path: str, checkpoint: str):
+def _before(spark: SparkSession, path: str, schema: str, number: int) -> DataFrame:
+    """What earlier batches wrote: a batch that is run again must not see its own rows."""
+    rows = spark.read.schema(schema + ", batch long").option("basePath", path).parquet(path)
+    return rows.where(F.col("batch") < number).drop("batch")
+
+
+def ingest(stream: DataFrame, ledger_path: str, rules_path: str, links_path: str, log_path: str, checkpoint: str):
     """The running query.  A failed detection is logged and does not undo the rows written before it.
 
-    A batch's rows go to a folder of its number, so a batch that is run again replaces its own.
+    A batch's rows go to a folder of its number, so a batch that is run again replaces its own.  Detection runs for the
+    statements of the batch, in order of (period_end, id), over postings of their cards.  Each batch leaves the rules as
+    they are after it, and links of its own postings; the rules of the last batch that left any are the current ones.
     """
-
     spark = stream.sparkSession
-    spark.createDataFrame([], POSTINGS).write.mode("ignore").parquet(f"{ledger_path}/batch=none")
+    for path, schema in ((ledger_path, POSTINGS), (rules_path, RULES), (links_path, LINKS)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")
 
     def on_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        ledger = spark.read.schema(POSTINGS).option("recursiveFileLookup", "true").parquet(ledger_path)
-        before = ledger.where(F.col("_metadata.file_path").contains(f"/batch={number}/") == F.lit(False)).select(*ledger.columns)
-        new_postings(batch, before).write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
+        new_postings(batch, _before(spark, ledger_path, POSTINGS, number)).write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
         try:
-            rows = spark.read.schema(POSTINGS).option("recursiveFileLookup", "true").parquet(ledger_path)
-            statements = rows.groupBy(F.col("card_id").alias("credit_card_id"), F.col("statement_id").alias("id")).agg(F.max("period_end").alias("period_end"))
-            detect(rows, statements).write.mode("overwrite").parquet(f"{rules_path}/batch={number}")
+            fresh = spark.read.schema(POSTINGS).parquet(f"{ledger_path}/batch={number}")
+            rows = _before(spark, ledger_path, POSTINGS, number + 1).join(fresh.select("card_id").distinct(), "card_id", "left_semi")
+            statements = lambda r: r.groupBy(F.col("card_id").alias("credit_card_id"), F.col("statement_id").alias("id")).agg(F.max("period_end").alias("period_end"))
+            rules, linked = replay(rows, statements(rows), current_rules(spark, rules_path, number), statements(fresh))
+            rules.write.mode("overwrite").parquet(f"{rules_path}/batch={number}")
+            own = linked.join(fresh.select("id", "statement_id"), ["id", "statement_id"], "left_semi")
+            own.where("recurring_rule_id is not null").select("id", "recurring_rule_id").write.mode("overwrite").parquet(f"{links_path}/batch={number}")
             report = spark.createDataFrame([(number, "ok", None)], "batch long, status string, message string")
         except Exception as error:  # noqa: BLE001  detection must not undo the ingest
             report = spark.createDataFrame([(number, "failed", str(error)[:500])], "batch long, status string, message string")
         report.write.mode("overwrite").parquet(f"{log_path}/batch={number}-{uuid.uuid4().hex[:8]}")
 
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_rules(spark: SparkSession, rules_path: str, before: int | None = None) -> DataFrame:
+    """The rules as the last batch left them, or the last one before a number."""
+    rules = spark.read.schema(RULES + ", batch long").option("basePath", rules_path).parquet(rules_path)
+    rules = rules if before is None else rules.where(F.col("batch") < before)
+    return rules.join(rules.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")

@@ -265,13 +265,68 @@ def test_failed_statement_keeps_no_row(spark, tmp_path):
 
 
 def test_stream_ingests_each_statement_once(spark, tmp_path):
-    from tallyspark.streaming.statements import ingest, stream_statements
+    from tallyspark.streaming.statements import current_rules, ingest, stream_statements
 
-    source, at = str(tmp_path / "in"), [str(tmp_path / n) for n in ("ledger", "rules", "log", "checkpoint")]
+    source, at = str(tmp_path / "in"), [str(tmp_path / n) for n in ("ledger", "rules", "links", "log", "checkpoint")]
     rows = postings(spark, ["10.00"] * 4, 20).withColumn("file_hash", F.lit("h")).withColumn("period_end", F.lit(date(2026, 4, 1)))
-    for _ in range(2):
-        rows.write.mode("append").parquet(source)
-        q = ingest(stream_statements(spark, source), *at)
-        q.awaitTermination(120)
-        assert spark.read.option("recursiveFileLookup", "true").parquet(at[0]).count() == 4
-    assert {r.status for r in spark.read.option("recursiveFileLookup", "true").parquet(at[2]).collect()} == {"ok"}
+    twice = rows.unionByName(rows.withColumn("statement_id", F.lit("t")).withColumn("id", F.concat(F.lit("t"), "id")))
+
+    def arrive(df):
+        df.write.mode("append").parquet(source)
+        ingest(stream_statements(spark, source), *at).awaitTermination(120)
+        return [spark.read.parquet(p).collect() for p in at[:4]]
+
+    for df in (twice, rows):
+        ledger, _, links, log = arrive(df)
+        assert {r.id for r in ledger} == {r.id for r in links} == set("0123") and len(ledger) == len(links) == 4
+        assert [(r.occurrences, r.period_days) for r in current_rules(spark, at[1]).collect()] == [(4, 20)]
+    # a later statement of the card adds one occurrence, an older one that comes late sees the newer postings
+    step = rows.where("id = '3'")
+    later = step.select(*[F.lit(x).alias(c) if c in ("id", "statement_id", "file_hash") else F.date_add(c, 20).alias(c) if c in ("date", "period_end") else F.col(c) for c, x in zip(rows.columns, ["z"] * 12, strict=False)])
+    arrive(later)
+    assert [r.occurrences for r in current_rules(spark, at[1]).collect()] == [5]
+    late = step.select(*[F.lit("y").alias(c) if c in ("id", "statement_id", "file_hash") else F.date_sub(c, 80).alias(c) if c in ("date", "period_end") else F.col(c) for c in rows.columns])
+    ledger, _, links, log = arrive(late)
+    now = current_rules(spark, at[1]).first()
+    assert now.occurrences == 6 and now.last_seen_date == date(2026, 3, 22) and {r.id for r in links} == {*"0123zy"} and len(ledger) == 6
+    assert {r.status for r in log} == {"ok"}
+
+
+def test_ingest(spark):
+    import json
+
+    from tallyspark.plans.ingest import ingest
+
+    def body(rows, **kw):
+        meta = {"card_number_masked": "1", "cardholder": "A", "currency": "CLP", "period_start": "", "period_end": "2026-02-28", "statement_date": "28/02/2026"}
+        return json.dumps({"transactions": rows, "metadata": meta | kw.pop("meta", {}), "confidence": 0.9, "notes": "", **kw})
+
+    def row(description="LIDER COM 3", amount="$ 1.000", currency="CLP", category="groceries ", day="03/02/2026", **kw):
+        return {"date": day, "description": description, "amount": amount, "currency": currency, "category": category, **kw}
+
+    rows = [row(), row(), row("Kiosko", category="Fun"), row("Bazar"), row("12"), row("Bazar 2", category=""), row(" ")]
+    payloads = [
+        ("a", 0, body(rows)), ("a", 1, body([row("lider com 3 ")])), ("a", 2, body([row("no", confidence=1)], confidence=2.0)), ("a", 3, body([row("long" * 200)])),
+        ("b", 0, body([row(), row(currency="EUR", amount="$ 5")])), ("c", 0, body([], meta={"currency": "USD"})), ("d", 0, body([], meta={"period_end": "31/02/2026"})), ("e", 0, None), ("e", 1, body([], odd=1)),
+        ("f", 0, body([row(installment_value="x", installment_number=1)])), ("g", 0, body([row(installment_number=0)])), ("h", 0, body([], meta={"currency": "CLP or USD", "card_number_masked": None})), ("i", 0, body(rows)), ("k", 0, body([])),
+    ]
+    p = spark.createDataFrame(payloads, "doc_id string, chunk_idx int, body string")
+    files = spark.createDataFrame([(x, "b", x, "ha" if x == "i" else "h" + x, None if x == "k" else "NACIONAL") for x in "abcdefghijk"], "doc_id string, bank_id string, file_path string, file_hash string, variant string")
+    none = [spark.createDataFrame([], s) for s in (model.STATEMENTS, "id string, bank_id string, card_number_masked string, cardholder string, currency string, is_active boolean")]
+    aliases = spark.createDataFrame([("1", "m1", "Kiosko", "kiosko", "user", 1.0)], "id string, merchant_id string, alias_text string, normalized string, source string, confidence double")
+    merchants = spark.createDataFrame([("m1", "kiosko", None, True)], "id string, name string, default_category_id string, is_active boolean")
+    out = ingest(p, files, *none, aliases, merchants, model.seed_categories(spark), date(2026, 3, 5))
+    assert {r.doc_id: r.error for r in out.rejected.collect()} == {
+        "c": "IngestionError: metadata currency is not the variant's", "d": "DateError: period_end", "e": "ExtractionError: all chunks failed", "g": "ExtractionError: all chunks failed", "j": "ExtractionError: no chunks", "k": "IngestionError: no variant",
+    }
+    got = {r.file_hash: r for r in out.statements.collect()}
+    assert {h: (r.status, r.error_message) for h, r in got.items()} == {"ha": ("completed", None), "hb": ("failed", "CurrencyError: EUR"), "hf": ("failed", "AmountError: x"), "hh": ("completed", None)}
+    assert (got["ha"].period_start, got["ha"].period_end, got["ha"].statement_date) == (date(2026, 3, 5), date(2026, 2, 28), date(2026, 2, 28))
+    assert {(r.card_number_masked, r.cardholder, r.currency) for r in out.cards.collect()} == {("1", "A", "CLP"), ("UNKNOWN-hh", "A", "CLP")}
+    tx = {r.description: (r.category, r.low_confidence, r.merchant_id is None, str(r.amount)) for r in out.transactions.collect()}
+    assert tx == {
+        "LIDER COM 3": ("Groceries", False, False, "1000.00"), "Kiosko": ("Fun", True, False, "1000.00"), "Bazar": ("Groceries", True, False, "1000.00"), "12": ("Groceries", False, True, "1000.00"), "Bazar 2": ("Uncategorized", True, False, "1000.00"),
+    }
+    assert {r.name for r in out.merchants.collect()} == {"kiosko", "lider", "bazar"} and out.transactions.count() == 5
+    again = ingest(p, files, *(spark.createDataFrame(t.collect(), t.schema) for t in (out.statements, out.cards, out.aliases, out.merchants)), model.seed_categories(spark), date(2026, 3, 5))
+    assert again.transactions.count() == 0 and again.statements.count() == 4 and again.cards.count() == 2
