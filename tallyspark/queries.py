@@ -446,10 +446,10 @@ def text_chunks(spark, d):
     return T.chunk_text(spark.read.parquet(f"{d}/documents.parquet"))
 
 
-@query(_chunks_sql("""select doc_id, case when doc_id % 3 = 1 and pos > 101 then substr(text, 1, pos - 1) when doc_id % 3 = 1 and word > 101 then substr(text, 1, word - 1) else text end as text
+@query(_chunks_sql("""select doc_id, case when doc_id % 3 = 1 and pos > 101 then substr(text, 1, pos - 1) when doc_id % 3 = 1 and word > 101 then substr(text, 1, word - 1) when doc_id % 3 = 2 and pos > 101 then substr(text, 1, 500) || substr(text, pos) when doc_id % 3 = 2 and word > 101 then substr(text, 1, 500) || substr(text, word) else text end as text
 from (select doc_id, text, strpos(text, 'ESTADO DE CUENTA INTERNACIONAL') as pos, strpos(text, 'INTERNACIONAL') as word from (select doc_id, 'ESTADO DE CUENTA ' || case when doc_id % 3 = 0 then 'INTERNACIONAL' when doc_id % 3 = 1 then 'NACIONAL' else 'EN PESOS' end || chr(10) || replace(text, ' the ', chr(10)) || chr(10) || 'ESTADO DE CUENTA INTERNACIONAL' || chr(10) || text as text from documents))""", 400, 40))
 def text_chunks_of_variant(spark, d):
-    """Statements with both sections; the home variant keeps its own."""
+    """Statements with both sections, of which the detected variant's stays."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     body = F.concat(F.replace("text", F.lit(" the "), F.lit("\n")), F.lit("\nESTADO DE CUENTA INTERNACIONAL\n"), "text")
     texts = _statements(spark, d).select("doc_id", F.substring_index("text", "\n", 1).alias("head")).join(docs.select("doc_id", body.alias("body")), "doc_id")
