@@ -3,7 +3,7 @@
 Features come from one pass over the texts: densities of lexicon words, plain and obfuscated
 (digits for letters, separators within words, letters repeated), of second-person words and of
 lexicon words near them, and rates of capitals, shouted words, punctuation, exclamation marks,
-digits and symbols.  Words that mark toxic texts in the labels join the
+digits and symbols.  Words, and beginnings of longer words, that mark toxic texts in the labels join the
 lexicon: they are learned from at most ``LEARN`` labelled rows of one fold, counting families
 of near copies once.  The trees are fitted by Spark's gradient boosting on a second fold, and
 the isotonic map on a third, which neither has seen.
@@ -32,6 +32,7 @@ SECOND = "you your yours yourself u ur tu toi vous votre vos ton du dich dir dei
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 NEAR = 5
 LEARN, WORDS = 20_000, 1000
+STEM, SALT = 5, 0x9E3779B97F4A7C15
 
 PLAIN = np.ones(256, bool)
 PLAIN[65:91] = PLAIN[97:123] = PLAIN[0x80:] = False
@@ -72,6 +73,17 @@ def _member(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, h), len(of) - 1)] == h
 
 
+def stems(w: Words) -> np.ndarray:
+    """Hashes of the first STEM bytes of longer words, apart from those of whole words, and 0 for others.
+
+    Insults that are inflected or made up share a beginning more often than they recur whole.
+    """
+    long = w.end - w.start > STEM
+    out = np.zeros(len(w.start), np.uint64)
+    out[long] = span_hashes(w.data, w.start[long], w.start[long] + STEM) ^ np.uint64(SALT)
+    return out
+
+
 def features(data: np.ndarray, off: np.ndarray, learned: np.ndarray = np.zeros(0, np.uint64)) -> np.ndarray:
     """A row of FEATURES for each document."""
     docs = len(off) - 1
@@ -79,7 +91,7 @@ def features(data: np.ndarray, off: np.ndarray, learned: np.ndarray = np.zeros(0
     h = w.hashes()
     bad, second = _member(h, _lexicon), _member(h, _second)
     if len(learned):
-        bad |= _member(h, learned)
+        bad |= _member(h, learned) | _member(stems(w), learned)
     # words near a second-person word of the same document
     last = np.maximum.accumulate(np.where(second, np.arange(len(h)), -NEAR - 1)) if len(h) else np.zeros(0, int)
     after = (np.minimum.accumulate(np.where(second, np.arange(len(h)), len(h) + NEAR + 1)[::-1])[::-1]) if len(h) else np.zeros(0, int)
@@ -117,7 +129,7 @@ def features(data: np.ndarray, off: np.ndarray, learned: np.ndarray = np.zeros(0
 
 
 def learn_words(docs: DataFrame, truth: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LEARN, least: int = 3, share: float = 0.6) -> np.ndarray:
-    """Sorted hashes of at most WORDS words that ``least`` families of texts or more have, of which ``share`` are labelled 1.  truth: (doc, label)."""
+    """Sorted hashes of at most WORDS words and beginnings of words that ``least`` families of texts or more have, of which ``share`` are labelled 1.  truth: (doc, label)."""
     n = truth.count()
     chosen = truth.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_003)) < min(1.0, most / max(1, n)) * 1_000_003).limit(2 * most)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc").select("text", "label")
@@ -127,7 +139,9 @@ def learn_words(docs: DataFrame, truth: DataFrame, id_col: str = "doc_id", text_
             label = batch.column("label").to_numpy()
             for i, _, data, off in slices(batch.column("text")):
                 w = Words(data, off, fold=True, white=PLAIN)
-                h, d = per_document(w.hashes(), w.doc)
+                whole, begun = w.hashes(), stems(w)
+                both = np.r_[whole, begun[begun != 0]]
+                h, d = per_document(both, np.r_[w.doc, w.doc[begun != 0]])
                 first = np.searchsorted(d, np.arange(len(off)))
                 family = np.zeros(len(off) - 1, np.uint64)
                 some = first[1:] > first[:-1]

@@ -596,3 +596,17 @@ def test_pipeline_keeps_columns(spark, tmp_path, docs):
     ids = {r.doc_id for r in kept.collect()}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == ids
+
+
+def test_beginnings_of_words():
+    from tallyspark.llm.textblocks import Words
+    from tallyspark.llm.toxicity import PLAIN, STEM, features, stems
+
+    texts = [b"Bocazilla bocazonte boca", b"bocazumo and more", b"", b"bocad"]
+    off = np.r_[0, np.cumsum([len(t) for t in texts])]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    w = Words(data, off, fold=True, white=PLAIN)
+    s = stems(w)
+    assert STEM == 5 and s[0] == s[1] == s[3] != 0 and list(s == 0) == [False, False, True, False, True, True, True]
+    assert s[0] not in w.hashes()
+    assert list(features(data, off, np.sort(s[:1]))[:, 1]) == [2, 1, 0, 0]
