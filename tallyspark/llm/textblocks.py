@@ -55,10 +55,6 @@ def slices(column: pa.Array, most: int = SLICE, rows: int = ROWS):
             i = j
 
 
-def binary_column(parts: list[bytes] | pa.Array) -> pa.Array:
-    return pa.array(parts, pa.binary())
-
-
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans data[start:end]."""
     up, down = powers(len(data) + 1)

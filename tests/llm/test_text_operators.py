@@ -57,8 +57,8 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-@pytest.mark.parametrize("heavy_from", [5000, 2])
-def test_substring_dedup(docs, rows, heavy_from):
+@pytest.mark.parametrize("heavy_from, group", [(20000, 8000), (2, 8000), (12, 3), (20000, 3)])
+def test_substring_dedup(docs, rows, heavy_from, group):
     first = {}
     for i, t, *_ in rows:
         w = words_of(t)
@@ -74,10 +74,60 @@ def test_substring_dedup(docs, rows, heavy_from):
                 gone[a : a + 50] = [True] * 50
         want.add((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
     clash = docs.withColumn("kept", F.lit("x")).withColumn("key", F.lit(1))
-    got = substring_dedup.digest(substring_dedup.drop_repeats(clash, heavy_from=heavy_from))
+    got = substring_dedup.digest(substring_dedup.drop_repeats(clash, heavy_from=heavy_from, group=group))
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("heavy_from", [20000, 3])
+def test_substring_dedup_short_alphabet(spark, heavy_from):
+    """Windows of 6 words over few words: nested and overlapping repeats, ties of anchors, prefixes of every length."""
+    r, width = random.Random(9), 6
+    texts = [(i, " ".join(r.choice("abc" if i % 3 else "ab") for _ in range(r.randrange(0, 40)))) for i in range(60)] + [(3, "a b " * 30), (90, "a " * 50)]
+    first = {}
+    for i, t in texts:
+        w = t.split()
+        for a in range(len(w) - width + 1):
+            k = tuple(w[a : a + width])
+            first[k] = min(first.get(k, i), i)
+    want = []
+    for i, t in texts:
+        w, gone = t.split(), set()
+        for a in range(len(w) - width + 1):
+            if first[tuple(w[a : a + width])] < i:
+                gone |= set(range(a, a + width))
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = substring_dedup.drop_repeats(docs, width=width, prefix=2, reach=2, heavy_from=heavy_from, group=20)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == sorted(want)
+
+
+def test_maximal_repeats():
+    """The nodes are the repeats of three words and more that can't be made longer on either side."""
+    r = random.Random(4)
+    texts = [[r.choice("ab") for _ in range(r.randrange(3, 12))] for _ in range(12)]
+    leaves = sorted((tuple(t[p:]), i, p) for i, t in enumerate(texts) for p in range(len(t) - 2))
+    suffixes = [x[0] for x in leaves]
+
+    def shared(a, b):
+        return next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    common = np.array([shared(a, b) for a, b in zip(suffixes, suffixes[1:], strict=False)])
+    before = np.array([ord(texts[i][p - 1]) if p else -1 for _, i, p in leaves])
+    got = set()
+    for depth, leaf, least in substring_dedup.maximal_repeats(common, before, np.array([i for _, i, _ in leaves]), 3):
+        for x, low in zip(leaf, least, strict=True):
+            got.add((suffixes[x][:depth], int(low)))
+    want = set()
+    for k in range(3, 12):
+        for word in {s[:k] for s in suffixes if len(s) >= k}:
+            at = [x for x in leaves if x[0][:k] == word]
+            left = {texts[i][p - 1] if p else (i, p) for _, i, p in at}
+            right = {x[0][k] if len(x[0]) > k else x[1:] for x in at}
+            if len(at) > 1 and len(right) > 1 and (len(left) > 1 or any(isinstance(x, tuple) for x in left)):
+                want.add((word, min(i for _, i, _ in at)))
+    assert got == want
+
+
 def test_substring_dedup_repeated_rows(docs, rows, spark):
     twice = docs.unionByName(docs)
     assert twice.count() == substring_dedup.drop_repeats(twice).count()
