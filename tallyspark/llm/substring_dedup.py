@@ -12,8 +12,8 @@ Then its node is the prefix itself, and a partially aggregated minimum stands fo
 however many documents share it.
 
 Suffixes are shipped as blocks of text, each with a terminator of its own.  Blocks of equal words
-in one slice meet there: only those of the smallest document travel with their words, the others
-are covered by it and travel as spans.  A group's tree is a suffix array by prefix doubling with
+in one slice meet there (as do equal whole windows): only those of the smallest document travel
+with their words, the others are covered by it and travel as spans.  A group's tree is a suffix array by prefix doubling with
 the common lengths of neighbours: its intervals of ``width`` words and more are the deep internal
 nodes, and those preceded by different words are maximal repeats.  Of each, the documents but the
 smallest lose their words.  A group is solved in memory-sized runs of prefixes, cut within a
@@ -291,15 +291,26 @@ def repeated_spans(
                 b.keep(repeats & whole)
                 if not len(b.start):
                     continue
-                at = np.repeat(b.start - np.cumsum(b.count) + b.count, b.count) + np.arange(b.count.sum())
+                block = np.repeat(np.arange(len(b.start)), b.count)
+                nth = np.arange(len(block)) - np.repeat(np.cumsum(b.count) - b.count, b.count)
+                at = b.start[block] + nth
                 one, two = grams(b.h, b.w.doc, width)[0][at], grams(mix(b.h ^ U(0x5851F42D4C957F2D)), b.w.doc, width)[0][at]
-                d = b.w.doc[at]
-                yield pa.record_batch([pa.array(signed(one)), pa.array(signed(two)), pa.array(doc[i + d]), pa.array(key[i + d]), pa.array((at - b.w.first[d]).astype(np.int32))], ["one", "two", "doc", "key", "start"])
-
-    whole = rows.mapInArrow(windows, "one long, two long, doc long, key long, start int")
-    nodes = whole.groupBy("one", "two").agg(F.min("doc").alias("least"))
-    late = whole.join(nodes, ["one", "two"]).where("doc > least")
-    return spans.unionByName(late.select("doc", "key", "start", (F.col("start") + width).alias("end")))
+                d = b.w.doc[b.start]
+                own, first = doc[i + d], b.start - b.w.first[d]
+                here = _covered_here(one, two, own[block])
+                gone = _runs(own, key[i + d], first, block, nth, here * width)
+                left, begin = ~here, (first[block] + nth)[~here]
+                open_ = _spans(own[block][left], key[i + d][block][left], begin, begin + width)
+                for spans, one, two in ((open_, one[left], two[left]), (gone, None, None)):
+                    if spans is not None:
+                        if one is None:  # found here: dealt evenly, as no node is looked for
+                            one = two = mix(spans.column("doc").to_numpy().astype(np.uint64) + spans.column("start").to_numpy().astype(np.uint64))
+                        yield pa.record_batch([pa.array(signed(one)), pa.array(signed(two)), *spans.columns, pa.array(np.full(len(spans), spans is gone))], ["one", "two", "doc", "key", "start", "end", "found"])
+
+    whole = rows.mapInArrow(windows, f"one long, two long, {SPANS}, found boolean")
+    nodes = whole.where("not found").groupBy("one", "two").agg(F.min("doc").alias("least"))
+    late = whole.join(nodes, ["one", "two"], "left").where("found or doc > least")
+    return spans.unionByName(late.select("doc", "key", "start", "end"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, **tuning) -> DataFrame:
