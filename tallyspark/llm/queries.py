@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, langid, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity, warc
+from . import decontaminate, jaccard_join, langid, line_dedup, packing, quality, secret_scan, substring_dedup, suffix_array, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,13 +63,18 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_array(spark, sf_dir):
+    left = suffix_array.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_quality, op4_warc, op5_line_dedup, op6_langid, op7_decontaminate, op8_packing, op9_toxicity, op10_secret_scan, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_quality, op4_warc, op5_line_dedup, op6_langid, op7_decontaminate, op8_packing, op9_toxicity, op10_secret_scan, op11_suffix_array, pipeline)}
 
 WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
@@ -141,4 +146,16 @@ h as (select source, list(line) as drop_lines from b group by source),
 k as (select doc_id, ls, list_filter(ls, lambda x: not coalesce(list_contains(drop_lines, x), false)) as kept from l left join h using (source))
 select doc_id, cast(len(ls) as bigint) as n_lines, cast(len(ls) - len(kept) as bigint) as n_dropped, sha256(array_to_string(kept, chr(10))) as kept_sha256 from k
 union all select doc_id, 0, 0, null from documents where text is null""",
+    "op11_suffix_array": """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+k as (select doc_id, i, md5(substring(x, 2 * i + 1, 400)) as h from (select doc_id, x, unnest(range(0, len(x) // 2 - 199)) as i from t)),
+m as (select h from k group by h having count(*) > 1),
+g as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from k semi join m using (h)),
+n as (select doc_id, i, sum(case when before is null or i > before + 200 then 1 else 0 end) over (partition by doc_id order by i) as run from g),
+r as (select doc_id, min(i) as s, max(i) + 200 as e from n group by doc_id, run),
+p as (select *, coalesce(lag(e) over (partition by doc_id order by s), 0) as from_ from r),
+a as (select doc_id, count(*) as n_spans, sum(e - s) as n_removed, max(e) as stop, string_agg(substring(x, 2 * from_ + 1, 2 * (s - from_)), '' order by s) as kept from p join t using (doc_id) group by doc_id)
+select doc_id, cast(len(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(kept, '') || substring(x, 2 * coalesce(stop, 0) + 1))) as kept_sha256
+from t left join a using (doc_id)""",
 }
