@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, langid, line_dedup, packing, quality, secret_scan, substring_dedup, suffix_array, toxicity, warc
+from . import centroids, decontaminate, fill_in_middle, jaccard_join, langid, line_dedup, packing, quality, secret_scan, substring_dedup, suffix_array, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,13 +68,23 @@ def op11_suffix_array(spark, sf_dir):
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_fill_in_middle(spark, sf_dir):
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hashed = (F.sha2(F.encode(c, "UTF-8"), 256).alias(f"{c}_sha256") for c in ("output", "restored"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashed)
+
+
+def op13_centroids(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("embedding")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_quality, op4_warc, op5_line_dedup, op6_langid, op7_decontaminate, op8_packing, op9_toxicity, op10_secret_scan, op11_suffix_array, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_quality, op4_warc, op5_line_dedup, op6_langid, op7_decontaminate, op8_packing, op9_toxicity, op10_secret_scan, op11_suffix_array, op12_fill_in_middle, op13_centroids, pipeline)}
 
 WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
@@ -100,6 +110,21 @@ from (select doc_id, ps, gs, list_transform(ms, lambda x: length(x)) as lens, un
 from (select doc_id, regexp_split_to_array(t, '{q}') as ps, regexp_extract_all(t, '{q}') as ms, regexp_extract_all(t, '{q}', {group}) as gs from d where regexp_matches(t, '{q}')))) where length(gs[i]) >= {least}"""
 
 
+def _clusters(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """Every round's centroids (c) and its vectors' nearest (a)."""
+    parts = [
+        f"v as (select vec_id, list_transform(embedding, lambda x: cast(floor({dims} * cast(x as double)) as bigint)) as x from embeddings where len(embedding) = {dims} and len(list_filter(embedding, lambda x: isfinite(x))) = {dims})",
+        f"c0 as (select row_number() over (order by h) - 1 as k, x as c from (select sha256('1:' || vec_id) as h, x from v order by h limit {k}))",
+    ]
+    far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as (select vec_id, x, m.k as k, m.d as d from (select vec_id, x, arg_min({{'k': k, 'd': d}}, row(d, k)) as m from (select vec_id, x, k, cast({far} as bigint) as d from v cross join c{i}) group by vec_id, x))")
+        if i < rounds:
+            parts.append(f"m{i} as (select k, list((s - ((s % n) + n) % n) // n order by i) as m from (select k, i, cast(sum(x[i]) as bigint) as s, count(*) as n from (select k, x, unnest(range(1, {dims + 1})) as i from a{i}) group by k, i) group by k)")
+            parts.append(f"c{i + 1} as (select c{i}.k, coalesce(m, c) as c from c{i} left join m{i} on m{i}.k = c{i}.k)")
+    return ",\n".join(parts)
+
+
 SQL = {
     "op2_jaccard_join": f"""
 with recursive w as (select doc_id, {FOLDED} as ws from documents),
@@ -158,4 +183,18 @@ a as (select doc_id, count(*) as n_spans, sum(e - s) as n_removed, max(e) as sto
 select doc_id, cast(len(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
   sha256(unhex(coalesce(kept, '') || substring(x, 2 * coalesce(stop, 0) + 1))) as kept_sha256
 from t left join a using (doc_id)""",
+    "op12_fill_in_middle": """
+with t as (select doc_id, coalesce(text, '') as t, sha256('1:' || doc_id) as h from documents),
+d as (select *, length(t) as n, list_transform([1, 2, 3, 4], lambda k: cast('0x' || substring(h, 8 * k - 7, 8) as bigint)) as r from t),
+f as (select *, least(r[1] % (n + 1), r[2] % (n + 1)) as a, greatest(r[1] % (n + 1), r[2] % (n + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 90 then 'plain' when r[4] % 100 < 20 then 'spm' else 'psm' end as form from d),
+p as (select *, substring(t, 1, a) as x, substring(t, a + 1, b - a) as y, substring(t, b + 1) as z from f)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y when 'spm' then '<S>' || z || '<P>' || x || '<M>' || y else t end) as output_sha256, sha256(x || y || z) as restored_sha256
+from p""",
+    "op13_centroids": f"""
+with {_clusters()},
+r as (select vec_id, cast(k as integer) as cluster, d as distance, k from a3)
+select vec_id, cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia,
+  sha256(array_to_string(c, ',')) as centroid_sha256 from r join c3 using (k)""",
 }
