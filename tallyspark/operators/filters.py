@@ -9,14 +9,31 @@ from pyspark.sql import functions as F
 from ..functions.period import month_bounds, validate
 
 
-def filter_transactions(tx: DataFrame, statement=None, date_from: date | None = None, date_to: date | None = None, amount_min=None, amount_max=None, contains: str | None = None, currency: str | None = None, categories=None, uncategorized: bool = False) -> DataFrame:
-    """Rows that meet all criteria given.  Amounts compare by size, so refunds match; % and _ in contains are wildcards; a category and uncategorized are alternatives."""
-    if statement is not None:
-        tx = tx.where(F.col("statement_id") == statement)
+def by_month(tx: DataFrame, date_from: date | None = None, date_to: date | None = None, partition: str = "year_month") -> DataFrame:
+    """tx between two days; where it is partitioned by month, other months' files are not read."""
     if date_from is not None:
         tx = tx.where(F.col("date") >= F.lit(date_from))
+        tx = tx.where(F.col(partition) >= f"{date_from:%Y-%m}") if partition in tx.columns else tx
     if date_to is not None:
         tx = tx.where(F.col("date") <= F.lit(date_to))
+        tx = tx.where(F.col(partition) <= f"{date_to:%Y-%m}") if partition in tx.columns else tx
+    return tx
+
+
+def in_months_of(tx: DataFrame, bounds: DataFrame, start: str = "start", end: str = "end", partition: str = "year_month") -> DataFrame:
+    """tx of the months that some row of bounds(start, end) reaches into, for bounds that a table gives: the months, few as they are, prune tx's partitions when the query runs."""
+    if partition not in tx.columns:
+        return tx
+    # bounds that are turned round hold no day; the comparison also is what makes Spark prune
+    months = bounds.where(F.col(start) <= F.col(end)).select(F.explode(F.sequence(F.trunc(start, "MM"), F.trunc(end, "MM"), F.expr("interval 1 month"))).alias("_month")).select(F.date_format("_month", "yyyy-MM").alias(partition)).distinct()
+    return tx.join(F.broadcast(months), partition, "left_semi")
+
+
+def filter_transactions(tx: DataFrame, statement=None, date_from: date | None = None, date_to: date | None = None, amount_min=None, amount_max=None, contains: str | None = None, currency: str | None = None, categories=None, uncategorized: bool = False) -> DataFrame:
+    """Rows that meet all criteria given.  Amounts compare by size, so refunds match; % and _ in contains are wildcards; a category and uncategorized are alternatives."""
+    if statement is not None:
+        tx = tx.where(F.col("statement_id") == statement)
+    tx = by_month(tx, date_from, date_to)
     if amount_min is not None:
         tx = tx.where(F.abs("amount") >= amount_min)
     if amount_max is not None:
@@ -38,12 +55,11 @@ def card_filter(tx: DataFrame, statements: DataFrame, card) -> DataFrame:
 
 
 def month_filter(tx: DataFrame, period: date) -> DataFrame:
-    start, end = month_bounds(period)
-    return tx.where(F.col("date").between(F.lit(start), F.lit(end)))
+    return by_month(tx, *month_bounds(period))
 
 
 def window_filter(tx: DataFrame, start: date, end: date) -> DataFrame:
-    return tx.where(F.col("date").between(F.lit(start), F.lit(end)))
+    return by_month(tx, start, end)
 
 
 def active(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.period import month_bounds
 from ..functions.text import classify_period, surrogate_key
-from .filters import active, list_rules
+from .filters import active, by_month, list_rules
 from .windows import GROUP, with_gap_days, with_group_median
 
 LOOKBACK_DAYS, BAND, LEAST = 90, "0.15", 3
@@ -20,6 +20,9 @@ KEY = ("merchant_id", "amount_min", "amount_max", "currency", "period_days")
 def detector_scan(tx: DataFrame, statements: DataFrame, lookback: int = LOOKBACK_DAYS) -> DataFrame:
     """Each card's postings since lookback days before the end of its newest statement, without instalments and unnamed merchants."""
     newest = statements.groupBy(F.col("credit_card_id").alias("card_id")).agg(F.max("period_end").alias("period_end"))
+    if "year_month" in tx.columns:
+        # the first month that any card needs, found when the query runs
+        tx = tx.where(F.col("year_month") >= newest.agg(F.date_format(F.date_sub(F.min("period_end"), lookback), "yyyy-MM")).scalar())
     rows = tx.drop("period_end").where(F.col("installment_number").isNull() & F.col("merchant_id").isNotNull()).join(newest, "card_id")
     return rows.where(F.col("date") >= F.date_sub("period_end", lookback))
 
@@ -159,7 +162,7 @@ def recurring_in_period(tx: DataFrame, rules: DataFrame, period: date) -> DataFr
     start, end = month_bounds(period)
     r = active(rules)
     low, high = F.col("amount_min") * F.lit(0.85).cast("decimal(3,2)"), F.col("amount_max") * F.lit(1.15).cast("decimal(3,2)")
-    rows = tx.where(F.col("date").between(F.lit(start), F.lit(end))).select("merchant_id", "currency", "amount").distinct().withColumn("_size", _magnitude(F.col("amount")))
+    rows = by_month(tx, start, end).select("merchant_id", "currency", "amount").distinct().withColumn("_size", _magnitude(F.col("amount")))
     near = r.select("merchant_id", "currency", low.alias("low"), high.alias("high")).distinct()
     none = F.expr("cast(array() as array<int>)")
     # one more at either end than rounding can need
