@@ -119,7 +119,16 @@ def replay(tx: DataFrame, statements: DataFrame, rules: DataFrame, arrived: Data
     confidence.  A statement's postings within a detection's bounds are linked to its rule, instalments too.
     """
     scan = arrival_scans(tx, statements, statements if arrived is None else arrived)
-    found = recurring_group_stats(scan, ("at", "at_end", "merchant_id", "currency"))
+    return after_detections(arrival_stats(scan), tx, rules)
+
+
+def arrival_stats(scan: DataFrame) -> DataFrame:
+    """What detection finds in the postings that each arrived statement sees."""
+    return recurring_group_stats(scan, ("at", "at_end", "merchant_id", "currency"))
+
+
+def after_detections(found: DataFrame, tx: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules, and tx with links, after what was found at arrived statements in order of (at_end, at); of tx only those statements' postings matter."""
     found = found.join(rules.select(F.col("id").alias("_old"), *KEY), list(KEY), "left").withColumn("_rule", F.coalesce("_old", surrogate_key(*KEY)))
     linked = tx if "recurring_rule_id" in tx.columns else tx.withColumn("recurring_rule_id", F.lit(None).cast("string"))
     bounds = found.select(F.col("at").alias("statement_id"), "merchant_id", "currency", F.col("amount_min").alias("_low"), F.col("amount_max").alias("_high"), "at_end", "_rule")

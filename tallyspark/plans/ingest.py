@@ -10,6 +10,7 @@ from ..functions.text import currency_matches_variant, date_status, error_text,
 from ..operators.extraction import check_replies, extracted_rows, get_or_create_cards, merge_chunks, new_statements, parse_replies, typed_rows
 from ..operators.merchants import low_confidence, resolve_categories, resolve_merchants
 from ..operators.windows import dedupe_extracted
+from ..sources.snapshots import BUCKETS, Change, Snapshots
 from ..sources.staging import staged
 
 DATES = ("period_start", "period_end", "statement_date")
@@ -81,3 +82,19 @@ def ingest(payloads: DataFrame, files: DataFrame, statements: DataFrame, cards:
         F.lit(None).cast("string").alias("recurring_rule_id"), F.to_json(F.struct("date", "description", "amount", "currency", "category")).alias("raw_json"),
     )
     return Ingested(statements.unionByName(made), tx, after_cards, after_aliases, after_merchants, headers.where("error is not null").select("doc_id", "error"))
+
+
+def ingest_into(ledger: Snapshots, payloads: DataFrame, files: DataFrame, categories: DataFrame, as_of: date, refused: DataFrame | None = None, run: tuple[str, int] | None = None) -> int:
+    """Commits what files and replies make of the ledger's last version: postings, statements with their status, cards, aliases, merchants and rejected files, all or nothing.
+
+    Of the statements only the buckets of the files' hashes are read.  refused(doc_id, error): files that are rejected beside those the plan rejects.
+    """
+    base = ledger.version()
+    # at most BUCKETS values
+    buckets = [r[0] for r in files.select(F.pmod(F.xxhash64("file_hash"), F.lit(BUCKETS)).cast("string")).distinct().collect()]
+    before = {n: ledger.read(n, base) for n in ("statements", "cards", "aliases", "merchants")}
+    before["statements"] = before["statements"].where(F.col("bucket").isin(buckets)).drop("bucket")
+    out = ingest(payloads, files, before["statements"], before["cards"], before["aliases"], before["merchants"], categories, as_of)
+    changes = {n: Change(getattr(out, n).join(old.select("id"), "id", "left_anti")) for n, old in before.items()}
+    rejected = out.rejected if refused is None else out.rejected.unionByName(refused)
+    return ledger.commit(base, changes | {"transactions": Change(out.transactions), "rejected": Change(rejected)}, run)
