@@ -2,6 +2,7 @@
 
 import calendar
 import re
+import uuid
 from dataclasses import dataclass
 from datetime import date
 
@@ -44,16 +45,26 @@ def parse_period(text: str) -> date:
 
 
 def parse_mode(text: str, zero: str = "all_time") -> str:
-    """A range mode; 0 stands for all_time, or for ytd where a caller asks for that."""
-    mode = zero if text == "0" else text.removeprefix("rolling_")
+    """A range mode in any case, blank for the current month; 0 stands for all_time, or for ytd where a caller asks for that."""
+    name = text.strip().lower() or "current"
+    mode = zero if name == "0" else name.removeprefix("rolling_")
     if mode not in MODES:
         raise ValueError(f"range must be one of {MODES}, not {text!r}")
     return mode
 
 
-def validate(limit: int = 50, page: int = 1, offset: int = 0, range_: int = 6) -> None:
-    if range_ not in (0, 3, 6, 12) or not 1 <= limit <= 200 or not 1 <= page <= 200 or not 0 <= offset <= 10_000:
-        raise ValueError("range is 0, 3, 6 or 12, limit and page 1 to 200, offset 0 to 10000")
+def parse_card(text: str) -> str:
+    """all (or blank), or a card's id in its usual form."""
+    return "all" if text in ("", "all") else str(uuid.UUID(text))
+
+
+def parse_selection(period: str, card: str, mode: str, zero: str = "ytd") -> "Selection":
+    return Selection(parse_period(period), parse_card(card), parse_mode(mode, zero))
+
+
+def validate(limit: int = 50, page: int = 1, offset: int = 0, range_: int = 6, merchants: int = 10) -> None:
+    if range_ not in (0, 3, 6, 12) or not 1 <= limit <= 200 or not 1 <= page <= 200 or not 0 <= offset <= 10_000 or not 1 <= merchants <= 50:
+        raise ValueError("range is 0, 3, 6 or 12, limit and page 1 to 200, offset 0 to 10000, merchants 1 to 50")
 
 
 @dataclass(frozen=True)

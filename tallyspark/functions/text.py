@@ -3,8 +3,11 @@
 from functools import reduce
 from unicodedata import combining, normalize
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
 
 def _folds() -> dict[str, str]:
     """Latin letters, ligatures and full-width forms that compatibility decomposition without marks turns into ASCII."""
@@ -32,9 +35,20 @@ def fold_accents(c: Column) -> Column:
     return F.when(x.rlike("[" + "".join(several) + "]"), joined).otherwise(x)
 
 
-def normalize_merchant(c: Column) -> Column:
-    """The canonical key of a description: legal forms, punctuation and digits go, instalment marks such as 03/06 stay."""
-    x = F.regexp_replace(F.regexp_replace(fold_accents(c), r"[^\x00-\x7F]", ""), LEGAL, " ")
+@F.pandas_udf(StringType())
+def decompose(texts: pd.Series) -> pd.Series:
+    """The ASCII left of each text after full compatibility decomposition: circled, Roman-numeral and mathematical letters too."""
+    return texts.map(lambda t: None if t is None else normalize("NFKD", t).encode("ascii", "ignore").decode())
+
+
+def normalize_merchant(c: Column, exact: bool = False) -> Column:
+    """The canonical key of a description: legal forms, punctuation and digits go, instalment marks such as 03/06 stay.
+
+    exact decomposes every character that Unicode can, in Python: for distinct descriptions.  Without it, Latin letters,
+    ligatures and full-width forms are folded by expressions alone.
+    """
+    folded = decompose(c) if exact else F.regexp_replace(fold_accents(c), r"[^\x00-\x7F]", "")
+    x = F.regexp_replace(folded, LEGAL, " ")
     x = F.regexp_replace(x, r"(\d+/\d+)|[;.,/]|\d", "$1\x01")
     x = F.regexp_replace(F.regexp_replace(x, "(\\d+/\\d+)\x01", "$1"), "\x01+", " ")
     return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
@@ -99,8 +113,6 @@ def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     With a variant, the other variant's section goes first; a null variant keeps the text.
     """
-    import pandas as pd
-
     def cut(text: str) -> list[str]:
         if text is None:
             return []
@@ -141,17 +153,21 @@ def alias_key(c: Column) -> Column:
 
 
 def strip_fence(c: Column) -> Column:
-    """The inside of a Markdown code fence, or the text itself."""
-    inside = F.regexp_extract(c, r"(?s)^\s*```(?:json|JSON)?\s*\n?(.*?)\n?\s*```\s*$", 1)
-    return F.when(c.rlike(r"(?s)^\s*```.*```\s*$"), inside).otherwise(c)
-
-
-def reply_content(body: Column) -> Column:
-    """The content of a reply: in choices, in message, in text blocks, or the body itself."""
-    blocks = F.from_json(F.get_json_object(body, "$.content"), "array<struct<type:string, text:string>>")
+    """The inside of a Markdown code fence without its outer blanks, or the text itself."""
+    blanks = F.lit(" \t\n\x0b\x0c\r")
+    text = F.btrim(c, blanks)
+    inside = F.substring(text, F.lit(4), F.length(text) - 6)
+    untagged = F.when(inside.startswith("json") | inside.startswith("JSON"), F.substring(inside, F.lit(5), F.length(inside))).otherwise(inside)
+    return F.when(text.startswith("```") & text.endswith("```") & (F.length(text) >= 6), F.btrim(untagged, blanks)).otherwise(c)
+
+
+def reply_content(envelope: Column, body: Column) -> Column:
+    """The content of a reply: in choices, in message, in text blocks, or the body itself.  envelope is the body as a VARIANT, parsed once."""
+    get = lambda path, kind="string": F.try_variant_get(envelope, path, kind)
+    blocks = get("$.content", "array<struct<type string, text string>>")
     joined = F.nullif(F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), ""), F.lit(""))
-    own = F.when(F.get_json_object(body, "$.transactions").isNotNull() | F.get_json_object(body, "$.notes").isNotNull(), body)
-    return F.coalesce(F.get_json_object(body, "$.choices[0].message.content"), F.get_json_object(body, "$.choices[0].content"), F.get_json_object(body, "$.message.content"), joined, F.get_json_object(body, "$.content"), own)
+    own = F.when(get("$.transactions", "variant").isNotNull() | get("$.notes", "variant").isNotNull(), body)
+    return F.coalesce(get("$.choices[0].message.content"), get("$.choices[0].content"), get("$.message.content"), joined, get("$.content"), own)
 
 
 def percent_change(now: Column, before: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.text import completeness, error_text, nonblank, parse_amount, parse_date, placeholder_holder, placeholder_mask, reply_content, strip_fence, surrogate_key, valid_confidence, valid_currency
 from ..sources.model import EXTRACTION, ROWS
@@ -11,12 +12,15 @@ LENGTHS = {"date": (1, 10), "description": (1, 500), "amount": (1, 64), "currenc
 
 
 def parse_replies(payloads: DataFrame) -> DataFrame:
-    """doc_id, chunk_idx, reply (null where it can't be parsed), extra (keys that no reply has), error."""
-    body = strip_fence(reply_content(F.col("body")))
-    reply = F.from_json(body, EXTRACTION)
-    parsed = payloads.withColumn("_r", reply)
+    """doc_id, chunk_idx, reply (null where it can't be parsed), extra (keys on any level that no reply has), error.
+
+    The envelope and its content are parsed once each to VARIANT, so keys are seen before a schema drops them.
+    """
+    opened = payloads.withColumn("_envelope", F.try_parse_json(F.col("body")))
+    inside = opened.withColumn("_content", strip_fence(reply_content(F.col("_envelope"), F.col("body"))))
+    parsed = inside.withColumn("_r", F.from_json("_content", EXTRACTION)).withColumn("_all", F.try_parse_json(F.col("_content")))
     ok = F.col("_r.transactions").isNotNull() | F.col("_r.metadata").isNotNull()
-    return parsed.select("doc_id", "chunk_idx", F.when(ok, F.col("_r")).alias("reply"), extra_keys(body).alias("extra"), F.when(~F.coalesce(ok, F.lit(False)), F.lit("no valid reply")).alias("error"))
+    return parsed.select("doc_id", "chunk_idx", F.when(ok, F.col("_r")).alias("reply"), extra_keys(F.col("_all")).alias("extra"), F.when(~F.coalesce(ok, F.lit(False)), F.lit("no valid reply")).alias("error"))
 
 
 def clean_rows(reply):
@@ -61,8 +65,23 @@ def check_replies(parsed: DataFrame) -> DataFrame:
     return c.withColumn("error", F.when(F.col("_broken") != "", error_text(F.lit("ValidationError"), F.col("_broken"))).otherwise(F.col("error"))).withColumn("reply", F.when(valid, F.col("reply"))).drop("_broken")
 
 
-def extra_keys(body, allowed=("transactions", "metadata", "confidence", "notes")):
-    return F.array_except(F.coalesce(F.json_object_keys(body), F.expr("cast(array() as array<string>)")), F.array(*map(F.lit, allowed)))
+def extra_keys(reply, schema: str = EXTRACTION):
+    """Keys of a VARIANT reply that the schema does not have, as a, metadata.a or transactions.a, each once."""
+    top = StructType.fromDDL(schema.removeprefix("struct<").removesuffix(">"))
+    none = F.expr("cast(array() as array<string>)")
+
+    def beyond(keys, fields, prefix=""):
+        other = F.array_except(F.coalesce(keys, none), F.array(*map(F.lit, fields)))
+        return F.transform(other, lambda k: F.concat(F.lit(prefix), k))
+
+    found = [beyond(F.map_keys(F.try_variant_get(reply, "$", "map<string,variant>")), top.names)]
+    for f in top.fields:
+        if isinstance(f.dataType, StructType):
+            found.append(beyond(F.map_keys(F.try_variant_get(reply, f"$.{f.name}", "map<string,variant>")), f.dataType.names, f"{f.name}."))
+        elif isinstance(f.dataType, ArrayType):
+            rows = F.try_variant_get(reply, f"$.{f.name}", "array<map<string,variant>>")
+            found.append(beyond(F.flatten(F.transform(rows, F.map_keys)), f.dataType.elementType.names, f"{f.name}."))
+    return F.concat(*found)
 
 
 def merge_chunks(parsed: DataFrame) -> DataFrame:
@@ -79,8 +98,12 @@ def merge_chunks(parsed: DataFrame) -> DataFrame:
 
 
 def extracted_rows(parsed: DataFrame) -> DataFrame:
-    """doc_id, chunk_idx, pos and the fields of every cleaned row."""
-    return parsed.where("reply is not null").select("doc_id", "chunk_idx", F.posexplode(clean_rows(F.col("reply"))).alias("pos", "t")).select("doc_id", "chunk_idx", "pos", "t.*")
+    """doc_id, chunk_idx, pos and the fields of every cleaned row.
+
+    An outer explode, as Spark would put the test of an inner one below the parsing, which then ran twice.
+    """
+    rows = parsed.select("doc_id", "chunk_idx", F.posexplode_outer(clean_rows(F.col("reply"))).alias("pos", "t"))
+    return rows.where("pos is not null").select("doc_id", "chunk_idx", "pos", "t.*")
 
 
 def typed_rows(rows: DataFrame, default_currency: str = "CLP", expected=None) -> DataFrame:

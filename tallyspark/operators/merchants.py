@@ -8,8 +8,10 @@ from ..sources.model import CATEGORY_ALIASES, KNOWN_MERCHANTS
 
 
 def with_canonical(tx: DataFrame, text: str = "description") -> DataFrame:
-    """canonical, computed once for each distinct description."""
-    keys = tx.select(text).distinct().withColumn("canonical", normalize_merchant(F.col(text)))
+    """canonical, computed once for each distinct description; only those with other than ASCII letters are decomposed in Python."""
+    keys = tx.select(text).distinct()
+    plain = ~F.coalesce(F.col(text).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    keys = keys.where(plain).withColumn("canonical", normalize_merchant(F.col(text))).unionByName(keys.where(~plain).withColumn("canonical", normalize_merchant(F.col(text), exact=True)))
     return tx.join(keys, text, "left")
 
 

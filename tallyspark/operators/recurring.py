@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.period import month_bounds
 from ..functions.text import classify_period, surrogate_key
 from .filters import active, by_month, list_rules
-from .windows import GROUP, with_gap_days, with_group_median
+from .windows import GROUP, with_group_median
 
 LOOKBACK_DAYS, BAND, LEAST = 90, "0.15", 3
 #: The magnitude of amounts that have no logarithm.
@@ -32,12 +32,20 @@ def in_band(amount, median):
 
 
 def recurring_group_stats(scan: DataFrame, group=GROUP) -> DataFrame:
-    """Groups of card, merchant and currency that recur: count, median of all, bounds and last day of those in band, days between."""
-    banded = with_group_median(scan, group).where(in_band(F.col("amount"), F.col("median")))
-    gaps = with_gap_days(banded, group)
+    """Groups of card, merchant and currency that recur: count, median of all, bounds and last day of those in band, days between.
+
+    Postings are counted by day and amount first, and those in band by day before their gaps are taken, so a window sees
+    a group's days and not its rows.
+    """
+    counted = scan.groupBy(*group, "date", "amount").agg(F.count("*").alias("_n"))
+    banded = with_group_median(counted, group, "_n").where(in_band(F.col("amount"), F.col("median")))
+    days = banded.groupBy(*group, "date").agg(F.sum("_n").alias("_n"), F.max("median").alias("median"), F.min("amount").alias("_low"), F.max("amount").alias("_high"))
+    days = days.withColumn("_days", F.datediff("date", F.lag("date").over(Window.partitionBy(*group).orderBy("date"))))
+    # one gap to the day before, and gaps of nothing between postings of one day: as many as its postings
+    gaps = days.withColumn("_gap", F.explode(F.array(F.struct(F.col("_days").alias("days"), F.lit(1).cast("long").alias("times")), F.struct(F.lit(0).alias("days"), (F.col("_n") - 1).alias("times")))))
     stats = gaps.groupBy(*group).agg(
-        F.count("*").alias("n"), F.max("median").alias("median"), F.min("amount").alias("amount_min"), F.max("amount").alias("amount_max"), F.max("date").alias("last_seen_date"),
-        F.bround(F.median("gap_days"), 0).cast("int").alias("period_days"),
+        F.sum("_gap.times").alias("n"), F.max("median").alias("median"), F.min("_low").alias("amount_min"), F.max("_high").alias("amount_max"), F.max("date").alias("last_seen_date"),
+        F.bround(F.percentile(F.col("_gap.days"), 0.5, F.col("_gap.times")), 0).cast("int").alias("period_days"),
     )
     return stats.where((F.col("n") >= LEAST) & (F.col("period_days") > 0))
 
@@ -54,29 +62,34 @@ def detect(tx: DataFrame, statements: DataFrame) -> DataFrame:
 
 
 def newest_statements(statements: DataFrame) -> DataFrame:
-    """card_id, statement_id: the statement that each card's detection runs for."""
-    return statements.groupBy(F.col("credit_card_id").alias("card_id")).agg(F.max_by("id", F.struct("period_end", "id")).alias("statement_id"))
+    """card_id, statement_id, period_end: the statement that each card's detection runs for."""
+    last = F.max(F.struct("period_end", "id")).alias("_last")
+    return statements.groupBy(F.col("credit_card_id").alias("card_id")).agg(last).select("card_id", F.col("_last.id").alias("statement_id"), F.col("_last.period_end").alias("period_end"))
 
 
 def _of_detections(tx: DataFrame, statements: DataFrame, detected: DataFrame) -> DataFrame:
-    """Postings of the newest statements within the bounds of their card's detection of their merchant and currency, of which there is one."""
+    """Postings of the newest statements, with its period_end, within the bounds of their card's detection of their merchant and currency, of which there is one."""
     found = detected.select("card_id", "merchant_id", "currency", *(F.col(c).alias(f"_{c}") for c in ("amount_min", "amount_max", "period_days")))
-    own = tx.join(newest_statements(statements), ["card_id", "statement_id"])
+    own = tx.drop("period_end").join(newest_statements(statements), ["card_id", "statement_id"])
     return own.join(found, ["card_id", "merchant_id", "currency"]).where(F.col("amount").between(F.col("_amount_min"), F.col("_amount_max")))
 
 
-def upsert_rules(rules: DataFrame, detected: DataFrame, tx: DataFrame, statements: DataFrame) -> DataFrame:
+def upsert_rules(rules: DataFrame, detected: DataFrame, tx: DataFrame, statements: DataFrame, lookback: int = LOOKBACK_DAYS) -> DataFrame:
     """Rules after a run of the detector: those met again are refreshed, others kept, new ones added as active.
 
-    A new rule counts all postings of its detections; one met again adds those of the newest statements that no rule
-    has been linked to.  Of several detections on a key the last by (last_seen_date, card) gives day and label.
+    A new rule counts all postings of its detections; one met again adds those of the newest statements, of the
+    lookback days, that are not linked to this very rule: a link to another one does not keep a posting out.  Of
+    several detections on a key the last by (last_seen_date, card) gives day and label.
     """
-    open_ = F.col("recurring_rule_id").isNull() if "recurring_rule_id" in tx.columns else F.lit(True)
-    fresh = _of_detections(tx.where(F.col("installment_number").isNull() & open_), statements, detected).groupBy("card_id", "merchant_id", "currency").agg(F.count("*").alias("_fresh"))
+    known = rules.select(*KEY, F.col("id").alias("_known"))
+    own = _of_detections(tx.where(F.col("installment_number").isNull()), statements, detected).where(F.col("date") >= F.date_sub("period_end", lookback))
+    own = own.join(known.select(*(F.col(c).alias(f"_{c}") if c in ("amount_min", "amount_max", "period_days") else F.col(c) for c in KEY), "_known"), ["merchant_id", "currency", "_amount_min", "_amount_max", "_period_days"])
+    other = ~F.col("recurring_rule_id").eqNullSafe(F.col("_known")) if "recurring_rule_id" in tx.columns else F.lit(True)
+    fresh = own.where(other).groupBy("card_id", "merchant_id", "currency").agg(F.count("*").alias("_fresh"))
     last = F.max_by(F.struct("period_label", "last_seen_date", "median"), F.struct("last_seen_date", "card_id"))
     met = detected.join(fresh, ["card_id", "merchant_id", "currency"], "left").groupBy(*KEY).agg(F.sum("n").alias("_all"), F.sum(F.coalesce("_fresh", F.lit(0))).alias("_fresh"), last.alias("_last"))
-    met = met.join(rules.select(*KEY, F.lit(True).alias("_known")), list(KEY), "left")
-    return _merged(rules, met.select(*KEY, F.col("_last.period_label").alias("_label"), F.col("_last.last_seen_date").alias("_seen"), F.when(F.col("_known"), F.col("_fresh")).otherwise(F.col("_all")).alias("new"), F.col("_last.median").alias("median")))
+    met = met.join(known, list(KEY), "left")
+    return _merged(rules, met.select(*KEY, F.col("_last.period_label").alias("_label"), F.col("_last.last_seen_date").alias("_seen"), F.when(F.col("_known").isNotNull(), F.col("_fresh")).otherwise(F.col("_all")).alias("new"), F.col("_last.median").alias("median")))
 
 
 def _merged(rules: DataFrame, met: DataFrame) -> DataFrame:

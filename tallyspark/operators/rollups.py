@@ -5,6 +5,8 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.period import validate
+
 MONEY = "decimal(25,2)"
 
 
@@ -59,7 +61,8 @@ def with_merchant_name(rows: DataFrame, merchants: DataFrame, missing: str = "<u
 
 
 def merchant_breakdown(tx: DataFrame, merchants: DataFrame, limit: int = 10) -> DataFrame:
-    """Totals per currency of the merchants with the largest totals in one currency, with their count and last day over all currencies."""
+    """Totals per currency of the merchants with the largest totals in one currency, with their count and last day over all currencies; 1 to 50 merchants."""
+    validate(merchants=limit)
     rollup = entity_rollup(tx, "merchant_id")
     per = rollup.groupBy("merchant_id").agg(F.max("total").alias("max_total"), F.sum("txn_count").alias("count_all"), F.max("last_seen").alias("last_seen"))
     top = top_n_merchants(with_merchant_name(per, merchants), limit)

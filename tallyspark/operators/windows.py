@@ -21,8 +21,36 @@ def with_gap_days(tx: DataFrame, group=GROUP) -> DataFrame:
     return tx.withColumn("gap_days", F.datediff("date", F.lag("date").over(w)))
 
 
-def with_group_median(tx: DataFrame, group=GROUP) -> DataFrame:
-    return tx.withColumn("median", F.median("amount").over(Window.partitionBy(*group)).cast("decimal(18,3)"))
+def group_medians(tx: DataFrame, group=GROUP, times: str | None = None) -> DataFrame:
+    """group and the exact median of amount, from counted values: no task holds a group's rows.  A row counts as often as its column times says.
+
+    Values of a group are counted where they are; then counts per leading digits (two of them, sign and power of ten) say which digits the
+    middle ones have, and only values with those digits are ranked.  Nulls do not count.
+    """
+    size = F.abs("amount").cast("double")
+    power = F.floor(F.log10(size))
+    digits = F.when(F.col("amount") == 0, 0).otherwise(F.signum(F.col("amount").cast("double")) * (1000 + power * 100 + F.floor(size / F.pow(F.lit(10.0), power) * 10))).cast("long")
+    values = tx.where("amount is not null").groupBy(*group, "amount").agg((F.sum(times) if times else F.count("*")).alias("_n")).withColumn("_digits", digits)
+    counts = values.groupBy(*group, "_digits").agg(F.sum("_n").alias("_in"), F.min("amount").alias("_least"))
+    whole = Window.partitionBy(*group)
+    up_to = F.sum("_in").over(whole.orderBy("_least"))
+    n = F.sum("_in").over(whole)
+    # places of the two middle rows, from 1
+    low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
+    met = counts.select(*group, "_digits", (up_to - F.col("_in")).alias("_before"), low.alias("_low"), high.alias("_high"), up_to.alias("_up_to"))
+    met = met.where("_before < _high and _up_to >= _low").select(*group, "_digits", "_before", "_low", "_high")
+    same = values.alias("v").join(met.alias("m"), [F.col(f"v.{c}").eqNullSafe(F.col(f"m.{c}")) for c in (*group, "_digits")])
+    near = same.select(*(F.col(f"v.{c}").alias(c) for c in (*group, "_digits", "amount", "_n")), "_before", "_low", "_high")
+    last = F.col("_before") + F.sum("_n").over(Window.partitionBy(*group, "_digits").orderBy("amount"))
+    ranked = near.withColumn("_last", last).where((F.col("_last") >= F.col("_low")) & (F.col("_last") - F.col("_n") < F.col("_high")))
+    middle = (F.min("amount") + F.max("amount")) / 2
+    return ranked.groupBy(*group).agg(middle.cast("decimal(18,3)").alias("median"))
+
+
+def with_group_median(tx: DataFrame, group=GROUP, times: str | None = None) -> DataFrame:
+    """tx with the median of its group, which is joined to the rows where they are."""
+    medians = group_medians(tx, group, times).select(*(F.col(c).alias(f"_{c}") for c in group), "median")
+    return tx.join(medians, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group], "left").drop(*(f"_{c}" for c in group))
 
 
 def dedupe_extracted(rows: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -1,5 +1,6 @@
 """A query for each ledger operator on the given tables, and the same in SQL."""
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from .plans import dashboard as P
 from .plans import ingest as I
 from .sources import model
 from .sources.ledger import event_statements, ledger_events, ledger_lineitem
+from .sources.snapshots import Change, Snapshots
+from .sources.staging import shared_folder
 
 MONTH, AS_OF = date(1998, 1, 1), date(1998, 3, 15)
 
@@ -69,8 +72,46 @@ def suppliers(spark, d) -> DataFrame:
 
 @query(f"with {LINE}, {CATS} select statement_id, date, amount, currency, category_id, name as category_name, merchant_id, description, low_confidence, installment_number from tx left join cats on category_id = id")
 def source_wide_lineitem(spark, d):
-    c = categories(spark).select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
-    return line(spark, d).join(F.broadcast(c), "category_id", "left").select("statement_id", "date", "amount", "currency", "category_id", "category_name", "merchant_id", "description", "low_confidence", "installment_number")
+    tx = line(spark, d).drop("merchant_name").withColumn("recurring_rule_id", F.lit(None).cast("string"))
+    statements = tx.groupBy(F.col("statement_id").alias("id"), F.col("card_id").alias("credit_card_id")).agg(F.min("date").alias("period_start"), F.max("date").alias("period_end"))
+    wide = model.wide_transactions(tx, statements, categories(spark).withColumn("display_name", F.col("name")), suppliers(spark, d), _no_rules(spark))
+    return wide.select("statement_id", "date", "amount", "currency", "category_id", "category_name", "merchant_id", "description", "low_confidence", "installment_number")
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
+
+
+@query(f"with {EVENT} select id, date, amount, currency from ev where date between date '2024-01-10' and date '2024-02-20'")
+def source_committed_months(spark, d):
+    """Postings committed by month, of which a window reads two."""
+    at = Snapshots(spark, _folder(spark))
+    tx = events(spark, d).select(*(F.col(c).cast("string").alias(c) if c in ("id", "statement_id", "merchant_id") else F.col(c) for c in ("id", "statement_id", "date", "description", "amount", "currency", "merchant_id", "installment_number", "raw_json")))
+    missing = {f.split()[0]: f.split()[1] for f in "category string, category_id string, low_confidence boolean, installment_total int, installment_value decimal, recurring_rule_id string".split(", ")}
+    at.commit(0, {"transactions": Change(tx.select("*", *(F.lit(None).cast(t).alias(n) for n, t in missing.items())))})
+    return L.window_filter(at.read("transactions"), date(2024, 1, 10), date(2024, 2, 20)).select(F.col("id").cast("long").alias("id"), "date", "amount", "currency")
+
+
+@query(f"with {EVENT} select id, statement_id, amount from ev where statement_id = 701")
+def source_load(spark, d):
+    """A table read by its known schema, and one statement of it."""
+    at = _folder(spark)
+    events(spark, d).select("id", "statement_id", "date", "amount").write.parquet(at)
+    return L.filter_transactions(model.load(spark, at, "id long, statement_id long, date date, amount decimal(15,2)"), statement=701).select("id", "statement_id", "amount")
+
+
+@query("""select 'd' || (event_id % 50) as doc_id, cast(count(*) filter (where event_id % 7 <> 0) as bigint) as n_whole, cast(count(*) filter (where event_id % 7 = 0) as bigint) as n_failed, 0::bigint as n_rejected from events where event_id % 11 <> 0 group by 1
+union all select null, 0, 0, count(*) from events where event_id % 11 = 0""")
+def source_corrupt_payloads(spark, d):
+    """Replies written line by line, some cut short: one that still names its document is a failed chunk, one that does not is rejected."""
+    e, at = spark.read.parquet(f"{d}/events.parquet"), _folder(spark)
+    doc = F.concat(F.lit("d"), F.col("event_id") % 50)
+    body = F.concat(F.lit('{"doc_id":"'), doc, F.lit('","chunk_idx":'), F.col("event_id"), F.lit(',"body":"{}"}'))
+    short = F.when(F.col("event_id") % 11 == 0, F.substring("line", 1, 9)).when(F.col("event_id") % 7 == 0, F.expr("substring(line, 1, length(line) - 2)")).otherwise(F.col("line"))
+    e.withColumn("line", body).select(short.alias("value")).write.text(at)
+    good, rejected = model.split_corrupt(model.read_payloads(spark, at))
+    whole = good.groupBy("doc_id").agg(F.count("body").alias("n_whole"), F.count_if(F.col("body").isNull()).alias("n_failed"), F.lit(0).cast("long").alias("n_rejected"))
+    return whole.unionByName(rejected.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_whole"), F.lit(0).cast("long").alias("n_failed"), F.count("*").alias("n_rejected")))
 
 
 @query(f"with {EVENT}, k as (select statement_id, count(*) as n_transactions, min(id) as first_id, max(id) as last_id, {SUM} as total from ev group by 1) select statement_id, n_transactions, first_id, last_id, total from k")
@@ -141,6 +182,16 @@ def filter_card_labels(spark, d):
     return L.card_labels(L.list_cards(c), n).select("id", "label")
 
 
+@query("""select 'bank' as list, name from (select n_name as name from nation where n_regionkey <> 2 order by 1 limit 6) union all select 'merchant', name from (select s_name as name from supplier order by 1 limit 7)
+union all select 'category', name from (select * from (values ('Dining Out'), ('Groceries'), ('Transportation')) as c(name))""")
+def filter_lists(spark, d):
+    """The first of the banks, merchants and categories as they are listed."""
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("display_name"), (F.col("n_regionkey") != 2).alias("is_active"))
+    lists = {"bank": L.list_banks(n).limit(6).select("display_name"), "merchant": L.list_merchants(suppliers(spark, d)).limit(7).select("name"), "category": L.list_categories(categories(spark)).limit(3).select("name")}
+    each = [df.toDF("name").select(F.lit(k).alias("list"), "name") for k, df in lists.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 @query(f"with {EVENT}, s as (select card_id, max(date) as period_end from ev group by 1) select id, card_id, date, amount from ev join s using (card_id) where date >= period_end - 90 and merchant_id is not null")
 def filter_detector_scan(spark, d):
     tx = events(spark, d)
@@ -249,6 +300,31 @@ def series_summary_ytd(spark, d):
     return P.summary(line(spark, d), Selection(date(1998, 6, 1), mode="ytd"))
 
 
+OVERVIEW = f"""with {LINE}, {CATS}, s as (select * from tx where card_id = 7), w as (select * from s where date between date '1997-01-01' and date '1998-12-31'),
+cur as (select currency, cast(sum(case when date between date '1997-01-01' and date '1998-12-31' then amount end) as decimal(25,2)) as total, count(case when date between date '1997-01-01' and date '1998-12-31' then 1 end) as txn_count,
+  cast(sum(case when date between date '1998-12-01' and date '1998-12-31' then amount end) as decimal(25,2)) as month_total, cast(sum(case when date between date '1998-11-01' and date '1998-11-30' then amount end) as decimal(25,2)) as prior_total from s group by 1),
+c as (select category_id as e, currency, {SUM} as total, count(*) as n from w where category_id is not null group by 1, 2), bc as (select e, name from c join cats on id = e group by e, name, sort_order order by max(total) desc, sort_order limit 1),
+m as (select merchant_id as e, merchant_name as name, currency, {SUM} as total, count(*) as n from w group by 1, 2, 3), bm as (select e from m group by e, name order by max(total) desc, name limit 1)
+select 'currency' as kind, null as entity, null as name, currency, total, txn_count, cast(round_even(cast(total as double) / 31, 2) as decimal(25,2)) as daily_avg, month_total, prior_total,
+  case when prior_total <> 0 then round(cast(month_total - prior_total as double) / cast(prior_total as double) * 100, 1) end as change_pct from cur where txn_count > 0
+union all select 'category', cast(e as varchar), name, currency, total, n, null, null, null, null from c join bc using (e)
+union all select 'merchant', cast(e as varchar), name, currency, total, n, null, null, null, null from m where e in (select e from bm)"""
+
+
+@query(OVERVIEW.replace("1997-01-01", "1998-01-01"))
+def series_overview(spark, d):
+    """A card's year to date: totals, top category and top merchant from one scan."""
+    selection = Selection(date(1998, 12, 1), card=7, mode="ytd")
+    statements = line(spark, d).select(F.col("statement_id").alias("id"), F.col("card_id").alias("credit_card_id")).distinct()
+    return P.overview(line(spark, d).drop("merchant_name"), selection, categories(spark), suppliers(spark, d), statements=statements)
+
+
+@query(OVERVIEW.replace("where card_id = 7", "").replace("date between date '1997-01-01' and date '1998-12-31'", "date <= date '1998-12-31'"))
+def series_overview_all_time(spark, d):
+    """All cards since the first posting."""
+    return P.overview(line(spark, d).drop("merchant_name"), Selection(date(1998, 12, 1), mode="all_time"), categories(spark), suppliers(spark, d))
+
+
 # -- recurring ---------------------------------------------------------------
 
 STATS = f"""{EVENT}, s as (select card_id, max(date) as period_end from ev group by 1), f as (select ev.* from ev join s using (card_id) where date >= period_end - 90),
@@ -290,16 +366,19 @@ def recurring_upsert_rules(spark, d):
     return _rules(spark, d).drop("id")
 
 
-NEWEST = f"{RULE}, nw as (select card_id, arg_max(statement_id, (stop, statement_id)) as statement_id from (select card_id, statement_id, max(date) as stop from ev group by 1, 2) group by 1)"
+NEWEST = f"{RULE}, nw as (select card_id, arg_max(statement_id, (stop, statement_id)) as statement_id, max(stop) as last_day from (select card_id, statement_id, max(date) as stop from ev group by 1, 2) group by 1)"
 IN_BAND = "from ev join nw using (card_id, statement_id) join r using (card_id, merchant_id, currency) where amount between amount_min and amount_max"
 
 
-@query(f"with {NEWEST}, v as (select merchant_id, amount_min, amount_max, currency, period_days, count(*) as fresh {IN_BAND} and id % 3 > 0 group by 1, 2, 3, 4, 5) select merchant_id, amount_min, amount_max, currency, period_days, cast(occurrences + coalesce(fresh, 0) as integer) as occurrences from u left join v using (merchant_id, amount_min, amount_max, currency, period_days)")
+@query(f"with {NEWEST}, v as (select merchant_id, amount_min, amount_max, currency, period_days, count(*) as fresh {IN_BAND} and id % 3 <> 1 and date >= last_day - 90 group by 1, 2, 3, 4, 5) select merchant_id, amount_min, amount_max, currency, period_days, cast(occurrences + coalesce(fresh, 0) as integer) as occurrences from u left join v using (merchant_id, amount_min, amount_max, currency, period_days)")
 def recurring_upsert_again(spark, d):
-    """A second run where a third of the postings are linked: rules met again add the others."""
-    tx = events(spark, d).withColumn("recurring_rule_id", F.when(F.col("id") % 3 == 0, "r"))
-    st = event_statements(tx)
-    return R.upsert_rules(_rules(spark, d), R.detect(tx, st), tx, st).select("merchant_id", "amount_min", "amount_max", "currency", "period_days", "occurrences")
+    """A second run where a third of the postings are linked to their rule and a third to another one: rules met again add all but the first."""
+    tx = events(spark, d)
+    st, rules = event_statements(tx), _rules(spark, d)
+    own = R.backfill_rule_id(tx.where("id % 3 = 1"), rules, R.detect(tx, st), st)
+    other = tx.where("id % 3 <> 1").withColumn("recurring_rule_id", F.when(F.col("id") % 3 == 0, "r"))
+    linked = own.unionByName(other)
+    return R.upsert_rules(rules, R.detect(tx, st), linked, st).select("merchant_id", "amount_min", "amount_max", "currency", "period_days", "occurrences")
 
 
 def _linked(spark, d):
@@ -391,6 +470,14 @@ def text_normalize_merchant(spark, d):
     return C.with_canonical(p.distinct()).select("description", "canonical")
 
 
+@query("select distinct d as description, " + NORMAL.format("plain") + " as canonical from (select p_brand || ' SUC ' || p_size || '/24 ' || p_name as plain, p_brand || ' SUC ' || p_size || '/24 ' || translate(p_name, 'abcdefghijklmnopqrstuvwxyz', 'ⓐⓑⓒⓓⓔⓕⓖⓗⅰⓙⓚⓛⓜⓝⓞⓟⓠⓡⓢⓣⓤⅴⓦⅹⓨⓩ') as d from part)")
+def text_normalize_exact(spark, d):
+    """Names in circled letters and Roman numerals."""
+    name = F.translate("p_name", "abcdefghijklmnopqrstuvwxyz", "ⓐⓑⓒⓓⓔⓕⓖⓗⅰⓙⓚⓛⓜⓝⓞⓟⓠⓡⓢⓣⓤⅴⓦⅹⓨⓩ")
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.concat("p_brand", F.lit(" SUC "), "p_size", F.lit("/24 "), name).alias("description"))
+    return C.with_canonical(p.distinct()).select("description", "canonical")
+
+
 @query("select doc_id, sha256(strip_accents(text)) as folded from documents")
 def text_fold_accents(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(F.encode(T.fold_accents(F.col("text")), "UTF-8"), 256).alias("folded"))
@@ -509,21 +596,35 @@ def merchant_alias_hit(spark, d):
     return C.match_aliases(tx, _aliases(spark, d)).select("statement_id", "date", "amount", "canonical", "merchant_id")
 
 
-@query(f"with {LINE}, k as (select distinct {NORMAL.format('description')} as canonical from tx), z as (select distinct " + NORMAL.format("'brand# ' || lower(s_name)") + " as normalized from supplier where s_suppkey % 2 = 0) select count(*) as n_new, min(canonical) as first_new, max(canonical) as last_new from k where canonical not in (select normalized from z)")
+@query("with k as (select " + NORMAL.format("p_name || ' SUC 3'") + " as canonical, min(p_name || ' SUC 3') as alias_text from part group by 1), z as (select " + NORMAL.format("p_name") + " as normalized from part where p_name < 'n') select canonical as name, alias_text, 'auto' as source from k where canonical not in (select normalized from z)")
 def merchant_resolve_new(spark, d):
+    """The merchants that descriptions make, with the alias of each, where those of the first letters are known."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    key = F.col("p_partkey").cast("string")
+    known = p.where("p_name < 'n'").select(key.alias("id"), key.alias("merchant_id"), F.col("p_name").alias("alias_text"), T.normalize_merchant(F.col("p_name")).alias("normalized"), F.lit("auto").alias("source"), F.lit(1.0).alias("confidence"))
     merchants = spark.createDataFrame([], "id string, name string, default_category_id long, is_active boolean")
-    _, _, after = C.resolve_merchants(line(spark, d).drop("merchant_id"), _aliases(spark, d), merchants, categories(spark))
-    return after.agg(F.count("*").alias("n_new"), F.min("name").alias("first_new"), F.max("name").alias("last_new"))
+    _, aliases, after = C.resolve_merchants(p.select(key.alias("id"), F.concat("p_name", F.lit(" SUC 3")).alias("description")), known, merchants, categories(spark))
+    return after.join(aliases.select(F.col("merchant_id").alias("id"), "alias_text", "source"), "id").select("name", "alias_text", "source")
 
 
-@query("select count(*) as n_good, (select count(*) from supplier where s_suppkey % 3 = 0 or s_acctbal < 0) as n_rejected from supplier where s_suppkey % 3 <> 0 and s_acctbal >= 0")
+@query("select s_suppkey as key, case when s_suppkey % 3 = 0 then 'blank' when s_acctbal < 0 then 'unknown merchant' end as reason, case when s_suppkey % 3 <> 0 and s_acctbal >= 0 then " + NORMAL.format("s_name || '-' || s_suppkey") + " end as normalized from supplier")
 def merchant_add_aliases(spark, d):
     s = spark.read.parquet(f"{d}/supplier.parquet")
     merchants = s.where("s_acctbal >= 0").select(F.col("s_suppkey").cast("string").alias("id"))
-    new = s.select(F.col("s_suppkey").cast("string").alias("merchant_id"), F.when(F.col("s_suppkey") % 3 == 0, " ").otherwise(F.concat("s_name", F.lit("-"), "s_suppkey")).alias("alias_text"))
+    new = s.select(F.col("s_suppkey").cast("string").alias("merchant_id"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(" "), F.lpad(F.lit(""), F.col("s_suppkey").cast("int"), F.lit(" ")))).otherwise(F.concat("s_name", F.lit("-"), "s_suppkey")).alias("alias_text"))
     empty = spark.createDataFrame([], "id string, merchant_id string, alias_text string, normalized string, source string, confidence double")
     after, rejected = C.add_aliases(empty, merchants, new)
-    return after.agg(F.count("*").alias("n_good")).crossJoin(rejected.agg(F.count("*").alias("n_rejected")))
+    good = after.select(F.col("merchant_id").cast("long").alias("key"), F.lit(None).cast("string").alias("reason"), "normalized")
+    return good.unionByName(rejected.select(F.col("merchant_id").cast("long").alias("key"), "reason", F.lit(None).cast("string").alias("normalized")))
+
+
+@query("with m as (select " + NORMAL.format("p_name") + " as name, min(p_partkey) as id from part where p_name < 'n' group by 1) select p_partkey as raw, m.id is null as is_new, cast(m.id as varchar) as known from part left join m on m.name = " + NORMAL.format("p_name || ' SpA'"))
+def merchant_bind_suggestions(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    merchants = p.where("p_name < 'n'").select(F.col("p_partkey").alias("id"), T.normalize_merchant(F.col("p_name")).alias("name"))
+    merchants = merchants.groupBy("name").agg(F.min("id").cast("string").alias("id"))
+    bound = C.bind_suggestions(p.select(F.col("p_partkey").alias("raw"), F.concat("p_name", F.lit(" SpA")).alias("suggestion")), merchants)
+    return bound.select("raw", "is_new", F.when(~F.col("is_new"), F.col("merchant_id")).alias("known"))
 
 
 # -- extraction --------------------------------------------------------------
@@ -540,10 +641,23 @@ def _replies(spark, d):
     return one.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").cast("int").alias("chunk_idx"), F.when(~bad, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).alias("body"))
 
 
-@query("select cast(l_orderkey as varchar) as doc_id, case when l_orderkey % 7 <> 0 then count(distinct l_linenumber) else 0 end as n_ok, case when l_orderkey % 7 = 0 then count(distinct l_linenumber) else 0 end as n_failed, case when l_orderkey % 7 <> 0 then cast(0.9 as double) end as confidence from lineitem group by l_orderkey")
+@query("select cast(l_orderkey as varchar) as doc_id, case when l_orderkey % 7 <> 0 then count(distinct l_linenumber) else 0 end as n_ok, case when l_orderkey % 7 = 0 then count(distinct l_linenumber) else 0 end as n_failed, case when l_orderkey % 7 <> 0 then cast(0.9 as double) end as confidence, case when l_orderkey % 7 <> 0 then cast(l_orderkey as varchar) end as card from lineitem group by l_orderkey")
 def extraction_merge_chunks(spark, d):
     wrapped = _replies(spark, d).withColumn("body", F.to_json(F.struct(F.struct(F.col("body").alias("content")).alias("message"))))
-    return X.merge_chunks(X.parse_replies(wrapped)).select("doc_id", "n_ok", "n_failed", "confidence")
+    return X.merge_chunks(X.parse_replies(wrapped)).select("doc_id", "n_ok", "n_failed", "confidence", F.col("metadata.card_number_masked").alias("card"))
+
+
+@query("""select cast(l_orderkey as varchar) as doc_id, l_linenumber as chunk_idx, case l_orderkey % 5 when 0 then 'extra mood' when 1 then 'extra metadata.bank' when 2 then 'extra transactions.tip, extra transactions.vat' when 3 then 'extra mood, extra transactions.tip, extra metadata.bank' end as broken
+from lineitem group by 1, 2, l_orderkey, l_linenumber""")
+def extraction_extra_keys(spark, d):
+    """Replies with keys of their own on each level, which make a chunk fail."""
+    k = F.col("l_orderkey") % 5
+    x = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct()
+    tip, bank, mood = (F.when(c, F.lit(t)).otherwise("") for c, t in ((k == 3, ',"tip":1'), (k.isin(1, 3), ',"bank":"b"'), (k.isin(0, 3), ',"mood":{"a":[1]}')))
+    rows = F.when(k == 2, F.lit('{"date":"01/02/2026","description":"d","amount":"1","currency":"USD","tip":2},{"date":"01/02/2026","description":"d","amount":"1","currency":"USD","vat":null,"tip":3}')).otherwise(F.concat(F.lit('{"date":"01/02/2026","description":"d","amount":"1","currency":"USD"'), tip, F.lit("}")))
+    body = F.concat(F.lit('{"transactions":['), rows, F.lit('],"metadata":{"currency":"USD"'), bank, F.lit('},"confidence":0.5'), mood, F.lit("}"))
+    checked = X.check_replies(X.parse_replies(x.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").cast("long").alias("chunk_idx"), body.alias("body"))))
+    return checked.select("doc_id", "chunk_idx", F.when(F.col("reply").isNull(), F.regexp_replace("error", "^ValidationError: ", "")).alias("broken"))
 
 
 @query("select cast(l_orderkey as varchar) as doc_id, cast(l_shipdate as date) as date, cast(l_extendedprice as decimal(15,2)) as amount from lineitem where l_orderkey % 7 <> 0 group by 1, 2, 3")

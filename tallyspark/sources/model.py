@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import error_text
+
 TRANSACTIONS = (
     "id string, statement_id string, date date, description string, amount decimal(15,2), currency string, category string, category_id string, "
     "low_confidence boolean, merchant_id string, installment_number int, installment_total int, installment_value decimal(15,2), recurring_rule_id string, raw_json string"
@@ -58,15 +60,43 @@ def wide_transactions(tx: DataFrame, statements: DataFrame, categories: DataFram
 
 
 def scan_statement_files(spark: SparkSession, path: str, max_mb: int = 10) -> DataFrame:
-    """path, length, file_hash (SHA-256) and rejected_reason (null if accepted) of uploaded files."""
-    files = spark.read.format("binaryFile").load(path)
-    reason = F.when(F.col("length") > max_mb * 1048576, "too large").when(F.substring("content", 1, 5) != F.unhex(F.lit("255044462D")), "not a PDF").when(F.col("length") == 0, "not a PDF")
-    return files.select("path", "length", F.sha2("content", 256).alias("file_hash"), reason.alias("rejected_reason"))
+    """path, length, file_hash (SHA-256, null for files that are too large) and rejected_reason (null if accepted) of uploaded files.
+
+    One scan lists the files and opens none; the other, whose bound on the length is pushed down to the listing, opens only those that may be accepted.  Spark lists no empty files.
+    """
+    top = max_mb * 1048576
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    opened = spark.read.format("binaryFile").load(path).where(F.col("length") <= top)
+    magic = F.substring("content", 1, 5) == F.unhex(F.lit("255044462D"))
+    read = opened.select("path", F.sha2("content", 256).alias("file_hash"), magic.alias("_magic"))
+    reason = F.when(F.col("length") > top, "too large").when(~F.coalesce("_magic", F.lit(False)), "not a PDF")
+    return listed.join(read, "path", "left").select("path", "length", "file_hash", reason.alias("rejected_reason"))
+
+
+PAYLOADS = "doc_id string, chunk_idx int, body string"
 
 
 def read_payloads(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
-    """doc_id, chunk_idx, body: one model reply for each chunk of a document."""
-    return spark.read.schema("doc_id string, chunk_idx int, body string").format(format).load(path)
+    """doc_id, chunk_idx, body, path, corrupt: one model reply for each chunk of a document; corrupt is a line that could not be read, or null."""
+    reader = spark.read.schema(f"{PAYLOADS}, corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt")
+    if format != "json":
+        return spark.read.schema(PAYLOADS).format(format).load(path).select("*", F.col("_metadata.file_path").alias("path"), F.lit(None).cast("string").alias("corrupt"))
+    return reader.json(path).select("doc_id", "chunk_idx", "body", F.col("_metadata.file_path").alias("path"), "corrupt")
+
+
+def split_corrupt(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Payloads that can be used, and rejected (doc_id, path, error) lines.
+
+    A broken line that still names its document is a chunk that failed, so the document is judged by its other chunks; its
+    chunk_idx is the line's, or below all others.  One that names none, or a whole line without a document, is rejected.
+    """
+    said = lambda pattern: F.nullif(F.regexp_extract("corrupt", pattern, 1), F.lit(""))
+    doc = F.coalesce("doc_id", said(r'"doc_id"\s*:\s*"((?:[^"\\]|\\.)+)"'))
+    chunk = F.coalesce("chunk_idx", said(r'"chunk_idx"\s*:\s*(-?\d{1,9})\b').cast("int"), F.lit(-1))
+    body = F.when(F.col("corrupt").isNull(), F.col("body"))
+    read = payloads.select(doc.alias("doc_id"), F.when(F.col("corrupt").isNull(), F.col("chunk_idx")).otherwise(chunk).alias("chunk_idx"), body.alias("body"), "path", "corrupt")
+    message = F.when(F.col("corrupt").isNotNull(), F.substring("corrupt", 1, 100)).otherwise(F.lit("no doc_id"))
+    return read.where("doc_id is not null").select("doc_id", "chunk_idx", "body"), read.where("doc_id is null").select("doc_id", "path", error_text(F.lit("CorruptRecord"), message).alias("error"))
 
 
 def read_statement_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
