@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
+from .shared import row_of
+
 #: Components of this size have exact products in 64-bit floats, for up to 256 of them.
 SMALL = 1 << 21
 LONG = (1 << 63) - 1
@@ -131,7 +133,7 @@ def cluster(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     total = totals(rows, vec_col, last, dims, scale) if last else {}
     fits = lambda x: x if x <= LONG else None
     shared = vectors.sparkSession.sparkContext.broadcast(last)
-    others = rows.select(F.struct(*(F.col(f"`{c}`") for c in vectors.columns if c not in ADDED)).alias("row"), F.col(vec_col).cast("array<double>").alias("v"))
+    others = rows.select(row_of(c for c in vectors.columns if c not in ADDED), F.col(vec_col).cast("array<double>").alias("v"))
 
     def assign(batches):
         for batch in batches:

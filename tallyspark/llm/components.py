@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 from .shared import remove, write
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node that edges lead to) for every node of edges(a, b).
 
     Alternating large-star and small-star steps: each works on the minima of neighbourhoods,
     which are aggregated before they are shuffled, and every round is written to the shared
-    folder in place of the one before.  The number of rounds grows with the logarithm of the
-    longest path.  Repeated edges and loops count for nothing; without edges there is no row.
+    folder in place of the one before.  Rounds go on until one changes nothing; their
+    number grows with the logarithm of the longest path.  Repeated edges and loops count for nothing; without edges there is no row.
     """
     spark = edges.sparkSession
 
@@ -23,7 +23,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         return table, path, seen.get
 
     e, path, state = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    while True:
         # large star: neighbours above a node go to the smallest of its neighbourhood
         both = e.select("a", "b").union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -37,4 +37,3 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if now == state:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b")).distinct()
         state = now
-    raise RuntimeError(f"no end after {rounds} rounds")

@@ -9,8 +9,9 @@ diagonals of one appearance lie within one band.  Bands with m - q + 1 - q * e s
 more are verified by an alignment that stays in the band, with free ends in the document.
 
 The benchmark is taken in blocks of bounded size, each broadcast in turn, so it may be larger
-than memory.  Null texts and items are empty.  An item of fewer than q characters has no q-gram,
-so it matches nothing; neither does one with a null id.  Rows with null or repeated ids are
+than memory.  Null texts and items are empty.  An item of fewer than q characters has no q-gram:
+it is found where it stands exactly and apart, with no letter or digit beside it, by the hash of all its characters.
+An empty item and one with a null id match nothing.  Rows with null or repeated ids are
 searched each on their own, and very long texts whole.  Of several bands that find one place the
 one of fewest edits is kept.  Without documents or items nothing is found and nothing dropped.
 Columns of documents beside id and text pass through ``drop_contaminated``, whatever their names.
@@ -58,14 +59,48 @@ class Index:
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    short: "Short | None" = None
+
+
+class Short:
+    """Items of fewer than q characters by length, with the sorted hashes of their characters."""
+
+    def __init__(self, ids, items: list[np.ndarray]):
+        self.ids, self.items, self.by_length = ids, items, {}
+        for m in sorted({len(x) for x in items}):
+            own = np.array([k for k, x in enumerate(items) if len(x) == m])
+            key = np.array([qgrams(items[k], m)[0] for k in own])
+            order = np.argsort(key, kind="stable")
+            self.by_length[m] = key[order], own[order]
+
+    def regions(self, points: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, start, end, 0) of their appearances in a slice's documents; two items may be equal."""
+        out = []
+        inner = np.fromiter((chr(c).isalnum() for c in np.unique(points).tolist()), bool)
+        word = inner[np.searchsorted(np.unique(points), points)] if len(points) else inner
+        for m, (key, item) in self.by_length.items():
+            g = qgrams(points, m)
+            at = np.flatnonzero(np.isin(g, key))
+            doc = np.searchsorted(off, at, "right") - 1
+            ok = at + m <= off[doc + 1]
+            ok &= (at == off[doc]) | ~word[np.maximum(at - 1, 0)]
+            ok &= (at + m == off[doc + 1]) | ~word[np.minimum(at + m, len(points) - 1)]
+            for a, d in zip(at[ok].tolist(), doc[ok].tolist(), strict=True):
+                for k in item[np.searchsorted(key, g[a], "left") : np.searchsorted(key, g[a], "right")].tolist():
+                    if (self.items[k] == points[a : a + m]).all():
+                        out.append((d, k, a - int(off[d]), a - int(off[d]) + m, 0))
+        return sorted(out)
 
 
 def build(ids, texts, q: int = Q, rate: float = RATE) -> Index | None:
     """The q-gram index of a block of items."""
     items = [fold(np.frombuffer((t or "").encode("utf-32-le"), np.uint32)) for t in texts]
+    few = [k for k, x in enumerate(items) if 0 < len(x) < q]
+    short = Short(np.array([ids[k] for k in few]), [items[k] for k in few]) if few else None
     keep = [k for k, x in enumerate(items) if len(x) >= q]
     if not keep:
-        return None
+        none = np.zeros(0, np.int64)
+        return Index(none, [], none, none, 1, 0, np.zeros(0, bool), none, none, none, none, short) if short else None
     ids, items = np.array([ids[k] for k in keep]), [items[k] for k in keep]
     m = np.array([len(x) for x in items])
     edits = np.minimum((rate * m).astype(int), (m - q) // (2 * q))
@@ -78,7 +113,7 @@ def build(ids, texts, q: int = Q, rate: float = RATE) -> Index | None:
     keys, first = np.unique(key, return_index=True)
     table = np.zeros(1 << TABLE, bool)
     table[keys & U((1 << TABLE) - 1)] = True
-    return Index(ids, items, edits, needed, max(1, share), int(m.max()), table, keys, np.r_[first, len(key)], item, place)
+    return Index(ids, items, edits, needed, max(1, share), int(m.max()), table, keys, np.r_[first, len(key)], item, place, short)
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
@@ -173,7 +208,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks, found = max(1, -(-total // block)), []
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).orderBy("item").collect()
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()
         index = build([r[0] for r in part], [r[1] for r in part], q, rate)
         if index is not None:
             found.append(_search(rows, index, q))
@@ -192,10 +227,14 @@ def _search(rows: DataFrame, index: Index, q: int) -> DataFrame:
             doc, key = batch.column("doc"), batch.column("key")
             for i, _, data, off in slices(batch.column("text"), 512 << 10):
                 points, at = codepoints(data, off)
-                got = regions(shared.value, fold(points), at, q)
-                if got:
+                points, index = fold(points), shared.value
+                found = [(index.ids, regions(index, points, at, q) if index.items else [])]
+                found += [(index.short.ids, index.short.regions(points, at))] if index.short else []
+                for ids, got in found:
+                    if not got:
+                        continue
                     d = pa.array([i + x[0] for x in got])
-                    yield pa.record_batch([doc.take(d), key.take(d), pa.array(shared.value.ids[[x[1] for x in got]]), *(pa.array([x[c] for x in got], pa.int32()) for c in (2, 3, 4))], ["doc", "key", "item", "start", "end", "edits"])
+                    yield pa.record_batch([doc.take(d), key.take(d), pa.array(ids[[x[1] for x in got]]), *(pa.array([x[c] for x in got], pa.int32()) for c in (2, 3, 4))], ["doc", "key", "item", "start", "end", "edits"])
 
     return rows.mapInArrow(search, "doc long, key long, item long, start int, end int, edits int")
 

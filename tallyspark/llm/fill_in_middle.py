@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from .shared import row_of
 from .textblocks import slices
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -178,7 +179,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
         marked = marked | text.contains(m)
     plain = (text == "") | marked | F.coalesce(drawn(id_, seed, 3) % 100 >= plain_from, F.lit(True))
     form = F.when(plain, "plain").when(drawn(id_, seed, 4) % 100 < spm_below, "spm").otherwise("psm")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED)).alias("row")
+    row = row_of(c for c in docs.columns if c not in ADDED)
     rows = docs.select(row, text.alias("text"), form.alias("form"), *(F.coalesce(drawn(id_, seed, k), F.lit(0)).alias(f"draw{k}") for k in (1, 2)))
     raw_marks = tuple(m.encode() for m in marks)
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .repeats import Repeats, count_repeats
-from .shared import written
+from .shared import row_of, written
 from .textblocks import U, Words, grams, mix, per_document, signed, slices
 
 BITS = 1024
@@ -309,7 +309,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if twice.isEmpty():
         return kept
     same = kept[id_col].cast("long") == twice["_id"]
-    row = F.struct(*docs.columns)
+    row = row_of(docs.columns)
     some = kept.join(twice, same, "left_semi").groupBy(F.col(id_col).cast("long")).agg(F.min_by(row, F.struct(F.xxhash64(text_col), F.to_json(row))).alias("_row"))
     return kept.join(twice, same, "left_anti").unionByName(some.select("_row.*"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import row_of, written
 from .textblocks import U, codepoints, mix, slices
 
 DIMENSIONS, CENTROIDS, SAMPLE = 4096, 4, 2000
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*(c for c in docs.columns if c not in ("lang_pred", "score", "rejected"))).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(row_of(c for c in docs.columns if c not in ("lang_pred", "score", "rejected")), F.col(text_col).alias("text"))
 
     def name(batches):
         m = shared.value

@@ -3,6 +3,8 @@
 A host's boilerplate are the lines that more than ``ratio`` of its pages contain, on
 ``min_pages`` pages at least.  Pages count a line once, before anything is shuffled, and the
 counts are aggregated where they arise, so a host with a third of all pages is no hot group.
+Pages are counted in the same pass, as one more line that every page has; lines meet their host's number of
+pages by host and salt, so a host with most of the lines is not one task either.
 As a page has few lines, a host has at most its mean number of lines over ``ratio`` such lines.
 The lists of all hosts are written and their lines counted: up to ``BROADCAST`` lines they are sent
 to where the pages are, so texts stay in place; beyond it pages meet them by host and one of as
@@ -19,10 +21,11 @@ n_lines and n_dropped, which ``counts`` replaces.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, written
+from .shared import partitions, row_of, written
 
 #: Lines of 8 bytes.
 BROADCAST = 1 << 20
+SALTS = 32
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -38,10 +41,12 @@ def _visible(line):
 def boilerplate(docs: DataFrame, host, text, ratio: float, min_pages: int) -> DataFrame:
     """_host, _lines: hashes of the lines to drop, for hosts that have any."""
     lines = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), _visible), lambda x: F.xxhash64(x)))
-    pages = docs.where(text.isNotNull()).select(host.alias("_host"), lines.alias("_all"))
-    total = pages.groupBy("_host").agg(F.count("*").alias("_pages"))
-    seen = pages.select("_host", F.explode("_all").alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
-    often = seen.join(total, seen["_host"].eqNullSafe(total["_host"])).where(F.col("_n") > ratio * F.col("_pages")).select(seen["_host"], "_line")
+    # a page's last line is null and counts the page; the outer explode keeps Spark from testing, and so computing, the lines before
+    marked = docs.where(text.isNotNull()).select(host.alias("_host"), F.explode_outer(F.array_append(lines, F.lit(None).cast("long"))).alias("_line"))
+    seen = written(marked.groupBy("_host", "_line").agg(F.count("*").alias("_n")).where((F.col("_n") >= min_pages) | F.col("_line").isNull()))
+    total = seen.where("_line is null").select(F.col("_host").alias("_of"), F.col("_n").alias("_pages"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    rest = seen.where("_line is not null").withColumn("_salted", F.pmod("_line", F.lit(SALTS)).cast("int"))
+    often = rest.join(total, rest["_host"].eqNullSafe(total["_of"]) & (rest["_salted"] == total["_salt"])).where(F.col("_n") > ratio * F.col("_pages")).select("_host", "_line")
     return often.groupBy("_host").agg(F.sort_array(F.collect_list("_line")).alias("_lines"))
 
 
@@ -52,7 +57,7 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     size = drop.agg(F.sum(1 + F.size("_lines"))).first()[0] or 0
     lines, gone = F.split(F.col("_row")[text_col], "\n"), F.col("_lines")
     kept = F.filter(lines, lambda x: ~(_visible(x) & F.array_contains(gone, F.xxhash64(x))))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    rows = docs.select(row_of(docs.columns, "_row"))
     met = rows["_row"][host_col].eqNullSafe(drop["_host"])
     if size <= broadcast:
         both = rows.join(F.broadcast(drop), met, "left")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import Repeats, count_repeats
-from .shared import partitions
+from .shared import partitions, row_of
 from .textblocks import U, Words, grams, leftmost_minimum, mix, powers, signed, slices
 
 PREFIX, REACH, GROUP, HEAVY = 8, 30, 8_000, 20_000
@@ -319,7 +319,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     span = F.struct("start", "end")
     per = spans.groupBy("doc", "key").agg(F.collect_list(span).alias("spans"))
     others = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    left = docs.select(F.struct(*others).alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    left = docs.select(row_of(others), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     both = left.join(per, ["doc", "key"], "left").select("row", "text", F.expr("transform(spans, s -> s.start)").alias("starts"), F.expr("transform(spans, s -> s.end)").alias("ends"))
 
     def keep(batches):

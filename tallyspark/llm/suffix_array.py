@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
 from .repeats import Repeats, count_repeats
-from .shared import partitions, write, written
+from .shared import partitions, row_of, write, written
 from .textblocks import BYTES, U, mix, powers, signed, slices
 
 WIDTH, TOKEN, REACH, PARTS, HEAVY = 200, 8, 137, 8, 20_000
@@ -358,7 +358,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with n_bytes, n_removed, n_spans (maximal runs of removed bytes) and kept (the bytes left, as binary: a cut may part a character)."""
     spans = repeated_spans(docs, id_col, text_col, width, **tuning)
     per = spans.groupBy("one", "two").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED)).alias("row")
+    row = row_of(c for c in docs.columns if c not in ADDED)
     left = docs.select(row, *keys(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
     both = left.join(per, ["one", "two"], "left").select("row", "text", "starts", "ends")
 

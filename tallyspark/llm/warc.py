@@ -14,7 +14,8 @@ Any record type is read.  The payload of an application/http record is what foll
 header, as it was sent (a chunked body stays chunked); that of another record is its block.
 Digests, page ids and urls may be missing: page_id, refers_to and a revisit's digest are null
 then.  Stated digests of other algorithms are not checked.  A record that is framed wrongly, has
-no Content-Length or type, or differs from its digest is an error, with its reason.
+no Content-Length or type, or differs from its digest is an error, with its reason and offset; the records after it are
+read, unless a reader is strict.  A file is read as one binary value, so it must be below 2 GB.
 
 A null payload is an empty one, a null url an empty target; line ends in a url are written as
 %0D and %0A.  Rows with a null id are left out.  Rows that repeat an id are written each; they
@@ -25,6 +26,7 @@ names.
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -159,13 +161,27 @@ def _record(m: _Member, keep: bool) -> dict:
     return {"headers": headers, "payload": b"".join(kept), "payload_bytes": int(full) if full.isdecimal() else size, "payload_digest": said if revisit else payload.hexdigest()}
 
 
-def records(archive: bytes, step: int = STEP, keep: bool = True):
-    """Headers, payload (empty without keep), payload_bytes and payload_digest of an archive's records, one after another."""
+PADDING, MAGIC = re.compile(rb"\0*"), re.compile(rb"\x1f\x8b\x08")
+
+
+def records(archive: bytes, step: int = STEP, keep: bool = True, strict: bool = True):
+    """Headers, payload (empty without keep), payload_bytes and payload_digest of an archive's records, one after another.
+
+    Zeros between members are passed over.  A bad record raises; unless strict, it is an error with its offset, and reading
+    goes on at the next member that can begin after it.
+    """
     view, at = memoryview(archive), 0
-    while at < len(view):
+    while (at := PADDING.match(view, at).end()) < len(view):
         m = _Member(view, at, step)
-        yield _record(m, keep)
-        at = m.at
+        try:
+            yield _record(m, keep)
+            at = m.at
+        except ValueError as error:
+            if strict:
+                raise
+            yield {"error": str(error), "offset": at}
+            after = MAGIC.search(view, at + 1)
+            at = after.start() if after else len(view)
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 1000, size: int = ARCHIVE) -> DataFrame:
@@ -192,10 +208,14 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return dealt.mapInArrow(write, "archive binary, n_records long")
 
 
-def read_archives(archives: DataFrame, archive_col: str = "archive", keep_payload: bool = True) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type (of any type there is), refers_to and, with keep_payload, payload (null for revisits), a row for each record."""
+def read_archives(archives: DataFrame, archive_col: str = "archive", keep_payload: bool = True, strict: bool = False) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type (of any type there is), refers_to and, with keep_payload, payload (null for revisits), a row for each record.
+
+    Unless strict, also error and offset (of its member): null but for bad records, which have nothing else.
+    """
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     fields += [("payload", pa.binary())] * keep_payload
+    fields += [] if strict else [("error", pa.string()), ("offset", pa.int64())]
 
     def batch_of(out):
         return pa.record_batch([pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), fields, strict=True)], [n for n, _ in fields])
@@ -204,10 +224,13 @@ def read_archives(archives: DataFrame, archive_col: str = "archive", keep_payloa
         for batch in batches:
             for archive in batch.column(0):
                 out, held = [], 0
-                for r in records(archive.as_buffer(), keep=keep_payload):
+                for r in records(archive.as_buffer(), keep=keep_payload, strict=strict):
+                    if "error" in r:
+                        out.append((None,) * (len(fields) - 2) + (r["error"], r["offset"]))
+                        continue
                     h = r["headers"]
                     page, refers = (int(h[k]) if h.get(k, "").lstrip("-").isdecimal() else None for k in ("x-page-id", "x-refers-to-page"))
-                    out.append((page, h.get("warc-target-uri"), r["payload_bytes"], r["payload_digest"], h["warc-type"], refers) + ((None if h["warc-type"] == "revisit" else r["payload"]),) * keep_payload)
+                    out.append((page, h.get("warc-target-uri"), r["payload_bytes"], r["payload_digest"], h["warc-type"], refers) + ((None if h["warc-type"] == "revisit" else r["payload"]),) * keep_payload + ((None, None) if not strict else ()))
                     held += len(r["payload"])
                     if held >= ARCHIVE or len(out) >= 10_000:
                         yield batch_of(out)
@@ -215,7 +238,7 @@ def read_archives(archives: DataFrame, archive_col: str = "archive", keep_payloa
                 if out:
                     yield batch_of(out)
 
-    return archives.where(F.col(archive_col).isNotNull()).select(archive_col).mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * keep_payload)
+    return archives.where(F.col(archive_col).isNotNull()).select(archive_col).mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * keep_payload + ", error string, offset long" * (not strict))
 
 
 def read_warc_files(spark, path: str, **options) -> DataFrame:
@@ -225,4 +248,4 @@ def read_warc_files(spark, path: str, **options) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """pages written as archives to the shared folder, and the records read back from there."""
-    return read_archives(written(write_archives(pages)), keep_payload=False)
+    return read_archives(written(write_archives(pages)), keep_payload=False, strict=True)
