@@ -2,9 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next one's docs.  All but the last keep the columns of documents.
-"""
 
-import public_tokenizers
+A document without text has no language, so the first stage drops it; null ids, languages and sources pass, a null
+source is a site of its own.  Empty texts go with the first stage, too; of rows that repeat id and text one stays after
+the third, and very long texts are worked on whole.  Ties are each operator's.  Empty tables give no rows.
+"""
 
 from tallyspark.llm import decontaminate, jaccard_join, langid, line_dedup, packing
 from tallyspark.llm.shared import written
@@ -33,6 +35,8 @@ def benchmark_decontamination(spark, docs, sf_dir):
 
 def best_fit_packing(spark, docs, sf_dir):
     """The pieces of the documents left and their places in sequences."""
+    import public_tokenizers
+
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False)
     return packing.pack(cut).withColumnRenamed("doc", "doc_id")
 
