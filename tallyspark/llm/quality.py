@@ -9,7 +9,9 @@ into the same), and each is scored by the model of the other fold.
 To score, documents are dealt into blocks of one language of about ``BLOCK`` characters, packed
 and compressed before they are shuffled; the distinct four-grams of a block are joined with the
 model, and the block's documents look theirs up in sorted arrays of hashes of what comes back.
-So no task holds more of the model than its block asks for.
+So no task holds more of the model than its block asks for.  The number of partitions is the session's, whatever
+the number of blocks; four-grams that most blocks ask for make rows of one key, which adaptive execution splits, as the model has
+one row for each.
 
 A document's perplexity (for a character) is held against its language's band: between the
 quartiles of all documents that pass the base rules, widened by ``fence`` times their distance and, as short texts vary more, by ``slack``
@@ -215,7 +217,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     parts = F.create_map(*(F.lit(x) for r in sizes for x in r)) if sizes else F.create_map(F.lit(OTHER), F.lit(1))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc", "text"), F.coalesce(parts[F.col("lang")], F.lit(1))).cast("int"))
     dealt = dealt.mapInArrow(_pack, "lang string, block int, size long, packed binary")
-    dealt = dealt.repartition(max(partitions(docs.sparkSession), 2 * sum(r["blocks"] for r in sizes)), "lang", "block")
+    # a task takes its blocks one after another, so their number does not ask for more tasks
+    dealt = dealt.repartition(partitions(docs.sparkSession), "lang", "block")
     asked = dealt.sortWithinPartitions("lang", "block").mapInArrow(_block_rows, "lang string, block int, context long, last int")
     told = asked.join(probabilities(top), ["lang", "context", "last"]).select("lang", "block", "context", "last", "log0", "log1")
 
