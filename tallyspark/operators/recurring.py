@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.period import month_bounds
 from ..functions.text import classify_period, surrogate_key
 from .filters import active, by_month, list_rules
-from .windows import GROUP, with_group_median
+from .windows import GROUP
 
 LOOKBACK_DAYS, BAND, LEAST = 90, "0.15", 3
 #: The magnitude of amounts that have no logarithm.
@@ -38,7 +38,9 @@ def recurring_group_stats(scan: DataFrame, group=GROUP) -> DataFrame:
     a group's days and not its rows.
     """
     counted = scan.groupBy(*group, "date", "amount").agg(F.count("*").alias("_n"))
-    banded = with_group_median(counted, group, "_n").where(in_band(F.col("amount"), F.col("median")))
+    # merged from counted values; a group has the amounts of some months only
+    middle = counted.groupBy(*(F.col(c).alias(f"_{c}") for c in group)).agg(F.percentile("amount", 0.5, F.col("_n")).cast("decimal(18,3)").alias("median"))
+    banded = counted.join(middle, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]).drop(*(f"_{c}" for c in group)).where(in_band(F.col("amount"), F.col("median")))
     days = banded.groupBy(*group, "date").agg(F.sum("_n").alias("_n"), F.max("median").alias("median"), F.min("amount").alias("_low"), F.max("amount").alias("_high"))
     days = days.withColumn("_days", F.datediff("date", F.lag("date").over(Window.partitionBy(*group).orderBy("date"))))
     # one gap to the day before, and gaps of nothing between postings of one day: as many as its postings
