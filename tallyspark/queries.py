@@ -336,6 +336,11 @@ LABEL = "case when period_days <= 10 then 'weekly' when period_days <= 18 then '
 CONFIDENCE = "round(least(1.0, n / 5.0) * greatest(0.0, 1 - cast(amount_max - amount_min as double) / cast(median as double)), 4)"
 
 
+@query(f"with {EVENT} select id, cast(median(cast(amount as double)) over (partition by card_id, merchant_id, currency) as decimal(18,3)) as median from ev")
+def recurring_group_median(spark, d):
+    return W.with_group_median(events(spark, d)).select("id", "median")
+
+
 @query(f"with {STATS} select card_id, merchant_id, currency, n, median, amount_min, amount_max, last_seen_date, period_days from r")
 def recurring_group_stats(spark, d):
     tx = events(spark, d)
