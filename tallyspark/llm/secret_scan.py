@@ -5,7 +5,9 @@ trigrams that any match of an alternative must contain.  The query is read off t
 expression (``trigram_query``), so it can't drift from it.  The postings of those trigrams
 (trigram, document) are intersected per document, which gives a rule's candidates.  Rules
 without a mandatory trigram scan every document.  Candidates are verified by the expression
-itself: the pieces between its matches and the matches give the spans.
+itself: the pieces between its matches and the matches give the spans.  Texts stay where they are
+read: the candidates, some numbers each, are written and counted, and broadcast up to ``FEW`` of
+them.  Beyond, a bitmap of bounded size tells which texts may be candidates, and those travel.
 
 Rules are looked up in folded text, as letters of some match in either case.  The base kinds are
 assign, access and hex; more rules add kinds of their own after them.  Null texts are empty and
@@ -23,6 +25,10 @@ from re import _parser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
+#: So many candidates are broadcast at most; bits of the bitmap beyond, as 4 KB rows of it.
+FEW, BITS = 1 << 20, 1 << 27
 #: Stands for any string in a form; most forms of an expression, and most letters of a set that are told apart.
 GAP, FORMS, LETTERS = "\0", 64, 16
 
@@ -112,13 +118,13 @@ def postings(rows: DataFrame, rules=RULES) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
-    """row, kinds: the rules whose query a row's postings satisfy."""
+    """row, kinds: the numbers of the rules whose query a row's postings satisfy."""
     held = index.groupBy("row").agg(F.collect_set("trigram").alias("have"))
     kinds = []
-    for r in rules:
+    for number, r in enumerate(rules):
         if ors := r.query():
             met = [F.size(F.array_intersect("have", F.array(*map(F.lit, sorted(q))))) == len(q) for q in ors]
-            kinds.append(F.when(reduce(lambda a, b: a | b, met), F.lit(r.kind)))
+            kinds.append(F.when(reduce(lambda a, b: a | b, met), F.lit(number)))
     return held.select("row", F.filter(F.array(*kinds), lambda k: k.isNotNull()).alias("kinds")).where(F.size("kinds") > 0)
 
 
@@ -141,19 +147,33 @@ def _spans(rule: Rule, number: int, text):
     return F.aggregate(steps, first, add, lambda a: a["spans"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+def met(rows: DataFrame, hits: DataFrame, few: int = FEW) -> DataFrame:
+    """rows(row, ...) with the kinds of hits(row, kinds), null for rows that are no candidates."""
+    if hits.count() <= few:
+        return rows.join(F.broadcast(hits), "row", "left")
+    bit = F.pmod("row", F.lit(BITS))
+    bucket, place = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+    # at most BITS / 2^15 + 1 rows of 4 KB
+    bitmap = hits.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    asked = rows.withColumn("bucket", bucket).join(F.broadcast(bitmap), "bucket", "left")
+    told = asked.withColumn("may", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+    home = told.where("not may").select(*rows.columns, F.lit(None).cast(hits.schema["kinds"].dataType).alias("kinds"))
+    return home.unionByName(told.where("may").select(*rows.columns).join(hits, "row", "left"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, few: int = FEW) -> DataFrame:
     """id_col and found: array of (start, number of the rule, end) by start and rule, a row for each row of docs.
 
     Rows meet their candidacy by id and text hash; where both are equal, so is the candidacy.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("id", "text"))
-    hits = candidates(postings(rows, rules), rules)
-    both = rows.join(hits, "row", "left")
+    both = met(rows, written(candidates(postings(rows, rules), rules)), few)
     parts = []
     empty = F.expr("cast(array() as array<struct<start:int, number:int, end:int>>)")
     for number, rule in enumerate(rules):
-        may = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) if rule.query() else F.col("text").rlike(SCAN.get(rule.kind, rule.regex))
+        may = F.coalesce(F.array_contains("kinds", number), F.lit(False)) if rule.query() else F.col("text").rlike(SCAN.get(rule.kind, rule.regex))
         parts.append(F.when(may, _spans(rule, number, F.col("text"))).otherwise(empty))
     return both.select(F.col("id").alias(id_col), F.array_sort(F.concat(*parts)).alias("found"))
 
@@ -163,9 +183,9 @@ def joined(found, rules=RULES):
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", names[s["number"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, few: int = FEW) -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans."""
-    found = scan(docs, id_col, text_col, rules)
+    found = scan(docs, id_col, text_col, rules, few)
     base = F.filter("found", lambda s: s["number"] < len(BASE))
 
     def count(k):

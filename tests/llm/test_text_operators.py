@@ -408,7 +408,8 @@ def test_trigram_queries_follow_from_expressions():
     assert q("(abc)*") == q("ab") == q("(abc|x)") == () and q("(?:abc)+d") == (frozenset({"abc"}),) and q("abcd?") == (frozenset({"abc"}),)
 
 
-def test_candidates_lose_no_match_of_any_rule(spark):
+@pytest.mark.parametrize("few", [secret_scan.FEW, 0])
+def test_candidates_lose_no_match_of_any_rule(spark, few):
     r = random.Random(4)
     letters, token = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", lambda n: "".join(r.choice(letters) for _ in range(n))
     made = {
@@ -420,7 +421,7 @@ def test_candidates_lose_no_match_of_any_rule(spark):
     texts = [" ".join(r.choice([token(4), "é", f()]) for _ in range(6) for f in [r.choice(list(made.values()))]) for _ in range(300)]
     texts += [f() for f in made.values() for _ in range(10)] + ["x " * 100_000 + made["jwt"]()]
     rows = [*enumerate(texts), (3, texts[3]), (None, texts[4]), (5, texts[6])]
-    got = sorted((str(x.doc_id), x.spans) for x in secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kinds", F.lit(1))).collect())
+    got = sorted((str(x.doc_id), x.spans) for x in secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kinds", F.lit(1)), few=few).collect())
 
     def spans(t):
         found = []
