@@ -52,7 +52,7 @@ def test_a_bad_record_is_an_error_among_good_ones(spark):
     bad = sorted((r.offset, r.error) for r in rows if r.error)
     assert [o for o, _ in bad] == sorted([len(good[0]), len(good[0]), len(good[0]) + len(broken) + len(good[2]) + 16]) and any("digest" in e for _, e in bad) and any("ends within" in e for _, e in bad)
     assert {r.payload for r in rows if r.error} == {None}
-    with pytest.raises(Exception, match="digest|gzip"):
+    with pytest.raises(Exception, match="digest|gzip|ends within"):  # whichever task fails first
         warc.read_archives(table, strict=True).collect()
     assert [r["payload"] for r in warc.records(good[0] + b"\0" * 5 + good[1])] == [b"payload 0", b"payload 1"]
     assert zlib.decompress(good[0], 31).startswith(b"WARC/1.0")
