@@ -155,10 +155,16 @@ def alias_key(c: Column) -> Column:
 def strip_fence(c: Column) -> Column:
     """The inside of a Markdown code fence without its outer blanks, or the text itself."""
     blanks = F.lit(" \t\n\x0b\x0c\r")
-    text = F.btrim(c, blanks)
-    inside = F.substring(text, F.lit(4), F.length(text) - 6)
-    untagged = F.when(inside.startswith("json") | inside.startswith("JSON"), F.substring(inside, F.lit(5), F.length(inside))).otherwise(inside)
-    return F.when(text.startswith("```") & text.endswith("```") & (F.length(text) >= 6), F.btrim(untagged, blanks)).otherwise(c)
+    untagged = lambda t: F.when(t.startswith("json") | t.startswith("JSON"), F.substring(t, F.lit(5), F.length(t))).otherwise(t)
+    inside = lambda t: F.btrim(_once(F.substring(t, F.lit(4), F.length(t) - 6), untagged), blanks)
+    fenced = lambda t: F.when(t.startswith("```") & t.endswith("```") & (F.length(t) >= 6), inside(t))
+    # most texts have no fence, and null is not one
+    return F.when(c.contains("```"), F.coalesce(_once(F.btrim(c, blanks), fenced), c)).otherwise(c)
+
+
+def _once(c: Column, f) -> Column:
+    """f of c, which is evaluated once however often f reads it."""
+    return F.transform(F.array(c), f)[0]
 
 
 def reply_content(envelope: Column, body: Column) -> Column:

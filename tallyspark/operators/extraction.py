@@ -1,5 +1,7 @@
 """From model replies to rows: parsing, checking, merging of chunks, and statements that are new."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -11,14 +13,40 @@ from ..sources.model import EXTRACTION, ROWS
 LENGTHS = {"date": (1, 10), "description": (1, 500), "amount": (1, 64), "currency": (3, 3), "category": (0, 50), "installment_value": (0, 64)}
 
 
+def plain_shape(schema: str) -> str:
+    """A pattern of JSON objects with keys of the schema alone, on every level; it tells no others from text that is no JSON.
+
+    Its loops are possessive, so it runs in one pass and without recursion.
+    """
+    text, scalar = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"[-+.\w]++"
+
+    def of(kind):
+        if isinstance(kind, StructType):
+            fields = "|".join(rf'"{f.name}"\s*+:\s*+{of(f.dataType)}' for f in kind.fields)
+            return rf"(?:\{{(?:[\s,]*+(?:{fields}))*+\s*+\}}|null)"
+        if isinstance(kind, ArrayType):
+            return rf"(?:\[(?:[\s,]*+{of(kind.elementType)})*+\s*+\]|null)"
+        return rf"(?:{text}|{scalar})"
+
+    return rf"^\s*+{of(_struct(schema))}\s*+$"
+
+
+def _struct(schema: str) -> StructType:
+    return StructType.fromDDL(schema.removeprefix("struct<").removesuffix(">"))
+
+
 def parse_replies(payloads: DataFrame) -> DataFrame:
     """doc_id, chunk_idx, reply (null where it can't be parsed), extra (keys on any level that no reply has), error.
 
-    The envelope and its content are parsed once each to VARIANT, so keys are seen before a schema drops them.
+    The envelope is parsed to VARIANT, and so is its content unless its shape shows that it has the schema's keys alone:
+    keys are seen before a schema drops them.  Steps that are read more than once have columns of their own, as an
+    expression within another one is evaluated as often as it is written there.
     """
-    opened = payloads.withColumn("_envelope", F.try_parse_json(F.col("body")))
-    inside = opened.withColumn("_content", strip_fence(reply_content(F.col("_envelope"), F.col("body"))))
-    parsed = inside.withColumn("_r", F.from_json("_content", EXTRACTION)).withColumn("_all", F.try_parse_json(F.col("_content")))
+    opened = payloads.withColumn("_envelope", F.try_parse_json(F.col("body"))).withColumn("_text", reply_content(F.col("_envelope"), F.col("body")))
+    inside = opened.withColumn("_content", strip_fence(F.col("_text")))
+    content = F.col("_content")
+    variant = F.when(content == F.col("body"), F.col("_envelope")).otherwise(F.try_parse_json(content))
+    parsed = inside.withColumn("_r", F.from_json("_content", EXTRACTION)).withColumn("_all", F.when(~content.rlike(plain_shape(EXTRACTION)), variant))
     ok = F.col("_r.transactions").isNotNull() | F.col("_r.metadata").isNotNull()
     return parsed.select("doc_id", "chunk_idx", F.when(ok, F.col("_r")).alias("reply"), extra_keys(F.col("_all")).alias("extra"), F.when(~F.coalesce(ok, F.lit(False)), F.lit("no valid reply")).alias("error"))
 
@@ -53,21 +81,31 @@ def violations(reply):
     return F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items())))
 
 
+def unbroken(reply):
+    """Whether a reply breaks no rule, from one pass over its rows."""
+    def fine(t):
+        long = reduce(lambda a, b: a | b, (_length_outside(f, *bounds)(t) for f, bounds in LENGTHS.items()))
+        return ~(long | F.coalesce((t["installment_number"] < 1) | (t["installment_total"] < 1), F.lit(False)))
+
+    return reply["metadata"].isNotNull() & F.coalesce(valid_confidence(reply["confidence"]), F.lit(False)) & F.coalesce(F.forall(reply["transactions"], fine), F.lit(False))
+
+
 def check_replies(parsed: DataFrame) -> DataFrame:
     """parsed with cleaned replies; one that breaks a rule after that, or has keys of its own, is null and its error names what it breaks."""
     reply = F.col("reply")
     rows = F.coalesce(clean_rows(reply), F.array().cast(ROWS))
     clean = F.when(reply.isNotNull(), F.struct(rows.alias("transactions"), clean_metadata(reply).alias("metadata"), reply["confidence"].alias("confidence"), reply["notes"].alias("notes")))
     c = parsed.withColumn("reply", clean)
-    broken = F.when(F.col("reply").isNotNull(), F.concat_ws(", ", F.array_union(violations(F.col("reply")), F.transform("extra", lambda k: F.concat(F.lit("extra "), k)))))
-    c = c.withColumn("_broken", broken)
+    names = F.concat_ws(", ", F.array_union(violations(F.col("reply")), F.transform("extra", lambda k: F.concat(F.lit("extra "), k))))
+    # rules are named only where one is broken
+    c = c.withColumn("_broken", F.when(F.col("reply").isNotNull(), F.when((F.size("extra") == 0) & unbroken(F.col("reply")), "").otherwise(names)))
     valid = F.col("_broken") == ""
     return c.withColumn("error", F.when(F.col("_broken") != "", error_text(F.lit("ValidationError"), F.col("_broken"))).otherwise(F.col("error"))).withColumn("reply", F.when(valid, F.col("reply"))).drop("_broken")
 
 
 def extra_keys(reply, schema: str = EXTRACTION):
     """Keys of a VARIANT reply that the schema does not have, as a, metadata.a or transactions.a, each once."""
-    top = StructType.fromDDL(schema.removeprefix("struct<").removesuffix(">"))
+    top = _struct(schema)
     none = F.expr("cast(array() as array<string>)")
 
     def beyond(keys, fields, prefix=""):
@@ -107,10 +145,14 @@ def extracted_rows(parsed: DataFrame) -> DataFrame:
 
 
 def typed_rows(rows: DataFrame, default_currency: str = "CLP", expected=None) -> DataFrame:
-    """Rows with parsed date, amount and value of an instalment, and row_error where one fails or the currency isn't the expected column's."""
+    """Rows with parsed date, amount and value of an instalment, and row_error where one fails or the currency isn't the expected column's.
+
+    What is parsed comes out of a generator of one row, so a test of it is not put below the parsing, which then ran twice.
+    """
     currency = F.coalesce("currency", F.lit(default_currency))
     value = F.col("installment_value") if "installment_value" in rows.columns else F.lit(None).cast("string")
-    out = rows.withColumn("parsed_date", parse_date(F.col("date"))).withColumn("parsed_amount", parse_amount(F.col("amount"), currency)).withColumn("parsed_value", parse_amount(nonblank(value), currency))
+    parsed = F.struct(parse_date(F.col("date")).alias("parsed_date"), parse_amount(F.col("amount"), currency).alias("parsed_amount"), parse_amount(nonblank(value), currency).alias("parsed_value"))
+    out = rows.select("*", F.inline_outer(F.array(parsed)))
     other = F.lit(False) if expected is None else ~F.coalesce(currency == expected, F.lit(False))
     bad = F.when(other, error_text(F.lit("CurrencyError"), currency)).when(F.col("parsed_date").isNull(), error_text(F.lit("DateError"), F.coalesce("date", F.lit(""))))
     bad = bad.when(F.col("parsed_amount").isNull(), error_text(F.lit("AmountError"), F.coalesce("amount", F.lit("")))).when(nonblank(value).isNotNull() & F.col("parsed_value").isNull(), error_text(F.lit("AmountError"), value))

@@ -1,7 +1,7 @@
 """Ingest: from replies about statement files to statements and postings, with the cards, aliases and merchants they make."""
 
-from dataclasses import dataclass
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,18 +16,6 @@ from ..sources.staging import staged
 DATES = ("period_start", "period_end", "statement_date")
 
 
-@dataclass(frozen=True)
-class Ingested:
-    """statements, cards, aliases and merchants after the run, the run's own postings, and rejected (doc_id, error) files, which leave no statement."""
-
-    statements: DataFrame
-    transactions: DataFrame
-    cards: DataFrame
-    aliases: DataFrame
-    merchants: DataFrame
-    rejected: DataFrame
-
-
 def read_headers(merged: DataFrame, files: DataFrame, as_of: date) -> DataFrame:
     """files(doc_id, bank_id, file_path, file_hash, variant) with what their replies say of the statement, and an error.
 
@@ -48,40 +36,89 @@ def read_headers(merged: DataFrame, files: DataFrame, as_of: date) -> DataFrame:
     )
 
 
+class Ingested:
+    """statements, cards, aliases and merchants after the run, the run's own postings, and rejected (doc_id, error) files, which leave no statement.
+
+    Each is worked out when it is asked for.  Replies, headers and rows are written once each, by the first that needs them, as several of the tables read them.
+    """
+
+    def __init__(self, payloads: DataFrame, files: DataFrame, statements: DataFrame, cards: DataFrame, aliases: DataFrame, merchants: DataFrame, categories: DataFrame, as_of: date):
+        self._payloads, self._files, self._as_of, self._categories = payloads, files, as_of, categories
+        self._old = {"statements": statements, "cards": cards, "aliases": aliases, "merchants": merchants}
+
+    @cached_property
+    def _checked(self) -> DataFrame:
+        return staged(check_replies(parse_replies(self._payloads)).select("doc_id", "chunk_idx", "reply"))
+
+    @cached_property
+    def _headers(self) -> DataFrame:
+        return staged(read_headers(merge_chunks(self._checked), self._files, self._as_of))
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        return self._headers.where("error is not null").select("doc_id", "error")
+
+    @cached_property
+    def cards(self) -> DataFrame:
+        return get_or_create_cards(self._old["cards"], self._headers.where("error is null"))
+
+    @cached_property
+    def _fresh(self) -> DataFrame:
+        key = ["bank_id", "card_number_masked", "cardholder"]
+        owned = self._headers.where("error is null").join(self.cards.groupBy(*key).agg(F.min("id").alias("credit_card_id")), key)
+        first = Window.partitionBy("credit_card_id", "file_hash").orderBy("doc_id")
+        fresh = new_statements(owned.withColumn("_n", F.row_number().over(first)).where("_n = 1"), self._old["statements"])
+        return staged(fresh.withColumn("statement_id", surrogate_key("credit_card_id", "file_hash")))
+
+    @cached_property
+    def _typed(self) -> DataFrame:
+        rows = dedupe_extracted(extracted_rows(self._checked)).join(self._fresh.select("doc_id", "statement_id", F.col("currency").alias("expected")), "doc_id")
+        return staged(typed_rows(rows, expected=F.col("expected")))
+
+    @cached_property
+    def _errors(self) -> DataFrame:
+        return self._typed.groupBy("statement_id").agg(F.max("row_error").alias("error_message"))
+
+    @cached_property
+    def statements(self) -> DataFrame:
+        ended = self._fresh.join(self._errors, "statement_id", "left")
+        status = F.when(F.col("error_message").isNull(), "completed").otherwise("failed")
+        made = ended.select(F.col("statement_id").alias("id"), "credit_card_id", *DATES, "file_path", "file_hash", status.alias("status"), "error_message")
+        return self._old["statements"].unionByName(made)
+
+    @cached_property
+    def _resolved(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        kept = self._typed.join(self._errors.where("error_message is null").select("statement_id"), "statement_id", "left_semi")
+        return resolve_merchants(kept.withColumn("category", nonblank(F.col("category"))), self._old["aliases"], self._old["merchants"], self._categories)
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        return self._resolved[1]
+
+    @cached_property
+    def merchants(self) -> DataFrame:
+        return self._resolved[2]
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        named, _, after_merchants = self._resolved
+        defaults = after_merchants.select(F.col("id").alias("merchant_id"), "default_category_id")
+        full = resolve_categories(named, self._categories).join(defaults, "merchant_id", "left")
+        known = F.col("alias_hit") | F.col("merchant_id").isNull()
+        return full.select(
+            surrogate_key("statement_id", "chunk_idx", "pos").alias("id"), "statement_id", F.col("parsed_date").alias("date"), "description", F.col("parsed_amount").alias("amount"), F.col("expected").alias("currency"), F.col("category_label").alias("category"), "category_id",
+            low_confidence(F.col("category_id").isNotNull(), known, F.col("default_category_id")).alias("low_confidence"), "merchant_id", "installment_number", "installment_total", F.col("parsed_value").alias("installment_value"),
+            F.lit(None).cast("string").alias("recurring_rule_id"), F.to_json(F.struct("date", "description", "amount", "currency", "category")).alias("raw_json"),
+        )
+
+
 def ingest(payloads: DataFrame, files: DataFrame, statements: DataFrame, cards: DataFrame, aliases: DataFrame, merchants: DataFrame, categories: DataFrame, as_of: date) -> Ingested:
     """The ledger after files whose chunks were answered by payloads(doc_id, chunk_idx, body).
 
     A chunk whose reply breaks a rule counts as failed.  A card takes a file once, whatever became of it: of equal files
-    the least doc_id.  Replies, headers and rows are written once each, as several of the tables read them.  One bad posting fails its statement, which then keeps its error and no posting, and makes no merchant.
+    the least doc_id.  One bad posting fails its statement, which then keeps its error and no posting, and makes no merchant.
     """
-    checked = staged(check_replies(parse_replies(payloads)))
-    headers = staged(read_headers(merge_chunks(checked), files, as_of))
-    good = headers.where("error is null")
-    after_cards = get_or_create_cards(cards, good)
-    key = ["bank_id", "card_number_masked", "cardholder"]
-    owned = good.join(after_cards.groupBy(*key).agg(F.min("id").alias("credit_card_id")), key)
-    first = Window.partitionBy("credit_card_id", "file_hash").orderBy("doc_id")
-    fresh = new_statements(owned.withColumn("_n", F.row_number().over(first)).where("_n = 1"), statements)
-    fresh = staged(fresh.withColumn("statement_id", surrogate_key("credit_card_id", "file_hash")))
-
-    rows = dedupe_extracted(extracted_rows(checked)).join(fresh.select("doc_id", "statement_id", F.col("currency").alias("expected")), "doc_id")
-    typed = staged(typed_rows(rows, expected=F.col("expected")))
-    errors = typed.groupBy("statement_id").agg(F.max("row_error").alias("error_message"))
-    ended = fresh.join(errors, "statement_id", "left")
-    status = F.when(F.col("error_message").isNull(), "completed").otherwise("failed")
-    made = ended.select(F.col("statement_id").alias("id"), "credit_card_id", *DATES, "file_path", "file_hash", status.alias("status"), "error_message")
-
-    kept = typed.join(errors.where("error_message is null").select("statement_id"), "statement_id", "left_semi")
-    named, after_aliases, after_merchants = resolve_merchants(kept.withColumn("category", nonblank(F.col("category"))), aliases, merchants, categories)
-    defaults = after_merchants.select(F.col("id").alias("merchant_id"), "default_category_id")
-    full = resolve_categories(named, categories).join(defaults, "merchant_id", "left")
-    known = F.col("alias_hit") | F.col("merchant_id").isNull()
-    tx = full.select(
-        surrogate_key("statement_id", "chunk_idx", "pos").alias("id"), "statement_id", F.col("parsed_date").alias("date"), "description", F.col("parsed_amount").alias("amount"), F.col("expected").alias("currency"), F.col("category_label").alias("category"), "category_id",
-        low_confidence(F.col("category_id").isNotNull(), known, F.col("default_category_id")).alias("low_confidence"), "merchant_id", "installment_number", "installment_total", F.col("parsed_value").alias("installment_value"),
-        F.lit(None).cast("string").alias("recurring_rule_id"), F.to_json(F.struct("date", "description", "amount", "currency", "category")).alias("raw_json"),
-    )
-    return Ingested(statements.unionByName(made), tx, after_cards, after_aliases, after_merchants, headers.where("error is not null").select("doc_id", "error"))
+    return Ingested(payloads, files, statements, cards, aliases, merchants, categories, as_of)
 
 
 def ingest_into(ledger: Snapshots, payloads: DataFrame, files: DataFrame, categories: DataFrame, as_of: date, refused: DataFrame | None = None, run: tuple[str, int] | None = None) -> int:

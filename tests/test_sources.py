@@ -97,3 +97,34 @@ def test_overview_equals_separate_answers(spark):
         assert {(r.currency, r.total, r.txn_count) for r in got if r.kind == "currency"} == {tuple(r) for r in totals_by_currency(own).collect()}
     text = plan(overview(tx, Selection(date(2026, 4, 1)), cats, merchants))
     assert text.count("Expand") == 1 and text.count("statement_id") <= 1
+
+
+def test_only_plain_replies_are_spared_a_look_at_their_keys(spark):
+    """Text that the pattern takes has no keys of its own; a fence's inside and a row's parsed fields are written once in the plan."""
+    row = '{"date":"d \\\\"x\\\\": 1","amount":"}","installment_number":1}'
+    plain_ = ["{}", '{"transactions":[],"notes":"a \\\\"mood\\\\":1 }"}', '{ "transactions" : [ %s , %s ],\n"metadata":{"currency":null},"confidence":-1.5e3}' % (row, row), '{"metadata":null,"transactions":null}', '{"metadata":{},"metadata":{}}']
+    other = ['{"date":1}', '{"metadata":{"date":1}}', '{"transactions":[{"metadata":"x"}]}', '{"transactions":[{"date":{"a":1}}]}', '{"notes":["q"]}', '{"tr\\\\u0061nsactions":[]}', '{"Notes":"a"}', "{}x", "[]", "", '{"notes":"a}', '{"mood":1,"notes":"x"}']
+    long = '{"transactions":[' + ",".join([row] * 20_000) + "]}"
+    texts = [x.replace("\\\\", "\\") for x in [*plain_, *other, long]]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").rlike(X.plain_shape(X.EXTRACTION)).alias("p"), F.size(X.extra_keys(F.try_parse_json("t"))).alias("n")).collect()
+    assert [r.p for r in got] == [True] * len(plain_) + [False] * len(other) + [True] and not any(r.n for r in got if r.p)
+    p = spark.createDataFrame([("a", 0, texts[2])], model.PAYLOADS)
+    assert plan(X.parse_replies(p)).count("$.choices[0].content") == 1
+    typed = X.typed_rows(spark.createDataFrame([("01/02/2026", "1", "CLP"), ("x", "1", "CLP")], "date string, amount string, currency string"))
+    assert typed.where("row_error is null").count() == 1
+    times = [plan(df.select("parsed_date")).count("yyyy-MM-dd") for df in (typed, typed.where("row_error is null"))]
+    assert times[0] == times[1]
+
+
+def test_rejected_files_need_no_rows(spark, monkeypatch):
+    """Replies and headers are written for them, not the rows of files that are taken."""
+    from tallyspark.plans import ingest as I
+
+    wrote = []
+    monkeypatch.setattr(I, "staged", lambda df: wrote.append(df.columns) or df)
+    p = spark.createDataFrame([("a", 0, "{"), ("b", 0, '{"transactions":[],"metadata":{"currency":"CLP"},"confidence":1}')], model.PAYLOADS)
+    files = spark.createDataFrame([(d, 1, d, d, "NACIONAL") for d in "ab"], "doc_id string, bank_id long, file_path string, file_hash string, variant string")
+    none = {"cards": "id string, bank_id long, card_number_masked string, cardholder string, currency string, is_active boolean", "aliases": "id string, merchant_id string, alias_text string, normalized string, source string, confidence double", "merchants": "id string, name string, default_category_id string, is_active boolean"}
+    out = I.ingest(p, files, spark.createDataFrame([], model.STATEMENTS), *(spark.createDataFrame([], t) for t in none.values()), model.seed_categories(spark), date(2026, 3, 5))
+    assert [r.doc_id for r in out.rejected.collect()] == ["a"] and len(wrote) == 2
+    assert out.rejected is out.rejected and out.statements.count() == 1 and len(wrote) == 4
