@@ -181,7 +181,8 @@ def _magnitude(amount):
 def recurring_in_period(tx: DataFrame, rules: DataFrame, period: date) -> DataFrame:
     """Active rules of merchants and currencies with a posting in the month near some rule's amounts.
 
-    Postings meet rules by merchant, currency and magnitude, each amount once, so a busy merchant is not one group.
+    Postings are ordered with the rules' lower bounds within merchant, currency and magnitude, each value once: one is near some
+    rule if the highest upper bound that starts up to it reaches it.  So no pair of posting and rule is made.
     """
     start, end = month_bounds(period)
     r = active(rules)
@@ -192,7 +193,12 @@ def recurring_in_period(tx: DataFrame, rules: DataFrame, period: date) -> DataFr
     # one more at either end than rounding can need
     sizes = F.when(F.col("high") > 0, F.sequence(_magnitude(F.greatest("low", F.lit(0.01))) - 1, _magnitude(F.col("high")) + 1)).otherwise(none)
     near = near.where("low <= high").withColumn("_size", F.explode(F.concat(sizes, F.when(F.col("low") <= 0, F.array(F.lit(NONE))).otherwise(none))))
-    pairs = near.join(rows, ["merchant_id", "currency", "_size"]).where("amount between low and high").select("merchant_id", "currency").distinct()
+    group = ["merchant_id", "currency", "_size"]
+    starts = near.groupBy(*group, "low").agg(F.max("high").alias("high")).withColumn("_posting", F.lit(False))
+    points = rows.select(*group, F.col("amount").alias("low"), F.lit(None).alias("high"), F.lit(True).alias("_posting"))
+    # of equal values the bound comes first
+    reach = F.max("high").over(Window.partitionBy(*group).orderBy("low", "_posting").rowsBetween(Window.unboundedPreceding, 0))
+    pairs = starts.unionByName(points).withColumn("_reach", reach).where("_posting and low <= _reach").select("merchant_id", "currency").distinct()
     return list_rules(r.join(pairs, ["merchant_id", "currency"], "left_semi"))
 
 
