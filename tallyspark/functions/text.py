@@ -4,9 +4,10 @@ from functools import reduce
 from unicodedata import combining, normalize
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def _folds() -> dict[str, str]:
@@ -27,6 +28,10 @@ HEADERS = ("ESTADO DE CUENTA NACIONAL", "ESTADO DE CUENTA EN MONEDA NACIONAL", "
 SECTION_MARKS = ("INFORMACIÓN DE TRANSACCIONES", "PERÍODO ACTUAL", "DETALLE DE OPERACIONES", "DETALLE", "TRANSACCIONES")
 
 
+#: Chunks of a document that Python hands on at once.
+CHUNKS = 1000
+
+
 def fold_accents(c: Column) -> Column:
     """c with letters for their accented, joined or full-width forms; other scripts stay."""
     x = F.translate(c, ACCENTED + MARKS, "".join(FOLDS[a] for a in ACCENTED))
@@ -127,12 +132,22 @@ def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 return out
             at = max(end - overlap, at + 1)
 
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(cut)
-
     text = F.col(text_col) if variant is None else strip_other_variant(F.col(text_col), variant)
-    return docs.select(F.col(id_col), F.posexplode(chunks(text)).alias("chunk_idx", "chunk"))
+    rows = docs.select(F.col(id_col), text.alias("_text"))
+    key = rows.schema[0]
+    out = StructType([key, StructField("chunk_idx", IntegerType()), StructField("chunk", StringType())])
+
+    def chunks(batches):
+        for batch in batches:
+            # a document at a time, so Python never holds the chunks of a whole batch
+            for i in range(batch.num_rows):
+                cuts = cut(batch.column(1)[i].as_py())
+                for at in range(0, len(cuts), CHUNKS):
+                    part = cuts[at : at + CHUNKS]
+                    ids = batch.column(0).take(pa.array([i] * len(part)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(range(at, at + len(part)), pa.int32()), pa.array(part, pa.string())], names=out.names)
+
+    return rows.mapInArrow(chunks, out)
 
 
 def completeness(meta: Column, fields=("card_number_masked", "cardholder", "currency", "period_start", "period_end", "statement_date")) -> Column:

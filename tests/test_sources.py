@@ -128,3 +128,13 @@ def test_rejected_files_need_no_rows(spark, monkeypatch):
     out = I.ingest(p, files, spark.createDataFrame([], model.STATEMENTS), *(spark.createDataFrame([], t) for t in none.values()), model.seed_categories(spark), date(2026, 3, 5))
     assert [r.doc_id for r in out.rejected.collect()] == ["a"] and len(wrote) == 2
     assert out.rejected is out.rejected and out.statements.count() == 1 and len(wrote) == 4
+
+
+def test_chunks_leave_python_a_document_at_a_time(spark):
+    """No array of a whole document's chunks, whatever their number; nulls have none."""
+    docs = spark.createDataFrame([(1, "ab\n" * 1500), (2, None), (3, "")], "k long, t string")
+    df = T.chunk_text(docs, "k", "t", size=4, overlap=1)
+    got = sorted((r.k, r.chunk_idx, r.chunk) for r in df.collect())
+    assert [x[:2] for x in got] == [*((1, i) for i in range(len(got) - 1)), (3, 0)] and len(got) > T.CHUNKS
+    assert "".join([got[0][2], *(x[2][1:] for x in got[1:-1])]) == "ab\n" * 1500
+    assert "MapInArrow" in plan(df) and "ArrowEvalPython" not in plan(df)
