@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.period import month_bounds
 from ..functions.text import classify_period, surrogate_key
+from ..sources.staging import staged
 from .filters import active, by_month, list_rules
 from .windows import GROUP
 
@@ -34,15 +35,21 @@ def in_band(amount, median):
 def recurring_group_stats(scan: DataFrame, group=GROUP) -> DataFrame:
     """Groups of card, merchant and currency that recur: count, median of all, bounds and last day of those in band, days between.
 
-    Postings are counted by day and amount first, and those in band by day before their gaps are taken, so a window sees
-    a group's days and not its rows.
+    Postings are counted by day and amount first and ranked by amount within their group, where all that follows stays: one
+    shuffle for the counts and one for the groups.  Those in band are counted by day before their gaps are taken.
     """
-    counted = scan.groupBy(*group, "date", "amount").agg(F.count("*").alias("_n"))
-    # merged from counted values; a group has the amounts of some months only
-    middle = counted.groupBy(*(F.col(c).alias(f"_{c}") for c in group)).agg(F.percentile("amount", 0.5, F.col("_n")).cast("decimal(18,3)").alias("median"))
-    banded = counted.join(middle, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]).drop(*(f"_{c}" for c in group)).where(in_band(F.col("amount"), F.col("median")))
+    counted = scan.where("amount is not null").groupBy(*group, "date", "amount").agg(F.count("*").alias("_n"))
+    ranks = Window.partitionBy(*group).orderBy("amount")
+    whole = ranks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = counted.withColumn("_up_to", F.sum("_n").over(ranks.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(whole)).where(F.col("_all") >= LEAST)
+    # the smallest amount up to which there are so many
+    at = lambda place: F.min(F.when(F.col("_up_to") >= place, F.col("amount"))).over(whole)
+    middle = ((at(F.floor((F.col("_all") + 1) / 2)) + at(F.floor(F.col("_all") / 2) + 1)) / 2).cast("decimal(18,3)")
+    banded = ranked.withColumn("median", middle).where(in_band(F.col("amount"), F.col("median")))
     days = banded.groupBy(*group, "date").agg(F.sum("_n").alias("_n"), F.max("median").alias("median"), F.min("amount").alias("_low"), F.max("amount").alias("_high"))
-    days = days.withColumn("_days", F.datediff("date", F.lag("date").over(Window.partitionBy(*group).orderBy("date"))))
+    order = Window.partitionBy(*group).orderBy("date")
+    days = days.withColumn("_days", F.datediff("date", F.lag("date").over(order))).withColumn("_in", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    days = days.where(F.col("_in") >= LEAST)
     # one gap to the day before, and gaps of nothing between postings of one day: as many as its postings
     gaps = days.withColumn("_gap", F.explode(F.array(F.struct(F.col("_days").alias("days"), F.lit(1).cast("long").alias("times")), F.struct(F.lit(0).alias("days"), (F.col("_n") - 1).alias("times")))))
     stats = gaps.groupBy(*group).agg(
@@ -132,9 +139,11 @@ def replay(tx: DataFrame, statements: DataFrame, rules: DataFrame, arrived: Data
     A rule met for the first time counts the postings in band; later ones add the postings of the statement that are
     not yet linked to it, so a second run over linked postings adds nothing.  The last statement gives day and
     confidence.  A statement's postings within a detection's bounds are linked to its rule, instalments too.
+
+    What the detections find is written once, to the shared folder: rules and links read it several times.
     """
     scan = arrival_scans(tx, statements, statements if arrived is None else arrived)
-    return after_detections(arrival_stats(scan), tx, rules)
+    return after_detections(staged(arrival_stats(scan)), tx, rules)
 
 
 def arrival_stats(scan: DataFrame) -> DataFrame:
