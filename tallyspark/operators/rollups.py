@@ -2,7 +2,7 @@
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.period import validate
@@ -113,11 +113,10 @@ def monthly(tx: DataFrame, months: int, as_of: date) -> DataFrame:
 
 def monthly_window(tx: DataFrame, start: date, end: date) -> DataFrame:
     """One aggregation over the window's rows, laid on a spine of its months."""
+    from .windows import prev_pct
+
     series = monthly_totals(tx.where(F.col("date").between(F.trunc(F.lit(start), "MM"), F.last_day(F.lit(end)))))
     axis = spine(tx.sparkSession, start, end)
-    dense = axis.crossJoin(F.broadcast(series.select("currency").distinct())).join(series, ["month", "currency"], "left")
-    w = Window.partitionBy("currency").orderBy("month")
-    before = F.lag("total").over(w)
-    change = F.when(before != 0, F.round(((F.col("total") - before) / before * 100).cast("double"), 1))
-    held = dense.withColumn("prev_pct", change).where("total is not null")
+    before = F.date_format(F.add_months(F.to_date("month", "yyyy-MM"), -1), "yyyy-MM")
+    held = prev_pct(series, "month", before, "month").where("currency is not null and total is not null")
     return axis.join(held, "month", "left").orderBy("month", "currency")

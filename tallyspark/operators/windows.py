@@ -7,13 +7,20 @@ GROUP = ("card_id", "merchant_id", "currency")
 
 
 def with_prev_pct(series: DataFrame, month: str = "month") -> DataFrame:
-    """prev_pct: change of total against the series' previous entry, per currency; null where that was nothing.  The first entry has none."""
-    months = series.select(month).distinct()
-    dense = months.crossJoin(F.broadcast(series.where("currency is not null").select("currency").distinct())).join(series, [month, "currency"], "left")
+    """prev_pct: change of total against the series' previous entry, per currency; null where that was nothing.  The first entry has none.
+
+    Months are numbered over all currencies, so a currency's row before it counts only if it is of the month before; the
+    series, one row for each month and currency, is read once.
+    """
+    placed = series.where(F.col(month).isNotNull()).withColumn("_place", F.dense_rank().over(Window.orderBy(month)))
+    return prev_pct(placed, month, F.col("_place") - 1, "_place").drop("_place").where("currency is not null and total is not null")
+
+
+def prev_pct(series: DataFrame, month: str, before, place: str) -> DataFrame:
+    """prev_pct against the row whose place is before, if that is the one ahead in order of month."""
     w = Window.partitionBy("currency").orderBy(month)
-    before = F.lag("total").over(w)
-    change = F.when(before != 0, F.round(((F.col("total") - before) / before * 100).cast("double"), 1))
-    return dense.withColumn("prev_pct", change).where("total is not null")
+    last = F.when(F.lag(place).over(w) == before, F.lag("total").over(w))
+    return series.withColumn("prev_pct", F.when(last != 0, F.round(((F.col("total") - last) / last * 100).cast("double"), 1)))
 
 
 def with_gap_days(tx: DataFrame, group=GROUP) -> DataFrame:

@@ -1,11 +1,13 @@
 """Plans that read and shuffle their rows once, against plain versions."""
 
 import random
+import tempfile
 from datetime import date, timedelta
 from decimal import Decimal as D
 from statistics import median
 
 from tallyspark.operators.recurring import recurring_group_stats, replay
+from tallyspark.operators.rollups import monthly, monthly_window
 from tallyspark.sources import model
 
 GROUP = ("card_id", "merchant_id", "currency")
@@ -44,3 +46,19 @@ def test_replay_detects_once(spark):
     rules, linked = replay(tx, own, spark.createDataFrame([], model.RULES))
     assert all("percentile" not in plan(x) and "Generate" not in plan(x) for x in (rules, linked))
     assert [(x.occurrences, x.period_days) for x in rules.collect()] == [(12, 5)] and linked.where("recurring_rule_id is not null").count() == 10
+
+
+def test_monthly_change_reads_rows_once(spark):
+    """The month before is the series' own, of any currency, or the calendar's in a window."""
+    rows = [("2023-12", "USD", 10), ("2024-01", "USD", 20), ("2024-01", "CLP", 5), ("2024-02", "CLP", 0), ("2024-04", "USD", 30), ("2024-04", "CLP", 7), ("2024-05", None, 1), ("2024-06", "USD", 33), ("2024-07", "USD", None), ("2024-08", "USD", 44), (None, "USD", 9)]
+    tx = spark.createDataFrame([(date.fromisoformat(f"{m}-05") if m else None, c, None if a is None else D(a)) for m, c, a in rows for _ in range(2)], "date date, currency string, amount decimal(15,2)")
+    every, window = monthly(tx, 0, date(2024, 9, 1)), monthly_window(tx, date(2024, 1, 9), date(2024, 9, 1))
+    got = {(x.month, x.currency): (int(x.total), x.prev_pct) for x in every.collect()}
+    want = {("2023-12", "USD"): (20, None), ("2024-01", "USD"): (40, 100.0), ("2024-01", "CLP"): (10, None), ("2024-02", "CLP"): (0, -100.0), ("2024-04", "USD"): (60, None), ("2024-04", "CLP"): (14, None), ("2024-06", "USD"): (66, None), ("2024-08", "USD"): (88, None)}
+    assert got == want
+    held = {(x.month, x.currency): (x.total and int(x.total), x.prev_pct) for x in window.collect()}
+    empty = {(m, None): (None, None) for m in ("2024-03", "2024-05", "2024-07", "2024-09")}
+    assert held == {k: v for k, v in want.items() if k[0] > "2024"} | {("2024-01", "USD"): (40, None)} | empty
+    tx.write.mode("overwrite").parquet(folder := tempfile.mkdtemp(prefix="spark-"))
+    stored = spark.read.parquet(folder)
+    assert plan(monthly(stored, 0, date(2024, 9, 1))).count("FileScan") == 1 == plan(monthly_window(stored, date(2024, 1, 9), date(2024, 9, 1))).count("FileScan")
