@@ -13,7 +13,9 @@ def ledger_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, orders, customer = (_read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     supplier, part = _read(spark, sf_dir, "supplier"), _read(spark, sf_dir, "part")
     amount = F.col("l_extendedprice").cast("decimal(15,2)")
-    tx = line.join(orders, line.l_orderkey == orders.o_orderkey).join(customer, orders.o_custkey == customer.c_custkey)
+    # orders meet their customers first, so that lines are dealt once for both
+    headers = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    tx = line.join(headers, line.l_orderkey == headers.o_orderkey)
     tx = tx.join(supplier, line.l_suppkey == supplier.s_suppkey).join(part, line.l_partkey == part.p_partkey)
     return tx.select(
         F.col("l_orderkey").alias("statement_id"), F.col("o_custkey").alias("card_id"), F.col("c_nationkey").alias("bank_id"), F.to_date("l_shipdate").alias("date"),
