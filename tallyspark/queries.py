@@ -315,8 +315,10 @@ union all select 'merchant', cast(e as varchar), name, currency, total, n, null,
 def series_overview(spark, d):
     """A card's year to date: totals, top category and top merchant from one scan."""
     selection = Selection(date(1998, 12, 1), card=7, mode="ytd")
-    statements = line(spark, d).select(F.col("statement_id").alias("id"), F.col("card_id").alias("credit_card_id")).distinct()
-    return P.overview(line(spark, d).drop("merchant_name"), selection, categories(spark), suppliers(spark, d), statements=statements)
+    # orders are the statements; of the lines only the card's are joined to all they refer to
+    statements = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("credit_card_id"))
+    own = line(spark, d).drop("merchant_name").where(F.col("card_id") == selection.card)
+    return P.overview(own, selection, categories(spark), suppliers(spark, d), statements=statements)
 
 
 @query(OVERVIEW.replace("where card_id = 7", "").replace("date between date '1997-01-01' and date '1998-12-31'", "date <= date '1998-12-31'"))

@@ -1,16 +1,21 @@
 """Plans that read and shuffle their rows once, against plain versions."""
 
+import os
 import random
+import re
 import tempfile
 from datetime import date, timedelta
 from decimal import Decimal as D
 from statistics import median
 
+import pytest
+
 from tallyspark.operators.recurring import recurring_group_stats, replay
 from tallyspark.operators.rollups import monthly, monthly_window
+from tallyspark.queries import QUERIES
 from tallyspark.sources import model
 
-GROUP = ("card_id", "merchant_id", "currency")
+DIR = "/root/testdata/sf0.001"
 
 
 def plan(df) -> str:
@@ -62,3 +67,12 @@ def test_monthly_change_reads_rows_once(spark):
     tx.write.mode("overwrite").parquet(folder := tempfile.mkdtemp(prefix="spark-"))
     stored = spark.read.parquet(folder)
     assert plan(monthly(stored, 0, date(2024, 9, 1))).count("FileScan") == 1 == plan(monthly_window(stored, date(2024, 1, 9), date(2024, 9, 1))).count("FileScan")
+
+
+def test_overview_joins_a_cards_lines_only(spark):
+    if not os.path.isdir(DIR):
+        pytest.skip("no test tables")
+    text = QUERIES["series_overview"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [l_orderkey") == 1
+    # orders are read for the lines and as statements, each for the card alone
+    assert text.count("Relation [o_orderkey") == 2 == len(re.findall(r"o_custkey#\d+L? = 7\)", text))
