@@ -70,10 +70,11 @@ def parse_amount(c: Column, currency: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """A date from DD/MM/YYYY, DD/MM/YY (70 and above in the last century) or YYYY-MM-DD; null if it isn't one."""
-    day, month, year = (F.regexp_extract(c, r"^(\d{2})/(\d{2})/(\d{2}|\d{4})$", k) for k in (1, 2, 3))
-    full = F.when(F.length(year) == 4, year).when(year >= "70", F.concat(F.lit("19"), year)).otherwise(F.concat(F.lit("20"), year))
-    slashed = F.try_to_timestamp(F.concat_ws("-", full, month, day), F.lit("yyyy-MM-dd")).cast("date")
-    return F.when(day != "", slashed).when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).cast("date"))
+    day, month, year, short = (F.substring(c, at, n) for at, n in ((1, 2), (4, 2), (7, 4), (7, 2)))
+    dated = lambda *parts: F.concat_ws("-", *parts).try_cast("date")
+    century = F.when(short >= "70", "19").otherwise("20")
+    slashed = F.when(c.rlike(r"^\d{2}/\d{2}/\d{4}$"), dated(year, month, day)).when(c.rlike(r"^\d{2}/\d{2}/\d{2}$"), dated(F.concat(century, short), month, day))
+    return F.coalesce(slashed, F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}\z"), c.try_cast("date")))
 
 
 def date_status(c: Column) -> Column:

@@ -11,6 +11,9 @@ from ..sources.model import EXTRACTION, ROWS
 
 # How long the fields of a reply's row may be; those from 1 on must be there.
 LENGTHS = {"date": (1, 10), "description": (1, 500), "amount": (1, 64), "currency": (3, 3), "category": (0, 50), "installment_value": (0, 64)}
+#: Characters of a body that a pattern may show to be a reply; longer ones are parsed to VARIANT, which has a limit of its own.
+BARE = 1_000_000
+NONE = "cast(array() as array<string>)"
 
 
 def plain_shape(schema: str) -> str:
@@ -31,6 +34,27 @@ def plain_shape(schema: str) -> str:
     return rf"^\s*+{of(_struct(schema))}\s*+$"
 
 
+def ordered_shape(schema: str) -> str:
+    """A pattern of JSON objects that have keys of the schema alone, on every level each once at most and in its order, the first one always.
+
+    Unlike plain_shape it takes valid JSON only, so what it takes need not be parsed to be known as such; numbers are of 18 digits at most.
+    """
+    ws, hexa = r"[ \t\n\r]*+", "[0-9a-fA-F]"
+    text = rf'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u{hexa}{{4}})[^"\\\x00-\x1f]*+)*+"'
+    scalar = rf"(?:{text}|-?+(?:0|[1-9]\d{{0,17}}+)(?:\.\d{{1,18}}+)?+(?:[eE][-+]?+\d{{1,2}}+)?+|true|false|null)"
+
+    def of(kind, whole=False):
+        if isinstance(kind, StructType):
+            fields = [rf'(?:"{f.name}"{ws}:{ws}{of(f.dataType)}{ws}(?:,{ws}(?=")|(?=\}})))' + ("" if whole and not k else "?+") for k, f in enumerate(kind.fields)]
+            inside = rf"\{{{ws}{''.join(fields)}\}}"
+            return inside if whole else rf"(?:{inside}|null)"
+        if isinstance(kind, ArrayType):
+            return rf"(?:\[{ws}(?:{of(kind.elementType)}{ws}(?:,{ws}(?=[^\]])|(?=\])))*+\]|null)"
+        return scalar
+
+    return rf"^{ws}{of(_struct(schema), True)}{ws}\z"
+
+
 def _struct(schema: str) -> StructType:
     return StructType.fromDDL(schema.removeprefix("struct<").removesuffix(">"))
 
@@ -38,17 +62,19 @@ def _struct(schema: str) -> StructType:
 def parse_replies(payloads: DataFrame) -> DataFrame:
     """doc_id, chunk_idx, reply (null where it can't be parsed), extra (keys on any level that no reply has), error.
 
-    The envelope is parsed to VARIANT, and so is its content unless its shape shows that it has the schema's keys alone:
-    keys are seen before a schema drops them.  Steps that are read more than once have columns of their own, as an
-    expression within another one is evaluated as often as it is written there.
+    A body that is a reply in the schema's order is its own content and has no other keys.  Of others, the envelope is
+    parsed to VARIANT, and so is its content unless its shape shows that it has the schema's keys alone: keys are seen
+    before a schema drops them.  Steps that are read more than once have columns of their own, as an expression within
+    another one is evaluated as often as it is written there.
     """
-    opened = payloads.withColumn("_envelope", F.try_parse_json(F.col("body"))).withColumn("_text", reply_content(F.col("_envelope"), F.col("body")))
-    inside = opened.withColumn("_content", strip_fence(F.col("_text")))
-    content = F.col("_content")
-    variant = F.when(content == F.col("body"), F.col("_envelope")).otherwise(F.try_parse_json(content))
-    parsed = inside.withColumn("_r", F.from_json("_content", EXTRACTION)).withColumn("_all", F.when(~content.rlike(plain_shape(EXTRACTION)), variant))
+    body, content, bare = F.col("body"), F.col("_content"), F.col("_bare")
+    known = payloads.withColumn("_bare", F.coalesce((F.length(body) <= BARE) & body.rlike(ordered_shape(EXTRACTION)), F.lit(False)))
+    opened = known.withColumn("_envelope", F.when(~bare, F.try_parse_json(body))).withColumn("_text", F.when(~bare, reply_content(F.col("_envelope"), body)))
+    inside = opened.withColumn("_content", F.when(bare, body).otherwise(strip_fence(F.col("_text"))))
+    variant = F.when(content == body, F.col("_envelope")).otherwise(F.try_parse_json(content))
+    parsed = inside.withColumn("_r", F.from_json("_content", EXTRACTION)).withColumn("_all", F.when(~bare & ~content.rlike(plain_shape(EXTRACTION)), variant))
     ok = F.col("_r.transactions").isNotNull() | F.col("_r.metadata").isNotNull()
-    return parsed.select("doc_id", "chunk_idx", F.when(ok, F.col("_r")).alias("reply"), extra_keys(F.col("_all")).alias("extra"), F.when(~F.coalesce(ok, F.lit(False)), F.lit("no valid reply")).alias("error"))
+    return parsed.select("doc_id", "chunk_idx", F.when(ok, F.col("_r")).alias("reply"), F.when(F.col("_all").isNotNull(), extra_keys(F.col("_all"))).otherwise(F.expr(NONE)).alias("extra"), F.when(~F.coalesce(ok, F.lit(False)), F.lit("no valid reply")).alias("error"))
 
 
 def clean_rows(reply):
@@ -105,9 +131,7 @@ def check_replies(parsed: DataFrame) -> DataFrame:
 
 def extra_keys(reply, schema: str = EXTRACTION):
     """Keys of a VARIANT reply that the schema does not have, as a, metadata.a or transactions.a, each once."""
-    top = _struct(schema)
-    none = F.expr("cast(array() as array<string>)")
-
+    top, none = _struct(schema), F.expr(NONE)
     def beyond(keys, fields, prefix=""):
         other = F.array_except(F.coalesce(keys, none), F.array(*map(F.lit, fields)))
         return F.transform(other, lambda k: F.concat(F.lit(prefix), k))
@@ -125,14 +149,27 @@ def extra_keys(reply, schema: str = EXTRACTION):
 def merge_chunks(parsed: DataFrame) -> DataFrame:
     """A row for each document: confidence and notes of the first good chunk, the most complete metadata, chunks that went well or not, and an error."""
     ok = F.col("reply").isNotNull()
-    score = F.when(ok, completeness(F.col("reply.metadata"))).otherwise(0)
-    got = parsed.withColumn("_score", score).groupBy("doc_id").agg(
-        F.min_by(F.struct("reply.confidence", "reply.notes"), F.when(ok, F.col("chunk_idx"))).alias("first"),
-        F.max_by("reply.metadata", F.when(F.col("_score") > 0, F.struct("_score", -F.col("chunk_idx")))).alias("metadata"),
-        F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_failed"),
-    )
-    error = F.when(F.col("n_ok") == 0, error_text(F.lit("ExtractionError"), F.lit("all chunks failed"))).when(F.col("metadata").isNull(), error_text(F.lit("ExtractionError"), F.lit("no metadata")))
-    return got.select("doc_id", "first.confidence", "first.notes", "metadata", "n_ok", "n_failed", error.alias("error"))
+    first = F.min_by(F.struct("reply.confidence", "reply.notes"), F.when(ok, F.col("chunk_idx")))
+    got = parsed.withColumn("_chunk", chunk_said()).groupBy("doc_id").agg(first.alias("first"), *(c.alias(n) for n, c in merged_chunks("_chunk").items()))
+    return got.select("doc_id", "first.confidence", "first.notes", "metadata", "n_ok", "n_failed", merge_error().alias("error"))
+
+
+def chunk_said():
+    """What merged_chunks reads of a chunk: ok, metadata and how complete that is."""
+    ok, metadata = F.col("reply").isNotNull(), F.col("reply.metadata")
+    return F.struct(ok.alias("ok"), metadata.alias("metadata"), F.when(ok, completeness(metadata)).otherwise(0).alias("score"))
+
+
+def merged_chunks(chunk: str) -> dict:
+    """Aggregates over a document's chunks, of which each has chunk_said in one row: the most complete metadata, and how many went well or not."""
+    ok, score = F.col(f"{chunk}.ok"), F.col(f"{chunk}.score")
+    best = F.max_by(f"{chunk}.metadata", F.when(score > 0, F.struct(score, -F.col("chunk_idx"))))
+    return {"metadata": best, "n_ok": F.count_if(ok), "n_failed": F.count_if(~ok)}
+
+
+def merge_error():
+    """What is wrong with a document's merged chunks."""
+    return F.when(F.col("n_ok") == 0, error_text(F.lit("ExtractionError"), F.lit("all chunks failed"))).when(F.col("metadata").isNull(), error_text(F.lit("ExtractionError"), F.lit("no metadata")))
 
 
 def extracted_rows(parsed: DataFrame) -> DataFrame:

@@ -54,6 +54,12 @@ def low_confidence(category_hit, alias_hit, default_category):
 
 def resolve_merchants(tx: DataFrame, aliases: DataFrame, merchants: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """tx with merchant_id and alias_hit, and the aliases and merchants after it: an unknown canonical name makes one of each, with the same ids however often it runs."""
+    out, added, made = new_merchants(tx, aliases, merchants, categories)
+    return out, aliases.unionByName(added), merchants.unionByName(made)
+
+
+def new_merchants(tx: DataFrame, aliases: DataFrame, merchants: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """tx with merchant_id and alias_hit, and only the aliases and merchants that it makes."""
     hit = match_aliases(with_canonical(tx), aliases).withColumn("alias_hit", F.col("merchant_id").isNotNull())
     fresh = hit.where("merchant_id is null and canonical <> ''").groupBy("canonical").agg(F.min("description").alias("alias_text"))
     new = known_category(fresh.withColumn("merchant_id", surrogate_key(F.lit("merchant"), "canonical")))
@@ -64,7 +70,7 @@ def resolve_merchants(tx: DataFrame, aliases: DataFrame, merchants: DataFrame, c
     added = new.select(surrogate_key(F.lit("alias"), "canonical").alias("id"), "merchant_id", "alias_text", F.col("canonical").alias("normalized"), F.lit("auto").alias("source"), F.lit(1.0).alias("confidence"))
     ids = new.select("canonical", F.col("merchant_id").alias("_new"))
     out = hit.join(ids, "canonical", "left").withColumn("merchant_id", F.coalesce("merchant_id", "_new")).drop("_new")
-    return out, aliases.unionByName(added.join(aliases, "id", "left_anti")), merchants.unionByName(made)
+    return out, added.join(aliases, "id", "left_anti"), made
 
 
 def bind_suggestions(suggestions: DataFrame, merchants: DataFrame) -> DataFrame:

@@ -62,8 +62,12 @@ def with_group_median(tx: DataFrame, group=GROUP, times: str | None = None) -> D
 
 def dedupe_extracted(rows: DataFrame, doc: str = "doc_id") -> DataFrame:
     """The first of a document's rows with the same date, description and amount as written."""
-    w = Window.partitionBy(doc, "date", F.upper(F.trim("description")), F.trim("amount")).orderBy("chunk_idx", "pos")
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return rows.withColumn("_n", extracted_copy(doc)).where("_n = 1").drop("_n")
+
+
+def extracted_copy(doc: str = "doc_id"):
+    """Number of a row among its document's rows with the same date, description and amount as written, from 1."""
+    return F.row_number().over(Window.partitionBy(doc, "date", F.upper(F.trim("description")), F.trim("amount")).orderBy("chunk_idx", "pos"))
 
 
 def surviving_rules(rules: DataFrame) -> DataFrame:

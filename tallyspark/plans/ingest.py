@@ -6,40 +6,42 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import currency_matches_variant, date_status, error_text, nonblank, parse_date, placeholder_holder, placeholder_mask, surrogate_key, variant_currency
-from ..operators.extraction import check_replies, extracted_rows, get_or_create_cards, merge_chunks, new_statements, parse_replies, typed_rows
-from ..operators.merchants import low_confidence, resolve_categories, resolve_merchants
-from ..operators.windows import dedupe_extracted
+from ..functions.text import currency_matches_variant, error_text, nonblank, parse_date, placeholder_holder, placeholder_mask, surrogate_key, variant_currency
+from ..operators.extraction import check_replies, chunk_said, get_or_create_cards, merge_error, merged_chunks, parse_replies, typed_rows
+from ..operators.merchants import low_confidence, new_merchants, resolve_categories
+from ..operators.windows import extracted_copy
 from ..sources.snapshots import BUCKETS, Change, Snapshots
 from ..sources.staging import staged
 
 DATES = ("period_start", "period_end", "statement_date")
+CARD, FILE = ["bank_id", "card_number_masked", "cardholder"], ["bank_id", "file_path", "file_hash", "variant"]
 
 
-def read_headers(merged: DataFrame, files: DataFrame, as_of: date) -> DataFrame:
-    """files(doc_id, bank_id, file_path, file_hash, variant) with what their replies say of the statement, and an error.
+def read_headers(h: DataFrame, as_of: date) -> DataFrame:
+    """h, files with variant, file_hash and their merged chunks, with what their replies say of the statement, and an error.
 
     A file without chunks has failed too; a missing date is as_of, a missing currency that of the variant.
     """
-    h = files.join(merged.drop("notes", "confidence"), "doc_id", "left")
-    bad = F.concat_ws(", ", *(F.when(date_status(F.col(f"metadata.{c}")) == "bad", c) for c in DATES))
+    # parsed in a loop, as Java compiles no method as long as three of these written out
+    h = h.withColumn("_dates", F.transform(F.array(*(F.col(f"metadata.{c}") for c in DATES)), parse_date))
+    dates = {c: F.col("_dates")[k] for k, c in enumerate(DATES)}
+    bad = F.concat_ws(", ", *(F.when(nonblank(F.col(f"metadata.{c}")).isNotNull() & parsed.isNull(), c) for c, parsed in dates.items()))
+    broken = merge_error()
     error = (
-        F.when(F.col("n_ok").isNull(), error_text(F.lit("ExtractionError"), F.lit("no chunks"))).when(F.col("error").isNotNull(), F.col("error"))
+        F.when(F.col("n_ok") + F.col("n_failed") == 0, error_text(F.lit("ExtractionError"), F.lit("no chunks"))).when(broken.isNotNull(), broken)
         .when(variant_currency(F.col("variant")).isNull(), error_text(F.lit("IngestionError"), F.lit("no variant")))
         .when(~currency_matches_variant(F.col("metadata.currency"), F.col("variant")), error_text(F.lit("IngestionError"), F.lit("metadata currency is not the variant's")))
         .when(bad != "", error_text(F.lit("DateError"), bad))
     )
-    return h.select(
-        "doc_id", "bank_id", "file_path", "file_hash", "n_failed", variant_currency(F.col("variant")).alias("currency"),
-        placeholder_mask(F.col("metadata.card_number_masked"), F.col("file_hash")).alias("card_number_masked"), placeholder_holder(F.col("metadata.cardholder"), F.col("file_hash")).alias("cardholder"),
-        *(F.coalesce(parse_date(F.col(f"metadata.{c}")), F.lit(as_of)).alias(c) for c in DATES), error.alias("error"),
-    )
+    card = {"card_number_masked": placeholder_mask(F.col("metadata.card_number_masked"), F.col("file_hash")), "cardholder": placeholder_holder(F.col("metadata.cardholder"), F.col("file_hash"))}
+    return h.withColumns(card | {c: F.coalesce(parsed, F.lit(as_of)) for c, parsed in dates.items()} | {"error": error}).drop("_dates")
 
 
 class Ingested:
     """statements, cards, aliases and merchants after the run, the run's own postings, and rejected (doc_id, error) files, which leave no statement.
 
-    Each is worked out when it is asked for.  Replies, headers and rows are written once each, by the first that needs them, as several of the tables read them.
+    Each is worked out when it is asked for.  What is read of the files, their headers, the old cards by name, the files that are not new
+    and what descriptions name are written once each, by the first that needs them, as several of the tables read them.
     """
 
     def __init__(self, payloads: DataFrame, files: DataFrame, statements: DataFrame, cards: DataFrame, aliases: DataFrame, merchants: DataFrame, categories: DataFrame, as_of: date):
@@ -47,12 +49,30 @@ class Ingested:
         self._old = {"statements": statements, "cards": cards, "aliases": aliases, "merchants": merchants}
 
     @cached_property
-    def _checked(self) -> DataFrame:
-        return staged(check_replies(parse_replies(self._payloads)).select("doc_id", "chunk_idx", "reply"))
+    def _read(self) -> DataFrame:
+        """Each file's rows, typed, beside its header: leads marks one row of a file, which has no pos where the file has no row.
+
+        Replies, files and rows meet in one task for each document, so they are dealt once, by doc_id, or not at all if they come so.
+        error is the file's, error_message that of its rows.  Files of one doc_id are told apart by _file.
+        """
+        said = check_replies(parse_replies(self._payloads.where("doc_id is not null"))).select("doc_id", "chunk_idx", chunk_said().alias("chunk"), F.posexplode_outer("reply.transactions").alias("pos", "t"))
+        rows = said.select("doc_id", "chunk_idx", "pos", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("chunk")).alias("chunk"), "t.*")
+        # a chunk is told of in its first row, which stays for that if it is a copy
+        rows = rows.withColumn("_n", extracted_copy()).where("_n = 1 or chunk is not null").withColumn("pos", F.when(F.col("_n") == 1, F.col("pos")))
+        files = self._files.withColumn("_file", F.row_number().over(Window.partitionBy("doc_id").orderBy(*FILE)))
+        typed = typed_rows(files.join(rows, "doc_id", "left"), expected=variant_currency(F.col("variant")))
+        own = Window.partitionBy("doc_id", "_file")
+        merged = {n: c.over(own) for n, c in merged_chunks("chunk").items()} | {"error_message": F.max(F.when(F.col("pos").isNotNull(), F.col("row_error"))).over(own)}
+        whole = typed.withColumn("leads", F.row_number().over(own.orderBy("chunk_idx", "pos")) == 1).withColumns(merged)
+        headed = read_headers(whole, self._as_of).where("leads or pos is not null")
+        return staged(headed.select(
+            "doc_id", "_file", "leads", "bank_id", "file_path", "file_hash", variant_currency(F.col("variant")).alias("expected"), "card_number_masked", "cardholder", *DATES, "error", "error_message",
+            "chunk_idx", "pos", "date", "description", "amount", "currency", "category", "parsed_date", "parsed_amount", "installment_number", "installment_total", "parsed_value",
+        ))
 
     @cached_property
     def _headers(self) -> DataFrame:
-        return staged(read_headers(merge_chunks(self._checked), self._files, self._as_of))
+        return staged(self._read.where("leads").select("doc_id", "_file", "bank_id", "file_path", "file_hash", F.col("expected").alias("currency"), "card_number_masked", "cardholder", *DATES, "error", "error_message"))
 
     @cached_property
     def rejected(self) -> DataFrame:
@@ -63,47 +83,60 @@ class Ingested:
         return get_or_create_cards(self._old["cards"], self._headers.where("error is null"))
 
     @cached_property
-    def _fresh(self) -> DataFrame:
-        key = ["bank_id", "card_number_masked", "cardholder"]
-        owned = self._headers.where("error is null").join(self.cards.groupBy(*key).agg(F.min("id").alias("credit_card_id")), key)
-        first = Window.partitionBy("credit_card_id", "file_hash").orderBy("doc_id")
-        fresh = new_statements(owned.withColumn("_n", F.row_number().over(first)).where("_n = 1"), self._old["statements"])
-        return staged(fresh.withColumn("statement_id", surrogate_key("credit_card_id", "file_hash")))
+    def _known(self) -> DataFrame:
+        """The least id of each card there was."""
+        return staged(self._old["cards"].groupBy(*CARD).agg(F.min("id").alias("_card"), F.lit(True).alias("_met")))
 
-    @cached_property
-    def _typed(self) -> DataFrame:
-        rows = dedupe_extracted(extracted_rows(self._checked)).join(self._fresh.select("doc_id", "statement_id", F.col("currency").alias("expected")), "doc_id")
-        return staged(typed_rows(rows, expected=F.col("expected")))
+    def _owned(self, rows: DataFrame) -> DataFrame:
+        """Rows of files that are not rejected, with the id of the card, which is a new one's if there is none of the name; one that lacks a name has no card."""
+        named = rows.where("error is null").dropna(subset=CARD).join(self._known, CARD, "left")
+        card = F.when(F.col("_met"), F.col("_card")).otherwise(surrogate_key(*CARD))
+        return named.withColumn("credit_card_id", card).drop("_card", "_met")
 
     @cached_property
-    def _errors(self) -> DataFrame:
-        return self._typed.groupBy("statement_id").agg(F.max("row_error").alias("error_message"))
+    def _stale(self) -> DataFrame:
+        """Files that their card has had before, or takes from another of this run's."""
+        key = ["credit_card_id", "file_hash"]
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "_file"))
+        there = self._old["statements"].select(*key, F.lit(True).alias("_there")).distinct()
+        own = self._owned(self._headers).select("doc_id", "_file", *key)
+        return staged(own.withColumn("_n", place).join(there, key, "left").where("_n > 1 or _there").select("doc_id", "_file"))
+
+    def _fresh(self, rows: DataFrame) -> DataFrame:
+        """Rows of files that make a statement, with its id."""
+        return self._owned(rows).join(self._stale, ["doc_id", "_file"], "left_anti").withColumn("statement_id", surrogate_key("credit_card_id", "file_hash"))
 
     @cached_property
     def statements(self) -> DataFrame:
-        ended = self._fresh.join(self._errors, "statement_id", "left")
         status = F.when(F.col("error_message").isNull(), "completed").otherwise("failed")
-        made = ended.select(F.col("statement_id").alias("id"), "credit_card_id", *DATES, "file_path", "file_hash", status.alias("status"), "error_message")
+        made = self._fresh(self._headers).select(F.col("statement_id").alias("id"), "credit_card_id", *DATES, "file_path", "file_hash", status.alias("status"), "error_message")
         return self._old["statements"].unionByName(made)
 
     @cached_property
-    def _resolved(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        kept = self._typed.join(self._errors.where("error_message is null").select("statement_id"), "statement_id", "left_semi")
-        return resolve_merchants(kept.withColumn("category", nonblank(F.col("category"))), self._old["aliases"], self._old["merchants"], self._categories)
+    def _kept(self) -> DataFrame:
+        return self._fresh(self._read.where("pos is not null and error_message is null"))
+
+    @cached_property
+    def _made(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What each description names, and the aliases and merchants that they make."""
+        texts, old = staged(self._kept.select("description").distinct()), self._old
+        named, aliases, merchants = new_merchants(texts, old["aliases"], old["merchants"], self._categories)
+        merchants = staged(merchants)
+        defaults = old["merchants"].unionByName(merchants).select(F.col("id").alias("merchant_id"), "default_category_id")
+        return staged(named.join(defaults, "merchant_id", "left").select("description", "merchant_id", "alias_hit", "default_category_id")), aliases, merchants
 
     @cached_property
     def aliases(self) -> DataFrame:
-        return self._resolved[1]
+        return self._old["aliases"].unionByName(self._made[1])
 
     @cached_property
     def merchants(self) -> DataFrame:
-        return self._resolved[2]
+        return self._old["merchants"].unionByName(self._made[2])
 
     @cached_property
     def transactions(self) -> DataFrame:
-        named, _, after_merchants = self._resolved
-        defaults = after_merchants.select(F.col("id").alias("merchant_id"), "default_category_id")
-        full = resolve_categories(named, self._categories).join(defaults, "merchant_id", "left")
+        named = self._kept.withColumn("category", nonblank(F.col("category"))).join(self._made[0], "description")
+        full = resolve_categories(named, self._categories)
         known = F.col("alias_hit") | F.col("merchant_id").isNull()
         return full.select(
             surrogate_key("statement_id", "chunk_idx", "pos").alias("id"), "statement_id", F.col("parsed_date").alias("date"), "description", F.col("parsed_amount").alias("amount"), F.col("expected").alias("currency"), F.col("category_label").alias("category"), "category_id",

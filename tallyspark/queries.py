@@ -1,5 +1,6 @@
 """A query for each ledger operator on the given tables, and the same in SQL."""
 
+import json
 import uuid
 from datetime import date
 
@@ -691,23 +692,38 @@ def extraction_cards(spark, d):
 # -- ingest ------------------------------------------------------------------
 
 
+def _few(spark, schema, *rows):
+    """A table of these rows, which Spark knows to be small, as it does not of one made from Python's objects."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    made = F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.inline(made))
+
+
 def _ingested(spark, d):
-    """Orders as statement files and their lines as chunks; some files, chunks and rows are bad, one shop has an alias and one is a known merchant."""
-    x = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").cast("decimal(15,2)").alias("p"), F.to_date("l_shipdate").alias("day"))
+    """Orders as statement files and their lines as chunks; some files, chunks and rows are bad, one shop has an alias and one is a known merchant.
+
+    Lines are dealt by document before they are written out as replies, so chunks and files come to the plan as it deals them.
+    """
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    x = lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").cast("decimal(15,2)").alias("p"), F.to_date("l_shipdate").alias("day"))
     k, n = F.col("k"), F.col("n")
     shop = F.when(k % 4 == 0, "LIDER COM 3").when(k % 4 == 1, "Kiosko").when(k % 4 == 2, "Bazar SpA").otherwise("77")
-    row = F.struct(
-        F.date_format("day", "dd/MM/yyyy").alias("date"), shop.alias("description"), F.concat(F.lit("US$ "), F.translate(F.format_number("p", 2), ",.", ".,")).alias("amount"),
-        F.when((k % 13 == 0) & (n == 2), "CLP").otherwise("USD").alias("currency"), F.when(k % 5 == 0, "GROCERIES ").when(k % 5 == 1, "Fun").alias("category"),
-    )
+
+    def row(line):
+        return F.struct(
+            F.date_format(line["day"], "dd/MM/yyyy").alias("date"), shop.alias("description"), F.concat(F.lit("US$ "), F.translate(F.format_number(line["p"], 2), ",.", ".,")).alias("amount"),
+            F.when((k % 13 == 0) & (n == 2), "CLP").otherwise("USD").alias("currency"), F.when(k % 5 == 0, "GROCERIES ").when(k % 5 == 1, "Fun").alias("category"),
+        )
+
     meta = F.struct(F.when(k % 2 == 0, k.cast("string")).otherwise("").alias("card_number_masked"), F.lit("x").alias("cardholder"), F.when(k % 11 == 0, "CLP").when(k % 11 == 1, "CLP or USD").otherwise("USD").alias("currency"), F.lit("").alias("period_start"), F.lit("2001-12-31").alias("period_end"))
-    bodies = x.groupBy("k", "n").agg(F.to_json(F.struct(F.sort_array(F.collect_list(row)).alias("transactions"), F.first(meta).alias("metadata"), F.first(F.when((n == 3) & (k % 3 == 0), 2.0).otherwise(0.9)).alias("confidence"))).alias("body"))
-    payloads = bodies.select(k.cast("string").alias("doc_id"), n.cast("int").alias("chunk_idx"), F.when(k % 7 != 0, F.col("body")).alias("body"))
-    files = x.select("k").distinct().select(k.cast("string").alias("doc_id"), (k % 3).alias("bank_id"), F.concat(k, F.lit(".pdf")).alias("file_path"), F.md5(k.cast("string")).alias("file_hash"), F.lit("INTERNACIONAL").alias("variant"))
-    cards = spark.createDataFrame([], "id string, bank_id long, card_number_masked string, cardholder string, currency string, is_active boolean")
-    aliases = spark.createDataFrame([("1", "m1", "Kiosko", "kiosko", "user", 1.0)], "id string, merchant_id string, alias_text string, normalized string, source string, confidence double")
-    merchants = spark.createDataFrame([("m1", "kiosko", None, True)], "id string, name string, default_category_id string, is_active boolean")
-    return I.ingest(payloads, files, spark.createDataFrame([], model.STATEMENTS), cards, aliases, merchants, model.seed_categories(spark), date(2002, 1, 15))
+    chunks = x.repartition("doc_id").groupBy("doc_id", "k", "n").agg(F.collect_list(F.struct("day", "p")).alias("lines"))
+    body = F.to_json(F.struct(F.sort_array(F.transform("lines", row)).alias("transactions"), meta.alias("metadata"), F.when((n == 3) & (k % 3 == 0), 2.0).otherwise(0.9).alias("confidence")))
+    payloads = chunks.select("doc_id", n.cast("int").alias("chunk_idx"), F.when(k % 7 != 0, body).alias("body"))
+    files = x.select("doc_id").distinct().select("doc_id", (F.col("doc_id").cast("long") % 3).alias("bank_id"), F.concat("doc_id", F.lit(".pdf")).alias("file_path"), F.md5("doc_id").alias("file_hash"), F.lit("INTERNACIONAL").alias("variant"))
+    cards = _few(spark, "id string, bank_id long, card_number_masked string, cardholder string, currency string, is_active boolean")
+    aliases = _few(spark, "id string, merchant_id string, alias_text string, normalized string, source string, confidence double", ("1", "m1", "Kiosko", "kiosko", "user", 1.0))
+    merchants = _few(spark, "id string, name string, default_category_id string, is_active boolean", ("m1", "kiosko", None, True))
+    return I.ingest(payloads, files, _few(spark, model.STATEMENTS), cards, aliases, merchants, model.seed_categories(spark), date(2002, 1, 15))
 
 
 INGEST = """with x as (select distinct l_orderkey as k, l_linenumber as n, cast(l_extendedprice as decimal(15,2)) as p, cast(l_shipdate as date) as day from lineitem), o as (select distinct k from x),

@@ -9,6 +9,7 @@ from decimal import Decimal as D
 from statistics import median
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.operators.recurring import recurring_group_stats, replay
 from tallyspark.operators.rollups import monthly, monthly_window
@@ -76,3 +77,67 @@ def test_overview_joins_a_cards_lines_only(spark):
     assert text.count("Relation [l_orderkey") == 1
     # orders are read for the lines and as statements, each for the card alone
     assert text.count("Relation [o_orderkey") == 2 == len(re.findall(r"o_custkey#\d+L? = 7\)", text))
+
+
+NONE = {"cards": "id string, bank_id long, card_number_masked string, cardholder string, currency string, is_active boolean", "aliases": "id string, merchant_id string, alias_text string, normalized string, source string, confidence double", "merchants": "id string, name string, default_category_id string, is_active boolean"}
+
+
+def test_replies_are_dealt_once_and_headers_not_at_all(spark, monkeypatch):
+    """Chunks and files that come dealt by document are read, freed of copies, typed and headed where they are; files of one doc_id stay apart."""
+    from tallyspark.plans import ingest as I
+
+    wrote, staged = [], I.staged
+    monkeypatch.setattr(I, "staged", lambda df: wrote.append(df) or staged(df))
+    row = '{"date":"01/02/2026","description":"%s","amount":"%s","currency":"CLP"}'
+    body = lambda *rows, at="": '{"transactions":[%s],"metadata":{"card_number_masked":"%s","currency":"CLP"},"confidence":0.5}' % (",".join(row % r for r in rows), at)
+    chunks = [("a", 0, body(("x", "1"), ("X ", "1"))), ("a", 1, body(("x", " 1"), at="7")), ("a", 1, body(("y", "2"))), ("a", None, None), ("b", 0, body(("x", "1"), at="8")), ("b", 1, body(("z", "-"))), ("c", 0, body()), (None, 0, body(("n", "1")))]
+    p = spark.createDataFrame(chunks, model.PAYLOADS).repartition("doc_id")
+    files = [("a", 1, "p", "h1", "NACIONAL"), ("a", 1, "p", "h1", "NACIONAL"), ("a", 1, "q", "h1", "NACIONAL"), ("a", 1, "q", "h2", "INTERNACIONAL"), ("a", 2, "q", "h2", "NACIONAL"), ("b", 1, "p", "h1", "NACIONAL"), ("c", 1, "p", "h3", "NACIONAL"), ("d", None, "p", "h4", "NACIONAL"), (None, 1, "p", "h5", "NACIONAL"), ("c", None, "p", "h6", "NACIONAL")]
+    f = spark.createDataFrame(files, "doc_id string, bank_id long, file_path string, file_hash string, variant string").repartition("doc_id")
+    out = I.ingest(p, f, spark.createDataFrame([], model.STATEMENTS), *(spark.createDataFrame([], t) for t in NONE.values()), model.seed_categories(spark), date(2026, 3, 5))
+    made = sorted((x.file_hash, x.status, x.error_message) for x in out.statements.collect())
+    assert made == [("h1", "completed", None), ("h1", "failed", "AmountError: -"), ("h2", "completed", None), ("h3", "completed", None)]
+    assert sorted((str(x.doc_id), x.error.partition(": ")[2]) for x in out.rejected.collect()) == [("None", "no chunks"), ("a", "metadata currency is not the variant's"), ("d", "no chunks")]
+    assert sorted((x.description, int(x.amount)) for x in out.transactions.collect()) == [("x", 1)] * 2 + [("y", 2)] * 2
+    assert plan(wrote[0]).count("Exchange hashpartitioning(doc_id") == 2 == plan(wrote[0]).count("Exchange hashpartitioning") and "Exchange" not in plan(wrote[1])
+
+
+def test_replies_in_the_schemas_order_need_no_variant(spark):
+    """The pattern takes valid JSON alone, with known keys once each, and what it takes is parsed to the same reply as in an envelope."""
+    import json
+
+    from tallyspark.operators import extraction as X
+
+    r = random.Random(5)
+    one = {"date": "01/02/2026", "description": 'a "q" \\ é \n```', "amount": "1.000,50", "currency": "USD", "category": None, "installment_number": 1, "installment_total": 12, "installment_value": -1.5e3}
+    whole = {"transactions": [one, {}, None, {"amount": 5}], "metadata": {"cardholder": "x", "statement_date": ""}, "confidence": 0.25, "notes": True}
+    texts = [json.dumps(whole), json.dumps(whole, indent=1), '{"transactions":null}', " " + json.dumps({"transactions": [one] * 20_000}) + "\n"]
+    base, wild = texts[0], ['"', "}", "{", "]", "[", ",", ":", "1", "0", "\\", "\n", " ", "null", '"notes"', '"date":1,', "tru", "\x01", "e5", "."]
+    for _ in range(1500):
+        at = r.randrange(len(base))
+        texts.append(base[:at] + r.choice(wild) + base[at + r.randrange(3) :])
+    texts += ['{"metadata":{},"transactions":[]}', '{"transactions":[],"transactions":[]}', '{"transactions":[{"date":1,"date":2}]}', '{"notes":"x"}', '{"transactions":[],}', '{"transactions":[{},]}', '{"transactions":[]} {}', '{"transactions":[1]}', '{"transactions":[],"confidence":01}']
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_idx int, body string").withColumn("doc_id", F.lit("d"))
+    got = {x.chunk_idx: x for x in df.select("chunk_idx", F.col("body").rlike(X.ordered_shape(X.EXTRACTION)).alias("bare"), F.try_parse_json("body").isNotNull().alias("valid"), F.size(X.extra_keys(F.try_parse_json("body"))).alias("extra")).collect()}
+    bare = {k for k, x in got.items() if x.bare}
+    assert {0, 1, 2, 3} <= bare and len(bare) > 100 and all(got[k].valid and got[k].extra <= 0 for k in bare) and not bare & set(range(len(texts) - 9, len(texts)))
+    wrapped = df.withColumn("body", F.to_json(F.struct(F.col("body").alias("content"))))
+    plain_, inside = ({x.chunk_idx: x for x in X.parse_replies(y).where("chunk_idx <> 3").collect()} for y in (df, wrapped))
+    assert all(plain_[k] == inside[k] for k in bare - {3})
+
+
+def test_dates_are_parsed_as_a_formatter_would(spark):
+    from tallyspark.functions.text import parse_date
+
+    r = random.Random(6)
+    texts = ["".join(r.choice(["0", "1", "2", "3", "9", "/", "-", " ", "\n"]) for _ in range(r.randrange(12))) for _ in range(300)]
+    for _ in range(1500):
+        d, m, y = f"{r.randrange(34):02}", f"{r.randrange(14):02}", f"{r.choice([r.randrange(10000), r.randrange(1900, 2030)]):04}"
+        texts.append(r.choice([f"{d}/{m}/{y}", f"{d}/{m}/{y[2:]}", f"{y}-{m}-{d}"]) + r.choice(["", "", "", "\n", " ", "\r\n"]))
+    c = F.col("t")
+    day, month, year = (F.regexp_extract(c, r"^(\d{2})/(\d{2})/(\d{2}|\d{4})$", k) for k in (1, 2, 3))
+    full = F.when(F.length(year) == 4, year).when(year >= "70", F.concat(F.lit("19"), year)).otherwise(F.concat(F.lit("20"), year))
+    slashed = F.try_to_timestamp(F.concat_ws("-", full, month, day), F.lit("yyyy-MM-dd")).cast("date")
+    want = F.when(day != "", slashed).when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).cast("date"))
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", parse_date(c).cast("string").alias("got"), want.cast("string").alias("want")).collect()
+    assert [x for x in rows if x.got != x.want] == [] and sum(x.got is not None for x in rows) > 500
