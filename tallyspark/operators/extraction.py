@@ -190,10 +190,15 @@ def typed_rows(rows: DataFrame, default_currency: str = "CLP", expected=None) ->
     value = F.col("installment_value") if "installment_value" in rows.columns else F.lit(None).cast("string")
     parsed = F.struct(parse_date(F.col("date")).alias("parsed_date"), parse_amount(F.col("amount"), currency).alias("parsed_amount"), parse_amount(nonblank(value), currency).alias("parsed_value"))
     out = rows.select("*", F.inline_outer(F.array(parsed)))
-    other = F.lit(False) if expected is None else ~F.coalesce(currency == expected, F.lit(False))
-    bad = F.when(other, error_text(F.lit("CurrencyError"), currency)).when(F.col("parsed_date").isNull(), error_text(F.lit("DateError"), F.coalesce("date", F.lit(""))))
+    bad = F.when(F.col("parsed_date").isNull(), error_text(F.lit("DateError"), F.coalesce("date", F.lit(""))))
     bad = bad.when(F.col("parsed_amount").isNull(), error_text(F.lit("AmountError"), F.coalesce("amount", F.lit("")))).when(nonblank(value).isNotNull() & F.col("parsed_value").isNull(), error_text(F.lit("AmountError"), value))
-    return out.withColumn("row_error", bad)
+    return out.withColumn("row_error", bad if expected is None else with_currency_error(bad, expected, default_currency))
+
+
+def with_currency_error(error, expected, default_currency: str = "CLP"):
+    """error of a row, or that its currency is not the expected one."""
+    currency = F.coalesce("currency", F.lit(default_currency))
+    return F.when(~F.coalesce(currency == expected, F.lit(False)), error_text(F.lit("CurrencyError"), currency)).otherwise(error)
 
 
 def new_statements(headers: DataFrame, existing: DataFrame) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import currency_matches_variant, error_text, nonblank, parse_date, placeholder_holder, placeholder_mask, surrogate_key, variant_currency
-from ..operators.extraction import check_replies, chunk_said, get_or_create_cards, merge_error, merged_chunks, parse_replies, typed_rows
+from ..operators.extraction import check_replies, chunk_said, get_or_create_cards, merge_error, merged_chunks, parse_replies, typed_rows, with_currency_error
 from ..operators.merchants import low_confidence, new_merchants, resolve_categories
-from ..operators.windows import extracted_copy
 from ..sources.snapshots import BUCKETS, Change, Snapshots
 from ..sources.staging import staged
 
 DATES = ("period_start", "period_end", "statement_date")
+CURRENCIES = ("CLP", "USD")
 CARD, FILE = ["bank_id", "card_number_masked", "cardholder"], ["bank_id", "file_path", "file_hash", "variant"]
 
 
@@ -28,7 +28,7 @@ def read_headers(h: DataFrame, as_of: date) -> DataFrame:
     bad = F.concat_ws(", ", *(F.when(nonblank(F.col(f"metadata.{c}")).isNotNull() & parsed.isNull(), c) for c, parsed in dates.items()))
     broken = merge_error()
     error = (
-        F.when(F.col("n_ok") + F.col("n_failed") == 0, error_text(F.lit("ExtractionError"), F.lit("no chunks"))).when(broken.isNotNull(), broken)
+        F.when(F.col("n_ok").isNull(), error_text(F.lit("ExtractionError"), F.lit("no chunks"))).when(broken.isNotNull(), broken)
         .when(variant_currency(F.col("variant")).isNull(), error_text(F.lit("IngestionError"), F.lit("no variant")))
         .when(~currency_matches_variant(F.col("metadata.currency"), F.col("variant")), error_text(F.lit("IngestionError"), F.lit("metadata currency is not the variant's")))
         .when(bad != "", error_text(F.lit("DateError"), bad))
@@ -52,21 +52,26 @@ class Ingested:
     def _read(self) -> DataFrame:
         """Each file's rows, typed, beside its header: leads marks one row of a file, which has no pos where the file has no row.
 
-        Replies, files and rows meet in one task for each document, so they are dealt once, by doc_id, or not at all if they come so.
-        error is the file's, error_message that of its rows.  Files of one doc_id are told apart by _file.
+        Replies, rows and files meet in one task for each document, so they are dealt once, by doc_id, or not at all if they come so, and
+        rows are sorted once.  error is the file's, error_message that of its rows.  Files of one doc_id are told apart by _file.
         """
-        said = check_replies(parse_replies(self._payloads.where("doc_id is not null"))).select("doc_id", "chunk_idx", chunk_said().alias("chunk"), F.posexplode_outer("reply.transactions").alias("pos", "t"))
-        rows = said.select("doc_id", "chunk_idx", "pos", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("chunk")).alias("chunk"), "t.*")
+        checked = check_replies(parse_replies(self._payloads.where("doc_id is not null"))).select("doc_id", "chunk_idx", chunk_said().alias("chunk"), F.posexplode_outer("reply.transactions").alias("pos", "t"))
         # a chunk is told of in its first row, which stays for that if it is a copy
-        rows = rows.withColumn("_n", extracted_copy()).where("_n = 1 or chunk is not null").withColumn("pos", F.when(F.col("_n") == 1, F.col("pos")))
-        files = self._files.withColumn("_file", F.row_number().over(Window.partitionBy("doc_id").orderBy(*FILE)))
-        typed = typed_rows(files.join(rows, "doc_id", "left"), expected=variant_currency(F.col("variant")))
-        own = Window.partitionBy("doc_id", "_file")
-        merged = {n: c.over(own) for n, c in merged_chunks("chunk").items()} | {"error_message": F.max(F.when(F.col("pos").isNotNull(), F.col("row_error"))).over(own)}
-        whole = typed.withColumn("leads", F.row_number().over(own.orderBy("chunk_idx", "pos")) == 1).withColumns(merged)
-        headed = read_headers(whole, self._as_of).where("leads or pos is not null")
-        return staged(headed.select(
-            "doc_id", "_file", "leads", "bank_id", "file_path", "file_hash", variant_currency(F.col("variant")).alias("expected"), "card_number_masked", "cardholder", *DATES, "error", "error_message",
+        rows = checked.select("doc_id", "chunk_idx", "pos", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("chunk")).alias("chunk"), "t.*")
+        typed = typed_rows(rows).withColumns({"_text": F.upper(F.trim("description")), "_sum": F.trim("amount")})
+        # one order serves copies and whole documents
+        same = ["date", "_text", "_sum"]
+        copy = F.row_number().over(Window.partitionBy("doc_id", *same).orderBy("chunk_idx", "pos"))
+        once = typed.withColumn("_n", copy).where("_n = 1 or chunk is not null").withColumn("pos", F.when(F.col("_n") == 1, F.col("pos")))
+        ordered = Window.partitionBy("doc_id").orderBy(*same)
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        errors = {f"_{c}": F.max(F.when(F.col("pos").isNotNull(), with_currency_error(F.col("row_error"), c))).over(whole) for c in CURRENCIES}
+        told = once.withColumns({"leads": F.row_number().over(ordered) == 1} | {n: c.over(whole) for n, c in merged_chunks("chunk").items()} | errors).where("leads or pos is not null")
+        files = self._files.withColumn("_file", F.row_number().over(Window.partitionBy("doc_id").orderBy(*FILE))).withColumn("expected", variant_currency(F.col("variant")))
+        both = files.join(told.drop("chunk", "row_error", "_n", *same[1:]), "doc_id", "left").withColumn("leads", F.coalesce("leads", F.lit(True)))
+        failed = F.coalesce(*(F.when(F.col("expected") == c, F.col(f"_{c}")) for c in CURRENCIES))
+        return staged(read_headers(both.withColumn("error_message", failed), self._as_of).select(
+            "doc_id", "_file", "leads", "bank_id", "file_path", "file_hash", "expected", "card_number_masked", "cardholder", *DATES, "error", "error_message",
             "chunk_idx", "pos", "date", "description", "amount", "currency", "category", "parsed_date", "parsed_amount", "installment_number", "installment_total", "parsed_value",
         ))
 

@@ -100,6 +100,20 @@ def test_replies_are_dealt_once_and_headers_not_at_all(spark, monkeypatch):
     assert sorted((str(x.doc_id), x.error.partition(": ")[2]) for x in out.rejected.collect()) == [("None", "no chunks"), ("a", "metadata currency is not the variant's"), ("d", "no chunks")]
     assert sorted((x.description, int(x.amount)) for x in out.transactions.collect()) == [("x", 1)] * 2 + [("y", 2)] * 2
     assert plan(wrote[0]).count("Exchange hashpartitioning(doc_id") == 2 == plan(wrote[0]).count("Exchange hashpartitioning") and "Exchange" not in plan(wrote[1])
+    # files and rows are sorted once each
+    assert len(re.findall(r"Sort \[doc_id", plan(wrote[0]))) == 2
+
+
+def test_postings_are_not_dealt_by_what_they_name(spark):
+    """A few merchants have most postings: descriptions are resolved once each, and what they name is written, so that its size is known."""
+    from tallyspark.plans import ingest as I
+
+    row = '{"date":"01/02/2026","description":"%s","amount":"%d","currency":"CLP","category":"Groceries"}'
+    p = spark.createDataFrame([(str(d), 0, '{"transactions":[%s],"metadata":{"currency":"CLP"},"confidence":0.5}' % ",".join(row % ("Bazar %d" % (k % 2), k) for k in range(4))) for d in range(8)], model.PAYLOADS)
+    f = p.select("doc_id", F.lit(1).cast("long").alias("bank_id"), F.col("doc_id").alias("file_path"), F.col("doc_id").alias("file_hash"), F.lit("NACIONAL").alias("variant"))
+    out = I.ingest(p, f, spark.createDataFrame([], model.STATEMENTS), *(spark.createDataFrame([], t) for t in NONE.values()), model.seed_categories(spark), date(2026, 3, 5))
+    assert "Exchange hashpartitioning" not in plan(out.transactions)
+    assert out.transactions.count() == 32 and [x.name for x in out.merchants.collect()] == ["bazar"] and out.aliases.count() == 1
 
 
 def test_replies_in_the_schemas_order_need_no_variant(spark):
